@@ -1 +1,279 @@
-QUERIES = {}
+"""Whole plans on the tables: features to ranking, holdouts, recovery, comparison, streams.
+
+Projections and trained models have no SQL twin; their rows are only counted, and the
+plans are tested against brute force on small fixtures.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from novelscape.catalog.bind import activity, basket, labelled, orders, r6, scratch, table, vectors, words
+from novelscape.operators.features import build_features
+from novelscape.operators.vectors import as_vectors, pool_members
+from novelscape.plans import compare as M
+from novelscape.plans import temporal as H
+from novelscape.plans.atlas import atlas, frame
+from novelscape.plans.enrichment import case_lookup, group_enrichment, with_genus
+from novelscape.plans.novelty import Reference, apply_reference, embed_scores, rank_novelty
+from novelscape.plans.recovery import ablation, class_recovery
+from novelscape.plans.sweep import best_learned, sweep_summary
+from novelscape.plans.validate import validate
+from novelscape.session import settle
+from novelscape.streaming.scoring import score_stream
+
+CUTOFF = "1998-06-01"
+TREES, DEPTH = 20, 8
+
+
+def basket_features(spark, d, token="p_brand"):
+    """Entities with lines, their vectors and the vocabulary."""
+    entities = settle(orders(spark, d).where("n_genes > 0"))
+    vectors_, vocabulary = build_features(entities, basket(spark, d, token).drop("l_partkey", "l_suppkey"))
+    return entities, settle(vectors_), vocabulary
+
+
+def user_features(spark, d):
+    """Users with their events as tokens; the class is the most frequent event type."""
+    events = activity(spark, d)
+    entities = settle(
+        events.groupBy("entity_id").agg(
+            F.count(F.lit(1)).alias("n_genes"),
+            F.mode("token", True).alias("biosynth_class"),
+            F.date_format(F.min("gene_order"), "yyyy-MM-dd").alias("date_added"),
+        )
+    )
+    vectors_, vocabulary = build_features(entities, events)
+    return entities, settle(vectors_), vocabulary
+
+
+def flagship(spark, d):
+    """Baskets to features, PCA, leave-one-out neighbors and the ranking."""
+    entities, features, _ = basket_features(spark, d)
+    embedding, _, _ = atlas(features, entities.select("entity_id"))
+    ranked = rank_novelty(embedding, entities)
+    return ranked.select(
+        "rank", "entity_id", "biosynth_class", "novelty", "knn_mean_dist", "nearest_dist", "nearest_id", "neighbor_class", "n_genes"
+    )
+
+
+def pca_embed(spark, d):
+    entities, features, _ = basket_features(spark, d)
+    embedding, _, _ = atlas(features, entities.select("entity_id"))
+    return embedding.select("entity_id", F.size("z").alias("dims"))
+
+
+def atlas_frame(spark, d):
+    entities, features, _ = basket_features(spark, d, "p_type")
+    _, coords, _ = atlas(features, entities)
+    return frame(coords)
+
+
+def validate_audit(spark, d):
+    entities, features, vocabulary = user_features(spark, d)
+    embedding, _, _ = atlas(features, entities.select("entity_id"))
+    return validate(rank_novelty(embedding, entities), entities, vocabulary)
+
+
+def _predicted(spark, d):
+    """Lines of late orders as a predicted token table."""
+    late = orders(spark, d).where(F.col("date_added") >= CUTOFF).select("entity_id", "biosynth_class", "n_genes")
+    return basket(spark, d, "p_brand").join(late, "entity_id").select(
+        F.lit("late").alias("genome"),
+        F.col("entity_id").cast("string").alias("bgc_id"),
+        F.col("biosynth_class").alias("predicted_class"),
+        "gene_order",
+        "token_pos",
+        F.col("token").alias("domain_id"),
+        F.col("n_genes").cast("int").alias("n_genes"),
+    )
+
+
+def apply_score(spark, d):
+    early = settle(orders(spark, d).where((F.col("date_added") < CUTOFF) & (F.col("n_genes") > 0)))
+    features, vocabulary = build_features(early, basket(spark, d, "p_brand").drop("l_partkey", "l_suppkey"))
+    reference = Reference.fit(settle(features), vocabulary=vocabulary)
+    return apply_reference(reference, _predicted(spark, d), early, source="lineitem")
+
+
+def _dated_vectors(spark, d):
+    rows = vectors(spark, d)
+    date = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("entity_id") % 1000).cast("int")), "yyyy-MM-dd")
+    entities = rows.select("entity_id", "biosynth_class", date.alias("date_added"), (F.col("entity_id") % 17 + 1).alias("n_genes"))
+    return settle(entities), settle(as_vectors(rows, "z"))
+
+
+def temporal_holdout(spark, d):
+    entities, features = _dated_vectors(spark, d)
+    audit, _, _ = H.temporal_holdout(features, entities, "2020-12-01", n_controls=3, exclude=("0", "1"))
+    return audit
+
+
+def learned_temporal(spark, d):
+    entities, features = _dated_vectors(spark, d)
+    audit, _ = H.learned_temporal(features, entities, train_cutoff="2020-11-01", cutoff="2020-12-01", n_controls=2)
+    return audit
+
+
+def class_recovery_metrics(spark, d):
+    entities, features, _ = basket_features(spark, d, "p_type")
+    labels = entities.select("entity_id", F.col("biosynth_class").alias("label"))
+    metrics, _, _ = class_recovery(features, labels, trees=TREES, depth=DEPTH, max_iter=100)
+    return metrics
+
+
+def representation_ablation(spark, d):
+    rows = vectors(spark, d)
+    labels = rows.select("entity_id", F.col("biosynth_class").alias("label"))
+    halves = {
+        name: settle(as_vectors(rows.select("entity_id", F.slice("z", start, 32).alias("z")), "z"))
+        for name, start in (("first", 1), ("second", 33))
+    }
+    return ablation(halves, labels, models=("logreg",), max_iter=100)
+
+
+def _representations(spark, d):
+    rows = vectors(spark, d)
+    counts = rows.select("entity_id", F.transform(F.slice("z", 1, 32), lambda x: F.floor(F.abs(x) * 10).cast("double")).alias("z"))
+    return settle(as_vectors(counts, "z")), settle(as_vectors(rows.select("entity_id", F.slice("z", 33, 32).alias("z")), "z"))
+
+
+def representation_compare(spark, d):
+    entities, _ = _dated_vectors(spark, d)
+    scores = M.representation_scores(*_representations(spark, d))
+    audit, _, _ = M.compare_novelty(scores, entities)
+    return audit
+
+
+def learned_compare(spark, d):
+    entities, dense = _dated_vectors(spark, d)
+    left, right = _representations(spark, d)
+    third = embed_scores(dense.where("entity_id % 10 <> 3"), center=True)
+    audit, _ = M.learned_compare(embed_scores(left), embed_scores(right, center=True), entities, third)
+    return audit
+
+
+def eval_summary(spark, d):
+    recovery = settle(representation_ablation(spark, d))
+    entities, _ = _dated_vectors(spark, d)
+    left, right = _representations(spark, d)
+    novelty, _ = M.learned_compare(embed_scores(left), embed_scores(right, center=True), entities)
+    return M.eval_summary(recovery, novelty, learned_temporal(spark, d))
+
+
+def group_enrichment_report(spark, d):
+    docs = labelled(spark, d).select(
+        "entity_id", F.col("n_chars").cast("double").alias("novelty"), F.col("lang").alias("group"), F.col("source").alias("genus"), (F.col("n_chars") / 1000).cast("int").alias("n_genes")
+    )
+    return group_enrichment(docs, "fr", "en", size_max=60)
+
+
+def genus_groups(spark, d):
+    genera = F.array(*[F.lit(g) for g in ("Myxococcus xanthus", "Streptomyces sp.", "Bacillus subtilis", "")])
+    docs = labelled(spark, d).select("entity_id", F.get(genera, (F.col("entity_id") % 4).cast("int")).alias("organism"))
+    return with_genus(docs).groupBy("genus", "group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def case_lookups(spark, d):
+    entities = settle(
+        labelled(spark, d).select("entity_id", F.col("lang").alias("biosynth_class"), F.col("source").alias("organism"), F.col("n_chars").alias("n_genes"))
+    )
+    features, _ = build_features(entities, words(spark, d), min_df=50)
+    embedding, _, _ = atlas(features, entities.select("entity_id"), 20)
+    scores = settle(rank_novelty(embedding, entities))
+    top = scores.orderBy("rank").limit(20).select("entity_id")
+    return case_lookup(top, scores, entities, words(spark, d)).withColumn("rarest_tokens", F.to_json("rarest_tokens"))
+
+
+def pooled_novelty(spark, d):
+    members = table(spark, d, "embeddings").select(
+        (F.col("vec_id") % 100).alias("entity_id"), (F.col("vec_id") % 7 * 100).alias("aa_length"), "embedding"
+    )
+    pooled = settle(as_vectors(pool_members(members), "embedding"))
+    return embed_scores(pooled, center=True).select("entity_id", "novelty")
+
+
+def sweep(spark, d):
+    heads = table(spark, d, "orders")
+    runs = heads.select(
+        F.lower("o_orderpriority").alias("objective"),
+        F.col("o_orderstatus").alias("pooling"),
+        F.when(F.col("o_orderkey") % 11 == 0, "error").otherwise("ok").alias("status"),
+        F.when(F.col("o_orderkey") % 13 > 0, F.col("o_totalprice") / 1000000).alias("macro_f1_learned"),
+        (F.col("o_custkey") / 1000).alias("size_confound_learned"),
+        (F.col("o_totalprice") / 500000).alias("temporal_heldout_mean"),
+        (F.col("o_orderkey") / 500000).alias("temporal_control_mean"),
+    )
+    out = sweep_summary(runs)
+    return out.select("cfg", "n_runs", *[r6(c).alias(c) for c in ("macro_f1_learned", "size_confound_learned", "temporal_delta")])
+
+
+def sweep_best(spark, d):
+    lines = table(spark, d, "lineitem")
+    scores = lines.select(
+        F.col("l_suppkey").alias("run"),
+        F.when(F.col("l_returnflag") == "A", "hashed").when(F.col("l_returnflag") == "N", "learned-x").otherwise("combined+learned-x").alias("representation"),
+        F.col("l_discount").alias("macro_f1"),
+    )
+    return best_learned(scores)
+
+
+def stream_apply(spark, d):
+    """Events as a stream of predicted tokens, scored against all users; one batch per file."""
+    entities, features, vocabulary = user_features(spark, d)
+    reference = Reference.fit(features, vocabulary=vocabulary)
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    tokens = stream.select(
+        F.lit("events").alias("genome"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "D")).alias("bgc_id"),
+        F.lit("day").alias("predicted_class"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("gene_order"),
+        F.col("event_id").alias("token_pos"),
+        F.col("event_type").alias("domain_id"),
+        F.lit(1).alias("n_genes"),
+    )
+    output = scratch(spark, "stream")
+    query = score_stream(tokens, reference, entities, output, scratch(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(output)
+
+
+QUERIES = {
+    "flagship_ranking": (flagship, None),
+    "pca_embed": (
+        pca_embed,
+        "SELECT DISTINCT l_orderkey AS entity_id, 50 AS dims FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    ),
+    "atlas_frame": (atlas_frame, None),
+    "validate_audit": (validate_audit, None),
+    "apply_score": (apply_score, None),
+    "temporal_holdout": (temporal_holdout, None),
+    "learned_temporal": (learned_temporal, None),
+    "class_recovery": (class_recovery_metrics, None),
+    "representation_ablation": (representation_ablation, None),
+    "representation_compare": (representation_compare, None),
+    "learned_compare": (learned_compare, None),
+    "eval_summary": (eval_summary, None),
+    "group_enrichment": (group_enrichment_report, None),
+    "genus_groups": (
+        genus_groups,
+        """WITH g AS (SELECT ['Myxococcus', 'Streptomyces', 'Bacillus', ''][doc_id % 4 + 1] AS genus FROM documents JOIN labels USING (doc_id))
+        SELECT genus, CASE genus WHEN 'Myxococcus' THEN 'Myxobacteria' WHEN 'Streptomyces' THEN 'Streptomyces' ELSE 'Other' END AS "group", count(*) AS n
+        FROM g GROUP BY genus""",
+    ),
+    "case_lookup": (case_lookups, None),
+    "pooled_novelty": (pooled_novelty, None),
+    "sweep_summary": (
+        sweep,
+        """WITH r AS (SELECT lower(o_orderpriority) || '/' || o_orderstatus AS cfg, o_totalprice / 1000000 AS f1, o_custkey / 1000 AS s,
+                    o_totalprice / 500000 - o_orderkey / 500000 AS t FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 > 0)
+        SELECT cfg, count(*) AS n_runs, round(avg(f1), 6) AS macro_f1_learned, round(avg(s), 6) AS size_confound_learned, round(avg(t), 6) AS temporal_delta
+        FROM r GROUP BY cfg""",
+    ),
+    "sweep_best": (
+        sweep_best,
+        "SELECT l_suppkey AS run, max(l_discount) AS macro_f1_learned FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_suppkey",
+    ),
+    "stream_apply": (stream_apply, None),
+}

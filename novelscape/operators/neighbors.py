@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from novelscape.operators.tokens import ENTITY, top_per_group
 from novelscape.session import settle
@@ -115,20 +116,27 @@ def _k_best(
     return np.concatenate(found_rows), np.concatenate(found_cols), np.concatenate(found_dist)
 
 
-def nearest_points(queries: DataFrame, references: DataFrame, k: int, skip_self: bool) -> DataFrame:
+def _size(points: DataFrame) -> tuple[int, int]:
+    """Number of points and of entities."""
+    row = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def nearest_points(
+    queries: DataFrame, references: DataFrame, k: int, skip_self: bool, n_queries: int, n_references: int
+) -> DataFrame:
     """``point, neighbor, dist, copies``: the k nearest reference points per query point.
 
     Both inputs have ``point, z, copies`` and are read several times; pass settled tables.
     With ``skip_self`` a point is no neighbor of itself.
     """
-    size = references.count()
-    id_type = references.schema["point"].dataType.simpleString()
-    pivots = _pivots(references, size)
+    query_id, ref_id = (df.schema["point"].dataType for df in (queries, references))
+    pivots = _pivots(references, n_references)
     if len(pivots) > 1:
         cells, query_sizes, ref_sizes = _bounds(queries, references, pivots, k + 1 if skip_self else k)
     else:
         cells = None
-        query_sizes, ref_sizes = {0: queries.count()}, {0: size}
+        query_sizes, ref_sizes = {0: n_queries}, {0: n_references}
     width = max([len(pivots), 1])
     query_blocks = np.array([math.ceil(query_sizes.get(c, 0) / QUERY_BLOCK) or 1 for c in range(width)])
     ref_blocks = np.array([math.ceil(ref_sizes.get(c, 0) / REFERENCE_BLOCK) or 1 for c in range(width)])
@@ -165,19 +173,23 @@ def nearest_points(queries: DataFrame, references: DataFrame, k: int, skip_self:
 
         return spread
 
-    schema = f"cell int, query_block int, ref_block int, point {id_type}, z array<double>, copies long"
+    schema = "cell int, query_block int, ref_block int, point {}, z array<double>, copies long"
     slot = F.pmod(F.xxhash64("point"), F.lit(2**31 - 1)).alias("slot")
     key = ["cell", "query_block", "ref_block"]
-    left = queries.select("point", "z", "copies", slot).mapInArrow(place(True), schema)
-    right = references.select("point", "z", "copies", slot).mapInArrow(place(False), schema)
+    left = queries.select("point", "z", "copies", slot).mapInArrow(
+        place(True), schema.format(query_id.simpleString())
+    )
+    right = references.select("point", "z", "copies", slot).mapInArrow(
+        place(False), schema.format(ref_id.simpleString())
+    )
 
-    arrow_id = {"string": pa.string(), "int": pa.int32()}.get(id_type, pa.int64())
+    query_arrow, ref_arrow = to_arrow_type(query_id), to_arrow_type(ref_id)
 
     def compare(lhs: pa.Table, rhs: pa.Table) -> pa.Table:
         names = ["point", "neighbor", "dist", "copies"]
         if lhs.num_rows == 0 or rhs.num_rows == 0:
-            empty = [pa.array([], arrow_id), pa.array([], arrow_id), pa.array([], pa.float64()), pa.array([], pa.int64())]
-            return pa.Table.from_arrays(empty, names=names)
+            types = (query_arrow, ref_arrow, pa.float64(), pa.int64())
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
         query_ids = lhs["point"].to_numpy()
         ref_ids = rhs["point"].to_numpy()
         rows, cols, dist = _k_best(query_ids, _matrix(lhs["z"]), ref_ids, _matrix(rhs["z"]), k, skip_self)
@@ -194,7 +206,10 @@ def nearest_points(queries: DataFrame, references: DataFrame, k: int, skip_self:
     found = (
         left.groupBy(*key)
         .cogroup(right.groupBy(*key))
-        .applyInArrow(compare, f"point {id_type}, neighbor {id_type}, dist double, copies long")
+        .applyInArrow(
+            compare,
+            f"point {query_id.simpleString()}, neighbor {ref_id.simpleString()}, dist double, copies long",
+        )
     )
     return top_per_group(found, "point", ["dist", "neighbor"], k)
 
@@ -286,9 +301,9 @@ def leave_one_out(vectors: DataFrame, k: int) -> DataFrame:
     nearest to the smallest of them, and that one to the largest.
     """
     points = settle(distinct_points(vectors))
-    total = points.agg(F.sum("copies")).first()[0] or 0
+    n, total = _size(points)
     k = min(k, max(1, total - 1))
-    scored = _summary(points, nearest_points(points, points, k, skip_self=True), k, loo=True)
+    scored = _summary(points, nearest_points(points, points, k, True, n, n), k, loo=True)
     twin = F.when(F.col(ENTITY) == F.col("point"), F.col("last")).otherwise(F.col("point"))
     return vectors.select(ENTITY, "z").join(scored, "z").select(
         ENTITY,
@@ -303,11 +318,12 @@ def against_reference(queries: DataFrame, references: DataFrame, k: int) -> Data
     """The same columns for query entities among the reference entities."""
     ref_points = settle(distinct_points(references))
     query_points = settle(distinct_points(queries))
-    total = ref_points.agg(F.sum("copies")).first()[0] or 0
+    n, total = _size(ref_points)
     if total == 0:
         raise ValueError("no reference vectors")
     k = min(k, total)
-    scored = _summary(query_points, nearest_points(query_points, ref_points, k, skip_self=False), k, loo=False)
+    near = nearest_points(query_points, ref_points, k, False, _size(query_points)[0], n)
+    scored = _summary(query_points, near, k, loo=False)
     return queries.select(ENTITY, "z").join(scored, "z").select(
         ENTITY,
         "knn_mean_dist",
