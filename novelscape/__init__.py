@@ -1,3 +1,10 @@
 """Novelty analytics for entities described by ordered tokens and vectors, on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the job, so that executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -28,9 +28,12 @@ from novelscape.session import settle
 
 CELL_POINTS = 2048
 MAX_PIVOTS = 2048
-QUERY_BLOCK = 1024
-REFERENCE_BLOCK = 4096
-_SLICE = 256
+QUERY_BLOCK = 8192
+REFERENCE_BLOCK = 8192
+# Cells are used if the bounds rule out at least this share of the comparisons.
+WORTHWHILE = 0.3
+_SLICE = 512
+_PROBE = 2048
 _PAIRS = 65_536
 
 
@@ -88,20 +91,25 @@ def _k_best(
     r = r[order]
     r2 = (r**2).sum(1)
     lookup = pd.Index(ref_ids[order]) if skip_self else None
+    # Per query |r|^2 - 2 q.r orders the references as the distance does.
+    rhs = np.vstack([-2.0 * r.T, r2])
+    want = min(k, len(r))
+    probe = min(len(r), max(_PROBE, 4 * k))
     found_rows, found_cols, found_dist = [], [], []
     for start in range(0, len(q), _SLICE):
         part = q[start : start + _SLICE]
-        p2 = (part**2).sum(1)
-        squared = p2[:, None] + r2[None, :] - 2 * (part @ r.T)
+        score = np.hstack([part, np.ones((len(part), 1))]) @ rhs
         if skip_self:
             at = lookup.get_indexer(query_ids[start : start + _SLICE])
             hit = np.nonzero(at >= 0)[0]
-            squared[hit, at[hit]] = np.inf
-        want = min(k, len(r))
-        kth = np.partition(squared, want - 1, axis=1)[:, want - 1]
-        # The expanded square is inexact, so keep all within rounding of the k-th and measure those directly.
-        slack = 1e-11 * (p2.max(initial=0.0) + r2.max(initial=0.0)) + 1e-300
-        rows, cols = np.nonzero((squared <= kth[:, None] + slack) & np.isfinite(squared))
+            score[hit, at[hit]] = np.inf
+        # The k-th best of some references bounds the k-th best of all.
+        limit = np.partition(score[:, :probe], want - 1, axis=1)[:, want - 1]
+        # The score is inexact, so keep all within rounding of the limit and measure those directly.
+        slack = 1e-11 * ((part**2).sum(1).max(initial=0.0) + r2.max(initial=0.0)) + 1e-300
+        rows, cols = np.nonzero(score <= (limit + slack)[:, None])
+        finite = np.isfinite(score[rows, cols])
+        rows, cols = rows[finite], cols[finite]
         dist = np.empty(len(rows))
         for s in range(0, len(rows), _PAIRS):
             cut = slice(s, s + _PAIRS)
@@ -132,14 +140,17 @@ def nearest_points(
     """
     query_id, ref_id = (df.schema["point"].dataType for df in (queries, references))
     pivots = _pivots(references, n_references)
+    cells, query_sizes, ref_sizes = None, np.array([n_queries]), np.array([n_references])
     if len(pivots) > 1:
-        cells, query_sizes, ref_sizes = _bounds(queries, references, pivots, k + 1 if skip_self else k)
-    else:
-        cells = None
-        query_sizes, ref_sizes = {0: n_queries}, {0: n_references}
-    width = max([len(pivots), 1])
-    query_blocks = np.array([math.ceil(query_sizes.get(c, 0) / QUERY_BLOCK) or 1 for c in range(width)])
-    ref_blocks = np.array([math.ceil(ref_sizes.get(c, 0) / REFERENCE_BLOCK) or 1 for c in range(width)])
+        bounded = _bounds(queries, references, pivots, k + 1 if skip_self else k)
+        kept = float((bounded[1] * bounded[2]).sum()) / max(1.0, float(n_queries) * n_references)
+        if kept <= 1 - WORTHWHILE:
+            cells, query_sizes, ref_sizes = bounded
+    # Blocks as large as allowed, but enough of them to keep all cores busy.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    query_block = max(256, min(QUERY_BLOCK, math.ceil(n_queries / cores)))
+    query_blocks = np.maximum(1, np.ceil(query_sizes / query_block)).astype(np.int64)
+    ref_blocks = np.maximum(1, np.ceil(ref_sizes / REFERENCE_BLOCK)).astype(np.int64)
 
     def place(is_query: bool):
         mine, others = (query_blocks, ref_blocks) if is_query else (ref_blocks, query_blocks)
@@ -225,8 +236,11 @@ def _pivots(references: DataFrame, size: int) -> np.ndarray:
 
 def _bounds(
     queries: DataFrame, references: DataFrame, pivots: np.ndarray, need: int
-) -> tuple[_Cells, dict[int, int], dict[int, int]]:
-    """Cell bounds and sizes; what is collected is bounded by the number of pivots."""
+) -> tuple[_Cells, np.ndarray, np.ndarray]:
+    """Cell bounds, and per cell the query points and the references sent to it.
+
+    What is collected is bounded by the number of pivots.
+    """
     empty = np.zeros(len(pivots))
     bare = _Cells(pivots, empty, empty, empty)
 
@@ -242,7 +256,7 @@ def _bounds(
         return df.select("z").mapInArrow(reach, "cell int, reach double")
 
     outer, inner = np.zeros(len(pivots)), np.zeros(len(pivots))
-    query_sizes: dict[int, int] = {}
+    query_sizes, ref_sizes = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots), dtype=np.int64)
     edges = reaches(queries).groupBy("cell").agg(
         F.max("reach").alias("outer"), F.min("reach").alias("inner"), F.count(F.lit(1)).alias("n")
     )
@@ -253,7 +267,7 @@ def _bounds(
     between = _distances(pivots, pivots)
     bound = np.full(len(pivots), -1.0)
     at, close = closest["cell"].to_numpy(), closest["reach"].to_numpy()
-    for cell in query_sizes:
+    for cell in np.nonzero(query_sizes)[0]:
         upper = between[cell, at] + close
         bound[cell] = np.partition(upper, need - 1)[need - 1] + outer[cell] if len(upper) >= need else np.inf
     cells = _Cells(pivots, outer, inner, bound)
@@ -268,7 +282,8 @@ def _bounds(
         )
 
     sent = references.select("z").mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    ref_sizes = {r["cell"]: r["n"] for r in sent.collect()}
+    for row in sent.collect():
+        ref_sizes[row["cell"]] = row["n"]
     return cells, query_sizes, ref_sizes
 
 
