@@ -12,6 +12,4 @@ from novelscape.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, 4, "8g")
     session.sparkContext.setLogLevel("ERROR")
-    # Keep small fixtures in several partitions, so that segment boundaries are exercised.
-    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     yield session

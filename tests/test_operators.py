@@ -13,6 +13,14 @@ from novelscape.operators.ordering import SEGMENT
 random.seed(5)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def apart(spark):
+    """Keep small fixtures in several partitions, so that segment boundaries are exercised."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """Group 0 holds most of the rows, and one value is shared by a third of them."""
