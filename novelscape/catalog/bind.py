@@ -124,7 +124,7 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
     split = F.split(F.lower("text"), r"\s+")
     return (
         documents(spark, folder)
-        .select("entity_id", F.posexplode(split).alias("pos", "token"))
+        .select("entity_id", F.posexplode_outer(split).alias("pos", "token"))
         .where("token <> ''")
         .select("entity_id", (F.col("pos") + 1).alias("gene_order"), F.lit(0).alias("token_pos"), "token")
     )

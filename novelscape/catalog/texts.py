@@ -27,7 +27,7 @@ NAMES = r"(?:tion[a-z]*|eau\s+[a-z]+)"
 
 
 def _lines(spark, d):
-    return documents(spark, d).select("entity_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return documents(spark, d).select("entity_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
 
 
 def class_coarsen(spark, d):

@@ -27,17 +27,25 @@ def _filled(value: Column) -> Column:
 
 def names(node: Column, path: str, *keys: str) -> Column:
     """Strings of a mixed array: for objects the first filled key, else the scalar; ``''`` if neither."""
-    return F.transform(
-        items(node, path),
-        lambda x: F.coalesce(*[_filled(_scalar(x, f"$.{k}")) for k in keys], _scalar(x, "$"), F.lit("")),
-    )
+
+    def name(x: Column) -> Column:
+        fields = [_filled(_scalar(x, f"$.{k}")) for k in keys]
+        return (
+            F.when(_is(x, "OBJECT"), F.coalesce(*fields, F.lit("")))
+            .when(_is(x, "ARRAY"), "")
+            .otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+        )
+
+    return F.transform(items(node, path), name)
+
+
+def _is(node: Column, kind: str) -> Column:
+    return F.startswith(F.schema_of_variant(node), F.lit(kind))
 
 
 def _scalar(node: Column, path: str) -> Column:
     inner = F.try_variant_get(node, path, "variant")
-    kind = F.schema_of_variant(inner)
-    composite = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-    return F.when(~composite, F.try_variant_get(node, path, "string"))
+    return F.when(~(_is(inner, "OBJECT") | _is(inner, "ARRAY")), F.try_variant_get(node, path, "string"))
 
 
 def class_names(record: Column) -> Column:

@@ -13,7 +13,10 @@ from novelscape.sources.records import parsed, read_documents
 
 def region_rows(documents: DataFrame) -> DataFrame:
     """``path, bgc_id, products, genes``: one row per area of each record."""
-    records = parsed(documents).select("path", F.posexplode(R.items(F.col("record"), "$.records")).alias("_no", "_rec"))
+    # The outer form spares a second evaluation of the array by an inferred filter.
+    records = parsed(documents).select(
+        "path", F.posexplode_outer(R.items(F.col("record"), "$.records")).alias("_no", "_rec")
+    ).where("_rec is not null")
     rec = F.col("_rec")
     name = F.coalesce(
         *[F.when(c != "", c) for c in (R.text(rec, "$.name"), R.text(rec, "$.id"))],
@@ -21,7 +24,9 @@ def region_rows(documents: DataFrame) -> DataFrame:
     )
     areas = R.items(rec, "$.areas")
     areas = F.when(F.size(areas) > 0, areas).otherwise(R.items(rec, "$.regions"))
-    rows = records.select("path", name.alias("_name"), F.posexplode(areas).alias("_at", "_area"))
+    rows = records.select("path", name.alias("_name"), F.posexplode_outer(areas).alias("_at", "_area")).where(
+        "_area is not null"
+    )
     area = F.col("_area")
     genes = R.items(area, "$.cds")
     genes = F.when(F.size(genes) > 0, genes).otherwise(R.items(area, "$.orfs"))
@@ -36,8 +41,8 @@ def region_rows(documents: DataFrame) -> DataFrame:
 def predicted_tokens(documents: DataFrame, genome: str | None = None) -> DataFrame:
     """The six-column token table: gene tokens, else products, else one ``unknown``."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    regions = region_rows(documents)
-    tokens = F.flatten(F.transform("genes", R.gene_tokens))
+    regions = region_rows(documents).withColumn("_tokens", F.flatten(F.transform("genes", R.gene_tokens)))
+    tokens = F.col("_tokens")
     plain = F.when(F.size("products") > 0, F.col("products")).otherwise(F.array(F.lit("unknown")))
     chosen = regions.select(
         (F.lit(genome) if genome is not None else stem).alias("genome"),
@@ -52,7 +57,7 @@ def predicted_tokens(documents: DataFrame, genome: str | None = None) -> DataFra
         "bgc_id",
         "predicted_class",
         F.greatest(F.col("_found.n"), F.lit(1)).alias("n_genes"),
-        F.posexplode("_found.tokens").alias("_at", "_token"),
+        F.posexplode_outer("_found.tokens").alias("_at", "_token"),
     ).select(
         "genome",
         "bgc_id",

@@ -14,6 +14,7 @@ from novelscape.functions.classes import product_class
 from novelscape.functions.text import PREDICTED_LENGTH, accession, clean_id, first_word, label_tokens, product_tokens
 from novelscape.operators.ordering import sequence
 from novelscape.operators.tokens import running_flag, top_per_group
+from novelscape.session import settle
 
 RECORD_END = "\n//\n"
 REGION_FILE = r"(?i)\.region\d+\.gbk$"
@@ -82,7 +83,8 @@ def features(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     keep = keep if keep is not None else [c for c in records.columns if c != "content"]
     table = F.concat(F.lit("\n"), _section(F.col("content"), "FEATURES", "ORIGIN|CONTIG|BASE COUNT|WGS|//"))
-    blocks = records.select(*keep, F.posexplode(F.split(table, r"\n(?= {5}\S)")).alias("pos", "_block"))
+    # The outer form spares a second evaluation of the split by an inferred filter.
+    blocks = records.select(*keep, F.posexplode_outer(F.split(table, r"\n(?= {5}\S)")).alias("pos", "_block"))
     split = blocks.where("pos > 0").withColumn("_parts", F.split("_block", r"\n {21}/"))
     head = F.get("_parts", 0)
     location = F.regexp_replace(F.regexp_extract(head, r"(?s)^ *\S+\s+(.*)$", 1), r"\s", "")
@@ -149,6 +151,7 @@ def curated_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
             label_tokens(F.col("_labels"))
         ),
     )
+    tagged = settle(tagged)
     tokens = tagged.select(
         "entity_id",
         "path",
@@ -170,10 +173,10 @@ def curated_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         "token",
         F.when(F.col("is_cds") & (F.col("_at") == 0), F.col("_length")).otherwise(0).alias("aa_length"),
     )
-    members = described.where(F.col("is_cds") & (F.length("translation") >= MIN_MEMBER_LENGTH)).select(
+    members = tagged.where(F.col("is_cds") & (F.length("translation") >= MIN_MEMBER_LENGTH)).select(
         "entity_id", "path", "gene_order", "locus_tag", "product", "translation", F.length("translation").alias("aa_length")
     )
-    sizes = described.where("is_cds").groupBy("path").agg(
+    sizes = tagged.where("is_cds").groupBy("path").agg(
         F.count(F.lit(1)).alias("_genes"), F.avg("aa_size").alias("_mean"), F.sum("aa_size").alias("_total")
     )
     hits = tokens.where("token <> ''")
@@ -233,7 +236,8 @@ def predicted_tokens(records: DataFrame, genome: str | None = None, label: Colum
         lambda t: t != "",
     )
     is_domain = kind.isin(*DOMAIN_TYPES)
-    marked = rows.select(
+    # Parsed once, read several times.
+    marked = settle(rows.select(
         *key,
         "pos",
         "first",
@@ -241,7 +245,7 @@ def predicted_tokens(records: DataFrame, genome: str | None = None, label: Colum
         (kind == "CDS").alias("is_cds"),
         products.alias("products"),
         F.when(is_domain, F.array(first_word(named))).when(kind == "CDS", fallback).alias("tokens"),
-    )
+    ))
     # A record has few region features; their product lists make its class.
     regions = marked.where("products is not null").select(*key, "pos", F.posexplode("products").alias("_i", "_product"))
     distinct = regions.select(*key, "_product").distinct()
