@@ -28,11 +28,13 @@ from novelscape.session import settle
 
 CELL_POINTS = 2048
 MAX_PIVOTS = 2048
-QUERY_BLOCK = 8192
-REFERENCE_BLOCK = 8192
+# What is shuffled grows with the number of blocks, so blocks are as large as a task can take.
+MIN_BLOCK = 1024
+MAX_BLOCK = 32_768
+BLOCK_PAIRS_PER_CORE = 8
 # Cells are used if the bounds rule out at least this share of the comparisons.
 WORTHWHILE = 0.3
-_SLICE = 512
+_SLICE = 256
 _PROBE = 2048
 _PAIRS = 65_536
 
@@ -89,25 +91,33 @@ def _k_best(
     """Rows, columns and distances of the k nearest references per query, ties by reference id."""
     order = np.argsort(ref_ids, kind="stable")
     r = r[order]
-    r2 = (r**2).sum(1)
     lookup = pd.Index(ref_ids[order]) if skip_self else None
-    # Per query |r|^2 - 2 q.r orders the references as the distance does.
-    rhs = np.vstack([-2.0 * r.T, r2])
+    # Per query |r|^2 - 2 q.r orders the references as the distance does.  Single precision
+    # only picks candidates; the slack bounds its rounding error (d terms of size |q||r| and |r|^2).
+    # Moving and scaling both sides keeps the order and the numbers in range.
+    middle = r.mean(axis=0)
+    scale = max(np.abs(r - middle).max(), np.abs(q - middle).max()) or 1.0
+    moved = (r - middle) / scale
+    r2 = (moved**2).sum(1)
+    largest = math.sqrt(r2.max())
+    rhs = np.vstack([-2.0 * moved.T, r2]).astype(np.float32)
     want = min(k, len(r))
     probe = min(len(r), max(_PROBE, 4 * k))
     found_rows, found_cols, found_dist = [], [], []
     for start in range(0, len(q), _SLICE):
         part = q[start : start + _SLICE]
-        score = np.hstack([part, np.ones((len(part), 1))]) @ rhs
+        near = (part - middle) / scale
+        score = np.hstack([near, np.ones((len(part), 1))]).astype(np.float32) @ rhs
         if skip_self:
             at = lookup.get_indexer(query_ids[start : start + _SLICE])
             hit = np.nonzero(at >= 0)[0]
             score[hit, at[hit]] = np.inf
         # The k-th best of some references bounds the k-th best of all.
         limit = np.partition(score[:, :probe], want - 1, axis=1)[:, want - 1]
-        # The score is inexact, so keep all within rounding of the limit and measure those directly.
-        slack = 1e-11 * ((part**2).sum(1).max(initial=0.0) + r2.max(initial=0.0)) + 1e-300
-        rows, cols = np.nonzero(score <= (limit + slack)[:, None])
+        norms = np.sqrt((near**2).sum(1))
+        slack = (r.shape[1] + 8) * 2.0**-23 * largest * (2 * norms + largest) + 1e-30
+        hits = np.flatnonzero(score <= (limit + 2 * slack).astype(np.float32)[:, None])
+        rows, cols = np.divmod(hits, score.shape[1])
         finite = np.isfinite(score[rows, cols])
         rows, cols = rows[finite], cols[finite]
         dist = np.empty(len(rows))
@@ -146,11 +156,11 @@ def nearest_points(
         kept = float((bounded[1] * bounded[2]).sum()) / max(1.0, float(n_queries) * n_references)
         if kept <= 1 - WORTHWHILE:
             cells, query_sizes, ref_sizes = bounded
-    # Blocks as large as allowed, but enough of them to keep all cores busy.
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    query_block = max(256, min(QUERY_BLOCK, math.ceil(n_queries / cores)))
-    query_blocks = np.maximum(1, np.ceil(query_sizes / query_block)).astype(np.int64)
-    ref_blocks = np.maximum(1, np.ceil(ref_sizes / REFERENCE_BLOCK)).astype(np.int64)
+    fair = math.sqrt(float(n_queries) * n_references / (BLOCK_PAIRS_PER_CORE * cores))
+    block = max(MIN_BLOCK, min(MAX_BLOCK, math.ceil(fair)))
+    query_blocks = np.maximum(1, np.ceil(query_sizes / block)).astype(np.int64)
+    ref_blocks = np.maximum(1, np.ceil(ref_sizes / block)).astype(np.int64)
 
     def place(is_query: bool):
         mine, others = (query_blocks, ref_blocks) if is_query else (ref_blocks, query_blocks)

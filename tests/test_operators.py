@@ -75,7 +75,7 @@ def points(spark, z, first=0):
 @pytest.mark.parametrize("cut", [False, True])
 def test_neighbors_equal_brute_force(spark, monkeypatch, cut):
     if cut:  # many small cells and blocks, bounds always used
-        for name, value in (("CELL_POINTS", 15), ("QUERY_BLOCK", 16), ("REFERENCE_BLOCK", 32), ("WORTHWHILE", -1), ("_PROBE", 8)):
+        for name, value in (("CELL_POINTS", 15), ("MIN_BLOCK", 16), ("MAX_BLOCK", 32), ("WORTHWHILE", -1), ("_PROBE", 8)):
             monkeypatch.setattr(neighbors, name, value)
     rng = np.random.default_rng(1)
     z = np.concatenate([rng.normal(size=(150, 3)), np.round(rng.normal(size=(150, 3))), np.ones((60, 3)), rng.normal(size=(40, 3)) * 0.1 + 9])
@@ -89,6 +89,13 @@ def test_neighbors_equal_brute_force(spark, monkeypatch, cut):
         assert np.allclose(got[column], expected, atol=1e-12)
 
 
+@pytest.mark.parametrize("scale", [1e-20, 1e25])
+def test_neighbors_at_any_scale(spark, scale):
+    z = np.random.default_rng(8).normal(size=(80, 4)) * scale + 1e3 * scale
+    out = neighbors.leave_one_out(points(spark, z), 3).orderBy("entity_id").toPandas()
+    assert np.allclose(out.knn_mean_dist / scale, brute(z / scale, 3)[0], rtol=1e-9)
+
+
 def test_neighbors_few_points(spark):
     out = neighbors.leave_one_out(points(spark, np.array([[0.0], [1.0], [3.0]])), 5).orderBy("entity_id").toPandas()
     assert out.knn_mean_dist.tolist() == [2.0, 1.5, 2.5]
