@@ -18,7 +18,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Stands for a line break among the words of ``words(..., lines=True)``.
 LINE = "\x1e"
 #: Bytes of text that are split into words at once; a longer text is a slice by itself.
-SLICE = 6 << 20
+SLICE = 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:

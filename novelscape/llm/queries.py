@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import common, line_dedup, packing, simhash, token_ids
+from novelscape.llm import common, decontaminate, line_dedup, packing, simhash, token_ids
 
 
 def word_vocabulary() -> str:
@@ -53,6 +53,10 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, folder, "documents"), word_vocabulary())
 
 
+def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.findings(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,5 +66,6 @@ QUERIES = {
     "op1_token_output": (token_output, None),
     "op2_line_dedup": (line_duplicates, LINE_DUPLICATES_SQL),
     "op7_packing": (packed_sequences, None),
+    "op8_decontaminate": (benchmark_passages, None),
     "op9_simhash": (near_duplicates, None),
 }

@@ -11,11 +11,13 @@ empty table gives an empty file.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,9 @@ from novelscape.llm import common
 
 END = 1
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Latin words that are one part to a vocabulary with word ends, and such with one mark, which are two.
+WORD, MARKED, SUFFIX = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]+$", "</w>"
 #: Ids in one sorted file.
 IDS_PER_FILE = 16_000_000
 
@@ -37,6 +41,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.separator, self.mark, self.end = separator, self.tokenizer.token_to_id(separator), end
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        self.narrow = names[-1][1] < 1 << 16
+        self.ends = np.zeros(names[-1][1] + 1, dtype=bool)
+        if json.loads(vocabulary)["model"].get("end_of_word_suffix") == SUFFIX:
+            self.ends[[i for name, i in names if name.endswith(SUFFIX)]] = True
+        else:
+            self.ends = self.ends[:0]
         self.forget()
 
     def forget(self) -> None:
@@ -45,26 +56,44 @@ class WordEncoder:
         self.starts, self.lengths = np.array([0]), np.array([1])
 
     def learn(self, new: list[str]) -> None:
-        flat, lengths = [], []
-        plain = [w for w in new if self.separator not in w]
-        for low in range(0, len(plain), 1000):
+        """Encode ``new`` words. Latin words, with or without a mark behind, are encoded as one text and told apart by
+        the tokens that end a part; others stand between separators, and those that hold a separator alone."""
+        if not new:
+            return
+        marks = np.where(np.asarray(pc.match_substring_regex(pa.array(new, pa.string()), WORD)), 1, 0)
+        marks = np.where(np.asarray(pc.match_substring_regex(pa.array(new, pa.string()), MARKED)), 2, marks)
+        flat, lengths, order = [], [], []
+        simple = np.flatnonzero(marks) if len(self.ends) else marks[:0]
+        for low in range(0, len(simple), 2000):
+            some = simple[low : low + 2000]
+            ids = np.array(self.ids(" ".join([new[i] for i in some.tolist()])), dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != marks[some].sum():
+                marks[some] = 0
+                continue
+            flat.append(ids)
+            lengths.append(np.diff(stops[np.cumsum(marks[some]) - 1], prepend=0))
+            order.append(some)
+        other = np.flatnonzero(marks == 0) if len(self.ends) else np.arange(len(new))
+        held = np.array([self.separator in new[i] for i in other.tolist()], dtype=bool)
+        for low in range(0, len(plain := other[~held]), 1000):
             some = plain[low : low + 1000]
-            ids = self.tokenizer.encode(self.separator.join(some) + self.separator, add_special_tokens=False).ids
-            ids = np.array(ids, dtype=np.uint32)
-            marks = np.flatnonzero(ids == self.mark)
-            lengths.append(np.diff(marks, prepend=-1) - 1)
+            ids = np.array(self.ids(self.separator.join([new[i] for i in some.tolist()]) + self.separator), dtype=np.uint32)
+            lengths.append(np.diff(np.flatnonzero(ids == self.mark), prepend=-1) - 1)
             flat.append(ids[ids != self.mark])
-        odd = [w for w in new if self.separator in w]
-        for word in odd:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.uint32)
-            flat.append(ids)
-            lengths.append([len(ids)])
-        if new:
-            known, lengths = len(self.starts), np.concatenate(lengths)
-            self.place.update(zip(plain + odd, range(known, known + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, *flat])
+            order.append(some)
+        for i in other[held].tolist():
+            flat.append(np.array(self.ids(new[i]), dtype=np.uint32))
+            lengths.append(np.array([len(flat[-1])]))
+            order.append(np.array([i]))
+        order, lengths, known = np.concatenate(order), np.concatenate(lengths), len(self.starts)
+        self.place.update(zip([new[i] for i in order.tolist()], range(known, known + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, *flat])
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end, and the places where texts start."""
@@ -109,11 +138,10 @@ def tokenized(docs: DataFrame, get: Callable[[], WordEncoder]) -> DataFrame:
             text = batch.column("text")
             for low, high in common.slices(text):
                 ids, starts = own.encode(text.slice(low, high - low))
-                # Planes of low and high bytes compress better than whole integers.
                 raw, size, crcs, blobs = memoryview(ids.astype("<u4")).cast("B"), np.diff(starts), [], []
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
-                    blobs.append(squeeze.compress(ids[a:b].astype("<u2") if own.tokenizer.get_vocab_size() <= 65536 else raw[4 * a : 4 * b]))
+                    blobs.append(squeeze.compress(ids[a:b].astype("<u2") if own.narrow else raw[4 * a : 4 * b]))
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(low, high - low), pa.array(size, pa.int64()), pa.array(crcs, pa.int64()), pa.array(blobs, pa.binary())],
                     names=["doc_id", "n_tokens", "ids_crc32", "ids"],
