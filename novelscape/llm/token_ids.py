@@ -42,6 +42,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.separator, self.mark, self.end = separator, self.tokenizer.token_to_id(separator), end
         names = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        self.lower = '{"type":"Lowercase"}' in json.dumps(json.loads(vocabulary)["normalizer"], separators=(",", ":"))
         self.narrow = names[-1][1] < 1 << 16
         self.ends = np.zeros(names[-1][1] + 1, dtype=bool)
         if json.loads(vocabulary)["model"].get("end_of_word_suffix") == SUFFIX:
@@ -97,7 +98,9 @@ class WordEncoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end, and the places where texts start."""
-        codes, distinct, offsets = common.words(text)
+        # The vocabulary is lower case; only the marks of special tokens tell cases apart.
+        lower = self.lower and not pc.any(pc.match_substring(text, "<|")).as_py()
+        codes, distinct, offsets = common.words(text, lower=lower)
         if len(self.place) > REMEMBERED:
             self.forget()
         distinct = distinct.to_pylist()
