@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import common, decontaminate, line_dedup, packing, simhash, token_ids
+from novelscape.llm import common, decontaminate, language, line_dedup, packing, quality, simhash, token_ids, toxicity
 
 
 def word_vocabulary() -> str:
@@ -53,6 +53,28 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, folder, "documents"), word_vocabulary())
 
 
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.scored(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+    return found.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending", "offending"
+    )
+
+
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.predicted(common.table(spark, folder, "documents"))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def site() -> tuple[Column, Column]:
+    """Documents have no address: their source is the host, its language section the path."""
+    return F.col("source"), F.col("lang")
+
+
+def document_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    return quality.scored(docs, labels, *site()).drop("same")
+
+
 def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.findings(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
 
@@ -65,7 +87,10 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_output": (token_output, None),
     "op2_line_dedup": (line_duplicates, LINE_DUPLICATES_SQL),
+    "op5_toxicity": (toxic_documents, None),
+    "op6_language": (languages, None),
     "op7_packing": (packed_sequences, None),
     "op8_decontaminate": (benchmark_passages, None),
     "op9_simhash": (near_duplicates, None),
+    "op10_quality": (document_quality, None),
 }
