@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import common, decontaminate, language, line_dedup, packing, quality, simhash, token_ids, toxicity
+from novelscape.llm import ann, common, decontaminate, language, line_dedup, packing, quality, simhash, token_ids, toxicity
 
 
 def word_vocabulary() -> str:
@@ -53,6 +53,11 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, folder, "documents"), word_vocabulary())
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = common.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.scored(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
     return found.select(
@@ -87,6 +92,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_output": (token_output, None),
     "op2_line_dedup": (line_duplicates, LINE_DUPLICATES_SQL),
+    "op3_neighbors": (nearest_vectors, None),
     "op5_toxicity": (toxic_documents, None),
     "op6_language": (languages, None),
     "op7_packing": (packed_sequences, None),
