@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,77 +44,102 @@ NUMBER, UNIT, NAME = 1, 2, 3
 MARKS = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}
 _PART = re.compile(r"[^\W\d_]+|\d+(?:[.,:]\d+)*")
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
+_MARKED = {kind: xxhash.xxh64_intdigest(mark, 7) for kind, mark in MARKS.items()}
+_LOW = np.uint64((1 << 24) - 1)
+_CLOSING = "\"')]}»”’*#$%&"
+#: Words whose parts a task remembers.
+REMEMBERED = 300_000
 
 
 class Templates:
-    """Template words of blank-separated words, each worked out once."""
+    """Template words of blank-separated words, each worked out once.
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[list, bool]] = {}
-
-    def parts(self, word: str) -> tuple[list[tuple[int, str]], bool]:
-        """The (kind, surface) parts of a word, and whether it ends a sentence. Kind 0 is a plain word."""
-        if len(self.known) > 200_000:
-            self.known.clear()
-        if (found := self.known.get(word)) is None:
-            out = []
-            for part in _PART.findall(word):
-                if part[0].isdigit():
-                    out.append((NUMBER, part))
-                elif len(part) > 1 and part[0].isupper() and part[1:].islower():
-                    out.append((NAME, part))
-                else:
-                    out.append((0, part.lower()))
-            found = self.known[word] = out, word == common.LINE or word.rstrip("\"')]}»”’*#$%&")[-1:] in (".", "!", "?")
-        return found
+    A part of a word has a kind and a hash as it is, another kind and hash if it begins a sentence (a name is a plain
+    word there), and another hash if it follows a number (a unit).
+    """
 
-    def stream(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Of all texts: template word hashes, kinds, surfaces by code, codes, and where texts start."""
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.ends = np.zeros(0, dtype=bool)
+        self.surfaces: list[str] = []
+        self.kinds = np.zeros((2, 0), dtype=np.int8)
+        self.units = np.zeros(0, dtype=bool)
+        self.hashes = np.zeros((2, 0), dtype=np.uint64)
+
+    def learn(self, new: list[str]) -> None:
+        """Latin words with or without marks behind, nearly all words, are worked out together, others one by one."""
+        words = pa.array(new, pa.string())
+        simple = np.asarray(pc.match_substring_regex(words, "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*$"))
+        bare = pc.utf8_rtrim(words.filter(pa.array(simple)), ".,;:!?")
+        plain = pc.utf8_lower(bare)
+        digest = xxhash.xxh64_intdigest
+        own = np.array([digest(x, 7) for x in plain.to_pylist()], dtype=np.uint64)
+        name = np.asarray(pc.match_substring_regex(bare, "^[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+$"))
+        kinds = [np.where(name, NAME, 0).astype(np.int8)]
+        hashes = [np.where(name, np.uint64(_MARKED[NAME]), own), own]
+        units = [np.asarray(pc.is_in(plain, pa.array(sorted(UNITS))))]
+        ends = [np.asarray(pc.match_substring_regex(words.filter(pa.array(simple)), "[.!?]$"))]
+        lengths, odd = [np.ones(len(own), dtype=np.int64)], np.flatnonzero(~simple)
+        more = [self.parts(new[i]) for i in odd.tolist()]
+        flat = [x for parts, _ in more for x in parts]
+        surfaces = bare.to_pylist() + [x[0] for x in flat]
+        kinds = np.concatenate([*kinds, np.array([x[1] for x in flat], dtype=np.int8)])
+        first = np.concatenate([hashes[0], np.array([x[2] for x in flat], dtype=np.uint64)])
+        heads = np.concatenate([hashes[1], np.array([x[3] for x in flat], dtype=np.uint64)])
+        lengths = np.concatenate([*lengths, np.array([len(parts) for parts, _ in more], dtype=np.int64)])
+        order = np.flatnonzero(simple).tolist() + odd.tolist()
+        self.place.update(zip([new[i] for i in order], range(len(self.starts), len(self.starts) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.surfaces) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ends = np.concatenate([self.ends, *ends, np.array([end for _, end in more], dtype=bool)])
+        self.kinds = np.concatenate([self.kinds, [kinds, np.where(kinds == NAME, 0, kinds)]], axis=1)
+        self.units = np.concatenate([self.units, *units, np.array([x[0].lower() in UNITS for x in flat], dtype=bool)])
+        self.hashes = np.concatenate([self.hashes, [first, heads]], axis=1)
+        self.surfaces.extend(surfaces)
+
+    @staticmethod
+    def parts(word: str) -> tuple[list[tuple[str, int, int, int]], bool]:
+        """Surface, kind, hash and hash at the start of a sentence of each part, and whether the word ends a sentence."""
+        out = []
+        for part in _PART.findall(word):
+            own = xxhash.xxh64_intdigest(part.lower(), 7)
+            if part[0].isdigit():
+                out.append((part, NUMBER, _MARKED[NUMBER], _MARKED[NUMBER]))
+            elif len(part) > 1 and part[0].isupper() and part[1:].islower():
+                out.append((part, NAME, _MARKED[NAME], own))
+            else:
+                out.append((part, 0, own, own))
+        return out, word == common.LINE or word.rstrip(_CLOSING)[-1:] in (".", "!", "?")
+
+    def stream(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts: template word hashes, kinds, surfaces by number, and where texts start."""
         codes, distinct, offsets = common.words(text, lines=True)
-        surfaces, place, starts, ends = [], {}, [], []
-        flat_code, flat_kind, flat_hash = [], [], []
-
-        def one(kind: int, surface: str) -> int:
-            if (kind, surface) not in place:
-                place[kind, surface] = len(surfaces)
-                surfaces.append(surface)
-                flat_kind.append(kind)
-                plain = MARKS.get(kind) or surface
-                flat_hash.append(xxhash.xxh64_intdigest(plain, 7))
-            return place[kind, surface]
-
-        for word in distinct.to_pylist():
-            parts, end = self.parts(word)
-            starts.append(len(flat_code))
-            flat_code.extend(one(k, s) for k, s in parts)
-            ends.append(end)
-        starts = np.array([*starts, len(flat_code)], dtype=np.int64)
-        ends = np.array(ends, dtype=bool)
-        lengths = np.diff(starts)[codes]
-        stream = np.array(flat_code, dtype=np.int64)[common.ragged(starts[:-1][codes], lengths)] if len(codes) else np.zeros(0, dtype=np.int64)
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        distinct = distinct.to_pylist()
+        self.learn([w for w in distinct if w not in self.place])
+        word = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[codes]
+        lengths = self.lengths[word]
+        part = common.ragged(self.starts[word], lengths)
         before = np.concatenate([[0], np.cumsum(lengths)])
         begins = before[offsets]
         # The first word of a text or after the end of a sentence is no name.
-        initial = np.concatenate([[True], ends[codes][:-1]]) if len(codes) else np.zeros(0, dtype=bool)
-        initial[offsets[:-1][offsets[:-1] < len(codes)]] = True
-        heads = before[:-1][initial & (lengths > 0)]
-        plain = {c: one(0, surfaces[c].lower()) for c in np.unique(stream[heads]).tolist() if flat_kind[c] == NAME}
-        if plain:
-            swap = np.arange(len(surfaces))
-            swap[list(plain)] = list(plain.values())
-            stream[heads] = swap[stream[heads]]
+        initial = np.ones(len(word) + 1, dtype=bool)
+        initial[1:] = self.ends[word]
+        initial[offsets[:-1]] = True
+        heads = before[:-1][initial[:-1] & (lengths > 0)]
+        hashes, kinds = self.hashes[0][part], self.kinds[0][part]
+        hashes[heads], kinds[heads] = self.hashes[1][part[heads]], self.kinds[1][part[heads]]
         # A unit is one after a number only.
-        units = {c: one(UNIT, s) for (k, s), c in list(place.items()) if k == 0 and s in UNITS}
-        if units:
-            kinds = np.array(flat_kind)
-            after = np.flatnonzero(kinds[stream[:-1]] == NUMBER) + 1 if len(stream) else np.zeros(0, dtype=np.int64)
-            after = after[~np.isin(after, begins)]
-            swap = np.arange(len(surfaces))
-            swap[list(units)] = list(units.values())
-            stream[after] = swap[stream[after]]
-        kinds = np.array(flat_kind, dtype=np.int64)[stream] if len(stream) else np.zeros(0, dtype=np.int64)
-        hashes = np.array(flat_hash, dtype=np.uint64)[stream] if len(stream) else np.zeros(0, dtype=np.uint64)
-        return hashes, kinds, surfaces, stream, begins
+        unit = np.flatnonzero(self.units[part[1:]] & (kinds[:-1] == NUMBER)) + 1
+        unit = unit[~np.isin(unit, begins)]
+        hashes[unit], kinds[unit] = _MARKED[UNIT], UNIT
+        return hashes, kinds, part, begins
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -137,7 +163,7 @@ def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool
         for batch in batches:
             text = batch.column("text")
             for low, high in common.slices(text):
-                hashes, kinds, surfaces, stream, begins = own.stream(text.slice(low, high - low))
+                hashes, kinds, stream, begins = own.stream(text.slice(low, high - low))
                 plain = np.concatenate([[0], np.cumsum(kinds == 0)])
                 row_of = np.repeat(np.arange(high - low), np.diff(begins))
                 rows, places, sizes, found = [], [], [], []
@@ -148,10 +174,10 @@ def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool
                             at = np.arange(a, b - n + 1)
                             rows.append(np.full(len(at), r)), places.append(at), sizes.append(np.full(len(at), n)), found.append(window_hashes(hashes[a:b], n))
                 else:
-                    for n, known in wanted.value.items():
+                    for n, (known, low_bits) in wanted.value.items():
                         mine = window_hashes(hashes, n)
-                        hit = np.searchsorted(known, mine)
-                        at = np.flatnonzero(known[np.minimum(hit, len(known) - 1)] == mine)
+                        at = np.flatnonzero(low_bits[(mine & _LOW).astype(np.int64)])
+                        at = at[known[np.minimum(np.searchsorted(known, mine[at]), len(known) - 1)] == mine[at]]
                         at = at[row_of[at] == row_of[at + n - 1]]
                         rows.append(row_of[at]), places.append(at), sizes.append(np.full(len(at), n)), found.append(mine[at])
                 if not rows:
@@ -161,8 +187,8 @@ def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool
                 rows, places, sizes, found = rows[good], places[good], sizes[good], found[good]
                 templates, slots = [], []
                 for p, n in zip(places.tolist(), sizes.tolist()):
-                    kind, word = kinds[p : p + n].tolist(), [surfaces[c] for c in stream[p : p + n].tolist()]
-                    templates.append(" ".join(MARKS.get(k) or w for k, w in zip(kind, word)))
+                    kind, word = kinds[p : p + n].tolist(), [own.surfaces[c] for c in stream[p : p + n].tolist()]
+                    templates.append(" ".join(MARKS.get(k) or w.lower() for k, w in zip(kind, word)))
                     slots.append([f"{k} {w}" for k, w in zip(kind, word) if k])
                 yield pa.record_batch(
                     [batch.column("id").slice(low, high - low).take(pa.array(rows, pa.int64())), pa.array(places - begins[rows], pa.int64()), pa.array(sizes, pa.int32()),
@@ -207,9 +233,14 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, litera
 
 
 def hashes_of(spark: SparkSession, hashes: DataFrame):
-    """A broadcast of window size to sorted hashes; the caller bounds their number."""
-    got = hashes.toPandas()
-    return spark.sparkContext.broadcast({int(n): np.sort(g.to_numpy().view(np.uint64)) for n, g in got.groupby("size")["hash"]})
+    """A broadcast of window size to sorted hashes, and flags of their low bits; the caller bounds their number."""
+    got, out = hashes.toPandas(), {}
+    for size, group in got.groupby("size")["hash"]:
+        known = np.sort(group.to_numpy().view(np.uint64))
+        flags = np.zeros(int(_LOW) + 1, dtype=bool)
+        flags[(known & _LOW).astype(np.int64)] = True
+        out[int(size)] = known, flags
+    return spark.sparkContext.broadcast(out)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
