@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import ann, common, decontaminate, language, line_dedup, packing, quality, simhash, token_ids, toxicity
+from novelscape.llm import ann, common, decontaminate, language, line_dedup, packing, quality, simhash, suffix_tree, token_ids, toxicity
 
 
 def word_vocabulary() -> str:
@@ -58,6 +58,10 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.scored(common.table(spark, folder, "documents"))
+
+
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.scored(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
     return found.select(
@@ -93,6 +97,7 @@ QUERIES = {
     "op1_token_output": (token_output, None),
     "op2_line_dedup": (line_duplicates, LINE_DUPLICATES_SQL),
     "op3_neighbors": (nearest_vectors, None),
+    "op4_suffix_tree": (language_model, None),
     "op5_toxicity": (toxic_documents, None),
     "op6_language": (languages, None),
     "op7_packing": (packed_sequences, None),
