@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,17 +51,29 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.names = pa.array([], pa.string())
         self.pool = np.array([self.end], dtype=np.uint32)
-        self.starts, self.lengths = np.array([0]), np.array([1])
-
-    def learn(self, new: list[str]) -> None:
-        """Encode ``new`` words. Latin words, with or without a mark behind, are encoded as one text and told apart by
+        self.starts, self.lengths, self.hits = np.array([0]), np.array([1]), np.array([0])
+
+    def thin(self) -> None:
+        """Forget words that only one slice had."""
+        kept = np.flatnonzero(self.hits[1:] > 1)
+        if 2 * len(kept) > REMEMBERED:
+            return self.forget()
+        self.names = self.names.take(pa.array(kept))
+        entries = np.concatenate([[0], kept + 1])
+        starts, self.lengths = self.starts[entries], self.lengths[entries]
+        self.pool = self.pool[common.ragged(starts, self.lengths)]
+        self.starts, self.hits = np.cumsum(self.lengths) - self.lengths, np.ones(len(entries), dtype=np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        """Encode new words. Latin words, with or without a mark behind, are encoded as one text and told apart by
         the tokens that end a part; others stand between separators, and those that hold a separator alone."""
-        if not new:
+        if not len(words):
             return
-        marks = np.where(np.asarray(pc.match_substring_regex(pa.array(new, pa.string()), WORD)), 1, 0)
-        marks = np.where(np.asarray(pc.match_substring_regex(pa.array(new, pa.string()), MARKED)), 2, marks)
+        new = words.to_pylist()
+        marks = np.where(np.asarray(pc.match_substring_regex(words, WORD)), 1, 0)
+        marks = np.where(np.asarray(pc.match_substring_regex(words, MARKED)), 2, marks)
         flat, lengths, order = [], [], []
         simple = np.flatnonzero(marks) if len(self.ends) else marks[:0]
         for low in range(0, len(simple), 2000):
@@ -87,8 +98,10 @@ class WordEncoder:
             flat.append(np.array(self.ids(new[i]), dtype=np.uint32))
             lengths.append(np.array([len(flat[-1])]))
             order.append(np.array([i]))
-        order, lengths, known = np.concatenate(order), np.concatenate(lengths), len(self.starts)
-        self.place.update(zip([new[i] for i in order.tolist()], range(known, known + len(new))))
+        order, lengths = np.concatenate(order), np.concatenate(lengths)
+        self.order = order
+        self.names = pa.concat_arrays([self.names, words.take(pa.array(order))])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), dtype=np.int64)])
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.pool = np.concatenate([self.pool, *flat])
@@ -101,11 +114,15 @@ class WordEncoder:
         # The vocabulary is lower case; only the marks of special tokens tell cases apart.
         lower = self.lower and not pc.any(pc.match_substring(text, "<|")).as_py()
         codes, distinct, offsets = common.words(text, lower=lower)
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        distinct = distinct.to_pylist()
-        self.learn([w for w in distinct if w not in self.place])
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        if len(self.names) > REMEMBERED:
+            self.thin()
+        known = pc.index_in(distinct, value_set=self.names)
+        place = np.asarray(pc.fill_null(known, -1), dtype=np.int64) + 1
+        new, first = np.flatnonzero(place == 0), len(self.starts)
+        self.learn(distinct.take(pa.array(new)))
+        if len(new):
+            place[new[self.order]] = np.arange(first, first + len(new))
+        self.hits[place] += 1
         entries = np.insert(place[codes], offsets[1:], 0)
         lengths = self.lengths[entries]
         ids = self.pool[common.ragged(self.starts[entries], lengths)]
@@ -132,30 +149,47 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def binaries(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in ``raw``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def raw_of(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    values = column.buffers()[2]
+    return np.frombuffer(values, dtype=np.uint8)[offsets[0] : offsets[-1]] if values is not None and len(column) else np.zeros(0, dtype=np.uint8)
+
+
+def checksums(ids: np.ndarray, starts: np.ndarray) -> list[int]:
+    raw, bounds = memoryview(ids.astype("<u4")).cast("B"), (4 * starts).tolist()
+    return [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
 def tokenized(docs: DataFrame, get: Callable[[], WordEncoder]) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, ids`` of each row; ids are compressed unsigned 32-bit integers."""
+    """``doc_id, n_tokens, ids_crc32, ids`` of each row; ids are unsigned 16-bit integers, or 32-bit for a large vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, squeeze = get(), zstandard.ZstdCompressor(level=1)
+        own = get()
+        kind = "<u2" if own.narrow else "<u4"
         for batch in batches:
             text = batch.column("text")
             for low, high in common.slices(text):
                 ids, starts = own.encode(text.slice(low, high - low))
-                raw, size, crcs, blobs = memoryview(ids.astype("<u4")).cast("B"), np.diff(starts), [], []
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                    crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
-                    blobs.append(squeeze.compress(ids[a:b].astype("<u2") if own.narrow else raw[4 * a : 4 * b]))
+                raw = ids.astype(kind)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(size, pa.int64()), pa.array(crcs, pa.int64()), pa.array(blobs, pa.binary())],
+                    [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(starts), pa.int64()), pa.array(checksums(ids, starts), pa.int64()), binaries(raw, starts[1:] * raw.itemsize)],
                     names=["doc_id", "n_tokens", "ids_crc32", "ids"],
                 )
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def unpacked(blob: bytes, n: int) -> np.ndarray:
-    raw = zstandard.decompress(blob, max_output_size=4 * n)
-    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
+def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    """All ids of a batch of ``tokenized`` rows; a row has one at least."""
+    raw, n = raw_of(batch.column("ids")), int(np.asarray(batch.column("n_tokens")).sum())
+    return raw.view("<u2" if len(raw) == 2 * n else "<u4")
 
 
 def frequency_ranks(ids: DataFrame) -> np.ndarray:
@@ -164,11 +198,9 @@ def frequency_ranks(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for blob, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist()):
-                seen = np.bincount(unpacked(blob, n))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
-                total[: len(seen)] += seen
+            seen = np.bincount(unpacked(batch), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         there = np.flatnonzero(total)
         yield pa.record_batch([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["id", "n"])
 
@@ -177,14 +209,19 @@ def frequency_ranks(ids: DataFrame) -> np.ndarray:
     return np.array([row.id for row in ranked.collect()], dtype=np.uint32)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes; the last control byte is filled up with ranks of 0."""
-    ranks = np.concatenate([ranks, np.zeros(-len(ranks) % 4, dtype=np.uint32)]).astype("<u4")
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+def pack(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of runs of ``sizes`` ranks, and where each run's end; its last control byte is filled up
+    with ranks of 0."""
+    wide = -(-sizes // 4) * 4
+    filled = np.zeros(int(wide.sum()), dtype="<u4")
+    filled[common.ragged(np.cumsum(wide) - wide, sizes)] = ranks
+    more = (filled > 0xFF).astype(np.uint8) + (filled > 0xFFFF) + (filled > 0xFFFFFF)
     quads = more.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    data = filled.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    before = np.concatenate([[0], np.cumsum(more + 1, dtype=np.int64)])
+    ends = np.cumsum(wide)
+    return control.astype(np.uint8), ends // 4, data, before[ends]
 
 
 def lookup_table() -> np.ndarray:
@@ -193,11 +230,23 @@ def lookup_table() -> np.ndarray:
     return (np.arange(4) <= lengths[:, :, None]).reshape(256, 16)
 
 
-def unpack(control: bytes, data: bytes, n: int, table: np.ndarray) -> np.ndarray:
-    filled = table[np.frombuffer(control, dtype=np.uint8)]
+def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The ranks of all runs."""
+    filled = table[control]
     out = np.zeros(filled.shape, dtype=np.uint8)
-    out[filled] = np.frombuffer(data, dtype=np.uint8)
-    return out.reshape(-1).view("<u4")[:n]
+    out[filled] = data
+    wide = -(-sizes // 4) * 4
+    return out.reshape(-1).view("<u4")[common.ragged(np.cumsum(wide) - wide, sizes)]
+
+
+def parts_of(batch: pa.RecordBatch, weight: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``weight`` ids, one row at least."""
+    before = np.concatenate([[0], np.cumsum(np.asarray(batch.column("n_tokens")))])
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(before, before[low] + weight, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int = END, ids_per_file: int = IDS_PER_FILE) -> None:
@@ -216,16 +265,15 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int = END, ids
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            sizes, packed = batch.column("n_tokens").to_pylist(), []
-            for blob, size in zip(batch.column("ids").to_pylist(), sizes):
-                packed.append(pack(shared.value[unpacked(blob, size)]))
-            starts = before + np.cumsum([0, *sizes])
-            before = int(starts[-1])
-            yield pa.record_batch(
-                [batch.column("part"), batch.column("doc_id"), pa.array(starts[:-1], pa.int64()), batch.column("n_tokens"),
-                 pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                names=["part", "doc_id", "start_in_part", "n_tokens", "control", "data"],
-            )
+            for some in parts_of(batch):
+                sizes = np.asarray(some.column("n_tokens"))
+                control, control_ends, data, data_ends = pack(shared.value[unpacked(some)], sizes)
+                starts = before + np.cumsum(sizes) - sizes
+                before += int(sizes.sum())
+                yield pa.record_batch(
+                    [some.column("part"), some.column("doc_id"), pa.array(starts, pa.int64()), some.column("n_tokens"), binaries(control, control_ends), binaries(data, data_ends)],
+                    names=["part", "doc_id", "start_in_part", "n_tokens", "control", "data"],
+                )
 
     rows = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = "part int, doc_id long, start_in_part long, n_tokens long, control binary, data binary"
@@ -239,23 +287,20 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
     ids = np.frombuffer(spark.read.parquet(f"{folder}/ranks").first().ids, dtype="<u4")
     # One row for each file, as many as there were tasks.
     sizes = {r.part: r.n for r in coded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    shared = spark.sparkContext.broadcast((ids, before))
+    first = np.zeros(max(sizes, default=0) + 2, dtype=np.int64)
+    first[[p + 1 for p in sizes]] = list(sizes.values())
+    shared = spark.sparkContext.broadcast((ids, np.cumsum(first)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (names, first), table = shared.value, lookup_table()
         for batch in batches:
-            part, start, n, control, data = (batch.column(c).to_pylist() for c in ("part", "start_in_part", "n_tokens", "control", "data"))
-            found = (names[unpack(c, d, k, table)] for c, d, k in zip(control, data, n))
-            crcs, lists = [], []
-            for one in found:
-                crcs.append(zlib.crc32(one.astype("<u4").tobytes()))
-                if with_ids:
-                    lists.append(one.astype(np.int64))
-            begin = [first[p] + s for p, s in zip(part, start)]
-            out = [batch.column("doc_id"), pa.array(begin, pa.int64()), batch.column("n_tokens"), pa.array(crcs, pa.int64())]
-            yield pa.record_batch(out + [pa.array(lists, pa.list_(pa.int64()))] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+            for some in parts_of(batch):
+                size = np.asarray(some.column("n_tokens"))
+                found = names[unpack(raw_of(some.column("control")), raw_of(some.column("data")), size, table)]
+                starts = np.concatenate([[0], np.cumsum(size)])
+                begin = first[np.asarray(some.column("part"))] + np.asarray(some.column("start_in_part"))
+                out = [some.column("doc_id"), pa.array(begin, pa.int64()), some.column("n_tokens"), pa.array(checksums(found, starts), pa.int64())]
+                lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found.astype(np.int64)))] * with_ids
+                yield pa.record_batch(out + lists, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return coded.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
