@@ -1,15 +1,20 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the
-next stage's ``docs``.
+next stage's ``docs``. All but the last return the columns of the documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from novelscape.llm import common, line_dedup, packing
-from novelscape.llm.queries import word_vocabulary
+from novelscape.llm import common, decontaminate, line_dedup, packing, quality, simhash
+from novelscape.llm.queries import site, word_vocabulary
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier and their sites reject."""
+    return quality.kept(docs, common.table(spark, sf_dir, "labels"), *site())
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,19 +22,35 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.first_of_each(docs, **simhash.ALIKE)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a passage of the benchmark."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and their places in sequences."""
     return packing.pack_documents(docs, word_vocabulary())
 
 
-STAGES = [("line dedup", drop_lines), ("packing", pack)]
+STAGES = [
+    ("quality", good_documents),
+    ("line dedup", drop_lines),
+    ("near duplicates", one_of_each),
+    ("decontamination", without_benchmark),
+    ("packing", pack),
+]
 
 #: No SQL: a trained classifier and a packing search are not expressible.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:

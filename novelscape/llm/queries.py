@@ -90,7 +90,7 @@ def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, folder, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
