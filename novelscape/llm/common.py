@@ -68,6 +68,16 @@ def worker_state(name: str) -> types.SimpleNamespace:
     return getattr(home, name)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def slices(text: pa.Array) -> list[tuple[int, int]]:
     """Row ranges of at most ``SLICE`` bytes, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)

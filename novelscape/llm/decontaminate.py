@@ -245,5 +245,6 @@ def hashes_of(spark: SparkSession, hashes: DataFrame):
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold a benchmark passage. Rows without ``doc_id`` are kept or dropped together."""
-    found = common.stored(findings(docs, benchmark, **options).select(F.col("doc_id").alias("__found")).distinct())
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__found")), "left_anti")
+    (name,) = common.fresh(docs, "found")
+    found = common.stored(findings(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -91,25 +91,29 @@ def dropped_by(keep_runs: Column, n_lines: Column) -> Column:
 
 
 def with_kept_text(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """All columns of ``docs`` and ``__n_lines, __n_dropped, __kept``: its lines without the dropped ones."""
-    maps = keep_bitmaps(docs, ident, text, least)
-    maps = maps.select(F.struct("doc", "same").alias("__row"), F.col("n_dropped").alias("__n"), F.col("keep_runs").alias("__runs"))
-    own = docs.withColumn("__row", F.struct(F.col(ident).alias("doc"), F.xxhash64(text).alias("same")))
-    same = F.col("l.__row.doc").eqNullSafe(F.col("r.__row.doc")) & (F.col("l.__row.same") == F.col("r.__row.same"))
+    """All columns of ``docs`` and, as the last three, its number of lines, of dropped lines, and its text without these.
+
+    They are named ``n_lines, n_dropped, kept``, with underscores in front if ``docs`` has such columns.
+    """
+    row, n_lines, n_dropped, kept = common.fresh(docs, "row", "n_lines", "n_dropped", "kept")
+    maps = keep_bitmaps(docs, ident, text, least).select(F.struct("doc", "same").alias("found"), F.col("n_dropped").alias("n"), F.col("keep_runs").alias("runs"))
+    own = docs.withColumn(row, F.struct(F.col(ident).alias("doc"), F.xxhash64(text).alias("same")))
+    same = F.col(f"l.{row}.doc").eqNullSafe(F.col("r.found.doc")) & (F.col(f"l.{row}.same") == F.col("r.found.same"))
     joined = own.alias("l").join(maps.alias("r").hint("shuffle_hash"), same, "left")
     lines = split_lines(F.col(f"l.`{text}`"))
-    drops = dropped_by(F.col("r.__runs"), F.size(lines))
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("line"), drops.alias("out")), lambda z: ~z.out), lambda z: z.line), "\n")
+    drops = dropped_by(F.col("r.runs"), F.size(lines))
+    left = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("line"), drops.alias("out")), lambda z: ~z.out), lambda z: z.line), "\n")
     return joined.select(
         *[F.col(f"l.`{c}`") for c in docs.columns],
-        F.size(lines).cast("long").alias("__n_lines"),
-        F.coalesce("r.__n", F.lit(0)).cast("long").alias("__n_dropped"),
-        F.when(F.col("r.__n").isNull(), F.coalesce(F.col(f"l.`{text}`"), F.lit(""))).otherwise(kept).alias("__kept"),
+        F.size(lines).cast("long").alias(n_lines),
+        F.coalesce("r.n", F.lit(0)).cast("long").alias(n_dropped),
+        F.when(F.col("r.n").isNull(), F.coalesce(F.col(f"l.`{text}`"), F.lit(""))).otherwise(left).alias(kept),
     )
 
 
 def deduplicated(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` with the dropped lines taken out of ``text``; a null text that loses nothing stays null."""
+    """``docs`` with the dropped lines taken out of ``text``; a null text stays null."""
     cleaned = with_kept_text(docs, ident, text, least)
-    changed = F.when(F.col("__n_dropped") > 0, F.col("__kept")).otherwise(F.col(text))
+    *_, n_dropped, kept = cleaned.columns
+    changed = F.when(F.col(n_dropped) > 0, F.col(kept)).otherwise(F.col(text))
     return cleaned.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

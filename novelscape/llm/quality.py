@@ -168,8 +168,8 @@ def prior_weight(groups: DataFrame, s: Column, n: Column, center: Column) -> flo
 def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, **options) -> DataFrame:
     """``docs`` without the rejected rows."""
     out = common.stored(scored(docs, labels, host, path, **options).where(~F.col("keep")).select("doc_id", "same").distinct())
-    rejected = out.select(F.struct("doc_id", "same").alias("__rejected"))
-    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"))
-    with_key = docs.withColumn("__row", own)
-    same = F.col("__row.doc_id").eqNullSafe(F.col("__rejected.doc_id")) & (F.col("__row.same") == F.col("__rejected.same"))
-    return with_key.join(rejected, same, "left_anti").drop("__row")
+    row, rejected = common.fresh(docs, "row", "rejected")
+    out = out.select(F.struct("doc_id", "same").alias(rejected))
+    own = docs.withColumn(row, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same")))
+    same = F.col(f"{row}.doc_id").eqNullSafe(F.col(f"{rejected}.doc_id")) & (F.col(f"{row}.same") == F.col(f"{rejected}.same"))
+    return own.join(out, same, "left_anti").drop(row)

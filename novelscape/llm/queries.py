@@ -24,9 +24,9 @@ def line_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.with_kept_text(docs).select(
         "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
-        F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"),
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )
 
 

@@ -275,11 +275,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest ``doc_id``. Rows without ``doc_id`` stay."""
     found = common.stored(near_duplicates(docs, **options).select("doc_id", "component_id"))
-    others = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__other")).distinct()
-    stay = docs.join(others, F.col("doc_id") == F.col("__other"), "left_anti")
-    twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
-    twice = common.stored(twice)
-    if twice.isEmpty():
+    other, twice = common.fresh(docs, "other", "twice")
+    others = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(other)).distinct()
+    stay = docs.join(others, F.col("doc_id") == F.col(other), "left_anti")
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)
+    again = common.stored(again)
+    if again.isEmpty():
         return stay
-    once = stay.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
-    return once.unionByName(stay.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))
+    once = stay.join(again, F.col("doc_id") == F.col(twice), "left_anti")
+    return once.unionByName(stay.join(again, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id"]))

@@ -25,11 +25,11 @@ from novelscape.llm import common
 from novelscape.llm.token_ids import texts_of
 
 #: Labelled rows that are trained on at most.
-BOUND = 12_000
+BOUND = 10_000
 BUCKETS = 1 << 20
 #: First letters of a word that are features beside the word.
 PREFIXES = (4, 5, 6)
-#: Training documents that a feature needs.
+#: Training sentences that a feature needs.
 LEAST = 4
 MARKS = ".,;:!?\"'()[]{}<>|%$&*#«»„“”…-"
 
@@ -76,22 +76,29 @@ class Sentences:
         return sentence, word, sizes, flat, first
 
 
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 150, rate: float = 0.08, sparse: float = 1.5) -> tuple[np.ndarray, float]:
+def train(texts: pa.Array, labels: np.ndarray, rounds: int = 120, rate: float = 0.08, sparse: float = 1.5) -> tuple[np.ndarray, float]:
     """Weights of features and the intercept, by Adam on the noisy-or likelihood."""
-    sentence, word, sizes, flat, first = Sentences().split(texts)
-    docs, n = len(labels), int(first[-1])
-    owner = np.repeat(np.arange(docs), np.diff(first))
-    # Features seen in too few documents stay at 0.
-    wide = np.repeat(word, sizes[word])
-    at = flat[common.ragged((np.cumsum(sizes) - sizes)[word], sizes[word])]
-    seen = np.unique(np.repeat(owner[sentence], sizes[word]) * BUCKETS + at) % BUCKETS
-    df = np.bincount(seen, minlength=BUCKETS)
-    del wide, seen, at
+    docs, own, parts, first, n_words = len(labels), Sentences(), [], [np.zeros(1, dtype=np.int64)], 0
+    for low, high in common.slices(texts):
+        sentence, word, sizes, flat, begins = own.split(texts.slice(low, high - low))
+        parts.append(((sentence + first[-1][-1]).astype(np.int32), (word + n_words).astype(np.int32), sizes, flat.astype(np.int32)))
+        first.append(begins[1:] + first[-1][-1])
+        n_words += len(sizes)
+    sentence, word, sizes, flat = (np.concatenate(x) for x in zip(*parts))
+    del parts, own
+    first = np.concatenate(first)
+    n = int(first[-1])
+    owner = np.repeat(np.arange(docs, dtype=np.int32), np.diff(first))
+    # Features of words in too few sentences stay at 0.
+    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    df = np.bincount(flat, weights=np.bincount(word, minlength=len(sizes))[word_of], minlength=BUCKETS)
     used = df >= LEAST
-    word_of = np.repeat(np.arange(len(sizes)), sizes)
     active = used[flat]
-    columns, place = np.unique(flat[active], return_inverse=True)
-    word_of = word_of[active]
+    columns = np.flatnonzero(used)
+    number = np.zeros(BUCKETS, dtype=np.int32)
+    number[columns] = np.arange(len(columns))
+    word_of, place = word_of[active], number[flat[active]]
+    del flat, active
     mean = labels.mean()
     bias = np.log(max(-np.log1p(-mean) / max(n / docs, 1), 1e-9))
     w, moments = np.zeros(len(columns) + 1), np.zeros((2, len(columns) + 1))
@@ -123,11 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     known = known.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (common.crc_mod("doc_id", 5) != 0))
     chosen = common.stored(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(bound))
-    sample = texts_of(docs).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "y").select("text", "y").toArrow()
+    sample = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "y").toArrow()
     y = np.asarray(sample.column("y"), dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return train(sample.column("text").combine_chunks(), y)
+    return train(pa.concat_arrays(sample.column("text").chunks), y)
 
 
 def sentence_scores(model, own: Sentences, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
