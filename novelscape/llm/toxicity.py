@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ class Sentences:
             if len(self.known) > 150_000:
                 self.known.clear()
             bare = word.strip(MARKS).lower()
-            parts = [bare, *(f"{bare[:n]}~" for n in PREFIXES if len(bare) >= n)] if bare and word != common.LINE else []
-            end = word == common.LINE or word.rstrip("\"')]}»”*#$%&")[-1:] in (".", "!", "?")
+            parts = [bare, *(f"{bare[:n]}~" for n in PREFIXES if len(bare) >= n)] if bare else []
+            end = word.rstrip("\"')]}»”*#$%&")[-1:] in (".", "!", "?")
             found = self.known[word] = np.array([xxhash.xxh32_intdigest(p) % BUCKETS for p in parts], dtype=np.int64), end
         return found
 
@@ -57,9 +58,13 @@ class Sentences:
         ends = np.array([e for _, e in looked], dtype=bool)
         sizes = np.array([len(f) for f, _ in looked], dtype=np.int64)
         flat = np.concatenate([f for f, _ in looked]) if looked else np.zeros(0, dtype=np.int64)
-        # A sentence begins after an end and with each text.
+        # A sentence begins after an end or a line break, and with each text; the breaks themselves go.
+        line = pc.index(distinct, pa.scalar(common.LINE, distinct.type)).as_py()
+        ends, real = ends[codes], codes != line
+        ends[:-1] |= ~real[1:]
+        codes, ends, offsets = codes[real], ends[real], np.concatenate([[0], np.cumsum(real)])[offsets]
         starts = np.zeros(len(codes) + 1, dtype=np.int64)
-        starts[1:] = ends[codes]
+        starts[1:] = ends
         starts[offsets[:-1]] = 1
         starts[len(codes)] = 0
         number = np.cumsum(starts[:-1]) if len(codes) else np.zeros(0, dtype=np.int64)
@@ -76,7 +81,7 @@ class Sentences:
         return sentence, word, sizes, flat, first
 
 
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 120, rate: float = 0.08, sparse: float = 1.5) -> tuple[np.ndarray, float]:
+def train(texts: pa.Array, labels: np.ndarray, rounds: int = 160, rate: float = 0.08, sparse: float = 1.5) -> tuple[np.ndarray, float]:
     """Weights of features and the intercept, by Adam on the noisy-or likelihood."""
     docs, own, parts, first, n_words = len(labels), Sentences(), [], [np.zeros(1, dtype=np.int64)], 0
     for low, high in common.slices(texts):
