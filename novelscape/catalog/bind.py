@@ -135,6 +135,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).drop("text").join(labels, "entity_id")
 
 
+DOCUMENTS = "d AS (SELECT doc_id AS entity_id, lang, source, n_chars FROM documents)"
 LABELLED = "d AS (SELECT doc_id AS entity_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))"
 
 

@@ -6,9 +6,10 @@ plans are tested against brute force on small fixtures.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from novelscape.catalog.bind import activity, basket, labelled, orders, r6, scratch, table, vectors, words
+from novelscape.catalog.bind import VECTORS, activity, basket, documents, loo_sql, orders, r6, scratch, table, vectors, words
 from novelscape.operators.features import build_features
 from novelscape.operators.vectors import as_vectors, pool_members
 from novelscape.plans import compare as M
@@ -57,10 +58,32 @@ def flagship(spark, d):
     )
 
 
+def _dense(spark, d, width=50):
+    """Vectors of as many dimensions as the projection has components, so that it is a rotation."""
+    return vectors(spark, d).select("entity_id", "biosynth_class", F.slice("z", 1, width).alias("z"))
+
+
 def pca_embed(spark, d):
-    entities, features, _ = basket_features(spark, d)
-    embedding, _, _ = atlas(features, entities.select("entity_id"))
-    return embedding.select("entity_id", F.size("z").alias("dims"))
+    rows = _dense(spark, d)
+    embedding, _, projection = atlas(settle(as_vectors(rows, "z")), rows.select("entity_id"))
+    norm = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
+    return embedding.select("entity_id", F.size("z").alias("dims"), r6(norm).alias("norm"), F.lit(round(sum(projection.explained), 6)).alias("explained"))
+
+
+def basket_vectors(spark, d):
+    """Each entity's vector, by its number of non-zero features and its sum by kind."""
+    _, features, vocabulary = basket_features(spark, d)
+    z = vector_to_array("features")
+    hashed = vocabulary.names.index("arch_hash::0")
+    end = hashed + 256
+    total = lambda a, n: F.aggregate(F.slice(z, a + 1, n), F.lit(0.0), lambda s, x: s + x)
+    return features.select(
+        "entity_id",
+        F.size(F.filter(F.slice(z, 1, hashed), lambda x: x != 0)).alias("n_tokens"),
+        total(0, hashed).alias("tokens"),
+        total(hashed, 256).alias("hashed"),
+        r6(total(end, 6)).alias("sizes"),
+    )
 
 
 def atlas_frame(spark, d):
@@ -162,7 +185,7 @@ def eval_summary(spark, d):
 
 
 def group_enrichment_report(spark, d):
-    docs = labelled(spark, d).select(
+    docs = documents(spark, d).select(
         "entity_id", F.col("n_chars").cast("double").alias("novelty"), F.col("lang").alias("group"), F.col("source").alias("genus"), (F.col("n_chars") / 1000).cast("int").alias("n_genes")
     )
     return group_enrichment(docs, "fr", "en", size_max=60)
@@ -170,27 +193,28 @@ def group_enrichment_report(spark, d):
 
 def genus_groups(spark, d):
     genera = F.array(*[F.lit(g) for g in ("Myxococcus xanthus", "Streptomyces sp.", "Bacillus subtilis", "")])
-    docs = labelled(spark, d).select("entity_id", F.get(genera, (F.col("entity_id") % 4).cast("int")).alias("organism"))
+    docs = documents(spark, d).select("entity_id", F.get(genera, (F.col("entity_id") % 4).cast("int")).alias("organism"))
     return with_genus(docs).groupBy("genus", "group").agg(F.count(F.lit(1)).alias("n"))
 
 
 def case_lookups(spark, d):
     entities = settle(
-        labelled(spark, d).select("entity_id", F.col("lang").alias("biosynth_class"), F.col("source").alias("organism"), F.col("n_chars").alias("n_genes"))
+        documents(spark, d).select("entity_id", F.col("lang").alias("biosynth_class"), F.col("source").alias("organism"), F.col("n_chars").alias("n_genes"))
     )
-    features, _ = build_features(entities, words(spark, d), min_df=50)
-    embedding, _, _ = atlas(features, entities.select("entity_id"), 20)
+    features, _ = build_features(entities, words(spark, d))
+    embedding, _, _ = atlas(features, entities.select("entity_id"))
     scores = settle(rank_novelty(embedding, entities))
     top = scores.orderBy("rank").limit(20).select("entity_id")
     return case_lookup(top, scores, entities, words(spark, d)).withColumn("rarest_tokens", F.to_json("rarest_tokens"))
 
 
 def pooled_novelty(spark, d):
+    """Members pooled by 100 entities, in at most as many dimensions as the projection has components."""
     members = table(spark, d, "embeddings").select(
-        (F.col("vec_id") % 100).alias("entity_id"), (F.col("vec_id") % 7 * 100).alias("aa_length"), "embedding"
+        (F.col("vec_id") % 100).alias("entity_id"), (F.col("vec_id") % 7 * 100).alias("aa_length"), F.slice("embedding", 1, 50).alias("embedding")
     )
     pooled = settle(as_vectors(pool_members(members), "embedding"))
-    return embed_scores(pooled, center=True).select("entity_id", "novelty")
+    return embed_scores(pooled, center=True).select("entity_id", "nearest_id", *[r6(c).alias(c) for c in ("knn_mean_dist", "nearest_dist", "novelty")])
 
 
 def sweep(spark, d):
@@ -243,7 +267,18 @@ QUERIES = {
     "flagship_ranking": (flagship, None),
     "pca_embed": (
         pca_embed,
-        "SELECT DISTINCT l_orderkey AS entity_id, 50 AS dims FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+        f"""WITH {VECTORS}, c AS (SELECT entity_id, generate_subscripts(z[1:50], 1) AS dim, unnest(z[1:50]) AS x FROM v),
+        s AS (SELECT dim, stddev_pop(x) AS sd, avg(x) AS m FROM c GROUP BY dim)
+        SELECT entity_id, 50 AS dims, round(sum(((x - m) / sd) ** 2), 6) AS norm, 1.0::DOUBLE AS explained FROM c JOIN s USING (dim) GROUP BY entity_id""",
+    ),
+    "basket_vectors": (
+        basket_vectors,
+        """WITH b AS (SELECT l_orderkey AS entity_id, p_brand AS token, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+        freq AS (SELECT token FROM (SELECT DISTINCT entity_id, token FROM b) GROUP BY token HAVING count(*) >= 3),
+        n AS (SELECT entity_id, count(DISTINCT token) AS n_tokens, count(*)::DOUBLE AS tokens FROM b SEMI JOIN freq USING (token) GROUP BY entity_id),
+        e AS (SELECT entity_id, count(*) AS n, sum(l_quantity) AS total, avg(l_quantity) AS mean FROM b GROUP BY entity_id)
+        SELECT entity_id, coalesce(n_tokens, 0)::INT AS n_tokens, coalesce(tokens, 0.0)::DOUBLE AS tokens, (2 * n - 1)::DOUBLE AS hashed,
+               round((n + n + total + mean)::DOUBLE, 6) AS sizes FROM e LEFT JOIN n USING (entity_id)""",
     ),
     "atlas_frame": (atlas_frame, None),
     "validate_audit": (validate_audit, None),
@@ -258,12 +293,20 @@ QUERIES = {
     "group_enrichment": (group_enrichment_report, None),
     "genus_groups": (
         genus_groups,
-        """WITH g AS (SELECT ['Myxococcus', 'Streptomyces', 'Bacillus', ''][doc_id % 4 + 1] AS genus FROM documents JOIN labels USING (doc_id))
+        """WITH g AS (SELECT ['Myxococcus', 'Streptomyces', 'Bacillus', ''][doc_id % 4 + 1] AS genus FROM documents)
         SELECT genus, CASE genus WHEN 'Myxococcus' THEN 'Myxobacteria' WHEN 'Streptomyces' THEN 'Streptomyces' ELSE 'Other' END AS "group", count(*) AS n
         FROM g GROUP BY genus""",
     ),
     "case_lookup": (case_lookups, None),
-    "pooled_novelty": (pooled_novelty, None),
+    "pooled_novelty": (
+        pooled_novelty,
+        f"""WITH c AS (SELECT vec_id % 100 AS entity_id, greatest((vec_id % 7) * 100, 1)::DOUBLE AS w, generate_subscripts(embedding[1:50], 1) AS dim, unnest(embedding[1:50])::DOUBLE AS x FROM embeddings),
+        p AS (SELECT entity_id, dim, (sum(w * x) / sum(w))::FLOAT::DOUBLE AS x FROM c GROUP BY ALL),
+        sd AS (SELECT dim, stddev_pop(x) AS sd FROM p GROUP BY dim),
+        q AS (SELECT entity_id, list(x / sd ORDER BY dim) AS z FROM p JOIN sd USING (dim) GROUP BY entity_id),
+        {loo_sql("q")}
+        SELECT entity_id, nearest_id, round(knn_mean_dist, 6) AS knn_mean_dist, round(nearest_dist, 6) AS nearest_dist, round(novelty, 6) AS novelty FROM s""",
+    ),
     "sweep_summary": (
         sweep,
         """WITH r AS (SELECT lower(o_orderpriority) || '/' || o_orderstatus AS cfg, o_totalprice / 1000000 AS f1, o_custkey / 1000 AS s,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from novelscape.catalog.bind import LABELLED, VECTORS, labelled, loo_sql, orders, r6, table, vectors
+from novelscape.catalog.bind import DOCUMENTS, LABELLED, VECTORS, documents, labelled, loo_sql, orders, r6, table, vectors
 from novelscape.functions.text import leaks_class
 from novelscape.operators import classify as C
 from novelscape.operators import groups as G
@@ -151,13 +152,13 @@ def odds_ratio(spark, d):
 
 
 def enrichment_by_group(spark, d):
-    docs = G.high_share(_docs(spark, d), "n_chars")
+    docs = G.high_share(documents(spark, d).drop("text"), "n_chars")
     out = G.enrichment(docs, "source", F.col("is_high"))
     return out.select("source", "n_top", "n_total", r6("enrichment").alias("enrichment"))
 
 
 def group_summaries(spark, d):
-    docs = G.high_share(_docs(spark, d), "n_chars")
+    docs = G.high_share(documents(spark, d).drop("text"), "n_chars")
     labelled_docs = docs.withColumn("group", group_label(F.col("lang"), {"Romance": ("fr", "es"), "Germanic": ("de", "en")}))
     out = group_summary(labelled_docs, "n_chars", "group")
     return out.select("group", "n", *[r6(c).alias(c) for c in ("mean", "median", "share_high")])
@@ -230,19 +231,22 @@ def pool_weighted(spark, d):
 def pool_mean(spark, d):
     members = table(spark, d, "embeddings").select(F.col("label").alias("entity_id"), F.lit(1).alias("aa_length"), "embedding")
     pooled = V.pool_members(members, "mean")
-    return pooled.select("entity_id", "n_members")
+    return V.cells_long(pooled, "embedding").select(
+        "entity_id", (F.col("dim") + 1).alias("dim"), F.round(F.col("value").cast("double"), 5).alias("value")
+    )
 
 
 def scale_pop(spark, d):
-    cells = V.scaled_cells(V.cells_long(vectors(spark, d), "z"))
-    return cells.select("entity_id", (F.col("dim") + 1).alias("dim"), r6("scaled").alias("scaled"))
+    return _scaled(spark, d, center=False)
 
 
 def scaler_vectors(spark, d):
-    rows = V.as_vectors(table(spark, d, "embeddings"), "embedding", entity="vec_id")
-    scaled = V.Scaler.fit(rows, center=True).transform(rows)
-    from pyspark.ml.functions import vector_to_array
+    return _scaled(spark, d, center=True)
+
 
+def _scaled(spark, d, center):
+    rows = V.as_vectors(table(spark, d, "embeddings"), "embedding", entity="vec_id")
+    scaled = V.Scaler.fit(rows, center).transform(rows)
     cells = V.cells_long(scaled.select("entity_id", vector_to_array("features").alias("z")), "z")
     return cells.select("entity_id", (F.col("dim") + 1).alias("dim"), r6("value").alias("scaled"))
 
@@ -302,6 +306,7 @@ _HIGH_DOCS = f"""WITH {LABELLED},
 h AS (SELECT *, n_chars >= (SELECT quantile_cont(n_chars, 0.9) FROM d) AS is_high FROM d),
 t AS (SELECT count(*) FILTER (quality = 1 AND is_high) AS a_hit, count(*) FILTER (quality = 1 AND NOT is_high) AS a_rest,
              count(*) FILTER (quality = 0 AND is_high) AS b_hit, count(*) FILTER (quality = 0 AND NOT is_high) AS b_rest FROM h)"""
+_HIGH_ALL = f"""WITH {DOCUMENTS}, h AS (SELECT *, n_chars >= (SELECT quantile_cont(n_chars, 0.9) FROM d) AS is_high FROM d)"""
 _RANKED_DOCS = f"""WITH {LABELLED},
 r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS rk FROM d),
 u AS (SELECT count(*) FILTER (quality = 1) AS n_a, count(*) FILTER (quality = 0) AS n_b,
@@ -456,14 +461,14 @@ QUERIES = {
     ),
     "enrichment_by_group": (
         enrichment_by_group,
-        f"""{_HIGH_DOCS}, c AS (SELECT source, count(*) FILTER (is_high) AS n_top, count(*) AS n_total FROM h GROUP BY source)
+        f"""{_HIGH_ALL}, c AS (SELECT source, count(*) FILTER (is_high) AS n_top, count(*) AS n_total FROM h GROUP BY source)
         SELECT source, n_top, n_total, round((n_top::DOUBLE / (SELECT sum(n_top) FROM c)) / (n_total::DOUBLE / (SELECT sum(n_total) FROM c)), 6) AS enrichment
         FROM c WHERE n_top >= 3 AND n_total >= 5
         ORDER BY (n_top::DOUBLE / (SELECT sum(n_top) FROM c)) / (n_total::DOUBLE / (SELECT sum(n_total) FROM c)) DESC, n_top DESC, source LIMIT 12""",
     ),
     "group_summaries": (
         group_summaries,
-        f"""{_HIGH_DOCS} SELECT CASE WHEN lang IN ('fr', 'es') THEN 'Romance' WHEN lang IN ('de', 'en') THEN 'Germanic' ELSE 'Other' END AS "group",
+        f"""{_HIGH_ALL} SELECT CASE WHEN lang IN ('fr', 'es') THEN 'Romance' WHEN lang IN ('de', 'en') THEN 'Germanic' ELSE 'Other' END AS "group",
         count(*) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, round(avg(is_high::INT), 6) AS share_high
         FROM h GROUP BY 1""",
     ),
@@ -515,7 +520,11 @@ QUERIES = {
         """WITH c AS (SELECT label AS entity_id, greatest((vec_id % 7) * 100, 1)::DOUBLE AS w, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
         SELECT entity_id, dim::INT AS dim, round(((sum(w * x) / sum(w))::FLOAT)::DOUBLE, 5) AS value FROM c GROUP BY ALL""",
     ),
-    "pool_mean": (pool_mean, "SELECT label AS entity_id, count(*) AS n_members FROM embeddings GROUP BY label"),
+    "pool_mean": (
+        pool_mean,
+        """WITH c AS (SELECT label AS entity_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
+        SELECT entity_id, dim::INT AS dim, round((avg(x)::FLOAT)::DOUBLE, 5) AS value FROM c GROUP BY ALL""",
+    ),
     "scale_pop": (
         scale_pop,
         """WITH c AS (SELECT vec_id AS entity_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),

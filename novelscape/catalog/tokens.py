@@ -95,7 +95,7 @@ def running_token_number(spark, d):
 
 
 def entity_summary(spark, d):
-    meta = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(
+    meta = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("entity_id"),
         F.col("o_orderpriority").alias("biosynth_class"),
         F.lit(None).cast("string").alias("organism"),
@@ -260,7 +260,7 @@ QUERIES = {
     "entity_summary": (
         entity_summary,
         f"""WITH {BASKET},
-        meta AS (SELECT o_orderkey AS entity_id, o_orderpriority AS biosynth_class FROM orders WHERE o_orderstatus <> 'F'),
+        meta AS (SELECT o_orderkey AS entity_id, o_orderpriority AS biosynth_class FROM orders),
         sizes AS (SELECT l_orderkey AS entity_id, count(*) AS n_genes, sum(l_quantity)::BIGINT AS total_aa_length,
                          round(avg(l_quantity), 6) AS mean_aa_length FROM lineitem GROUP BY l_orderkey),
         lists AS (SELECT entity_id, string_agg(token, ';' ORDER BY token) AS types FROM (SELECT DISTINCT entity_id, token FROM basket) GROUP BY entity_id)

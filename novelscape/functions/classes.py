@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from novelscape.functions.text import strip
+
 # Fixed values: (substring, label), the first hit wins.
 CLASS_ALIASES = (
     ("nrps", "NRPS"),
@@ -51,7 +53,7 @@ def coarsen_classes(
     combinable: Sequence[str] = COMBINABLE,
 ) -> Column:
     """One label for an array of class names: its class, ``hybrid`` or ``other``."""
-    labels = F.array_distinct(F.transform(names, lambda c: first_alias(F.lower(F.trim(c)), aliases, OTHER)))
+    labels = F.array_distinct(F.transform(names, lambda c: first_alias(F.lower(strip(c)), aliases, OTHER)))
     majors = F.array_intersect(labels, F.array(*[F.lit(c) for c in combinable]))
     return (
         F.when(names.isNull() | (F.size(labels) == 0), OTHER)

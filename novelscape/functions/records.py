@@ -1,4 +1,7 @@
-"""Fields of polymorphic JSON records, read from ``VARIANT`` columns."""
+"""Fields of polymorphic JSON records, read from ``VARIANT`` columns.
+
+A record is a struct of the fields that are read, each a ``VARIANT``, so that no other part of a document is built.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 MAX_COMPOUNDS = 10
+FIELDS = ("accession", "biosynthesis", "taxonomy", "compounds", "genes", "status", "completeness", "quality", "changelog")
 
 
 def items(node: Column, path: str) -> Column:
@@ -16,11 +20,6 @@ def items(node: Column, path: str) -> Column:
     )
 
 
-def text(node: Column, path: str) -> Column:
-    """The scalar at ``path`` as a string, null for objects, arrays and nothing."""
-    return F.try_variant_get(node, path, "string")
-
-
 def _filled(value: Column) -> Column:
     return F.when(value != "", value)
 
@@ -29,7 +28,7 @@ def names(node: Column, path: str, *keys: str) -> Column:
     """Strings of a mixed array: for objects the first filled key, else the scalar; ``''`` if neither."""
 
     def name(x: Column) -> Column:
-        fields = [_filled(_scalar(x, f"$.{k}")) for k in keys]
+        fields = [_filled(text(x, f"$.{k}")) for k in keys]
         return (
             F.when(_is(x, "OBJECT"), F.coalesce(*fields, F.lit("")))
             .when(_is(x, "ARRAY"), "")
@@ -43,46 +42,47 @@ def _is(node: Column, kind: str) -> Column:
     return F.startswith(F.schema_of_variant(node), F.lit(kind))
 
 
-def _scalar(node: Column, path: str) -> Column:
+def text(node: Column, path: str = "$") -> Column:
+    """The scalar at ``path`` as a string, null for objects, arrays and nothing."""
     inner = F.try_variant_get(node, path, "variant")
     return F.when(~(_is(inner, "OBJECT") | _is(inner, "ARRAY")), F.try_variant_get(node, path, "string"))
 
 
 def class_names(record: Column) -> Column:
     """``biosynthesis.classes``: class, else subclass, else the scalar; empty ones dropped."""
-    return F.filter(names(record, "$.biosynthesis.classes", "class", "subclass"), lambda c: c != "")
+    return F.filter(names(record["biosynthesis"], "$.classes", "class", "subclass"), lambda c: c != "")
 
 
 def compound_names(record: Column) -> Column:
-    return names(record, "$.compounds", "name", "compound")
+    return names(record["compounds"], "$", "name", "compound")
 
 
 def organism(record: Column) -> Column:
-    return F.coalesce(_filled(text(record, "$.taxonomy.name")), F.lit("unknown"))
+    return F.coalesce(_filled(text(record["taxonomy"], "$.name")), F.lit("unknown"))
 
 
 def tax_id(record: Column) -> Column:
-    return F.try_variant_get(record, "$.taxonomy.ncbiTaxId", "bigint")
+    return F.try_variant_get(record["taxonomy"], "$.ncbiTaxId", "bigint")
 
 
 def gene_count(record: Column) -> Column:
     """Length of ``genes`` if it is a list, else of its ``annotations`` and ``to_add`` lists."""
-    listed = F.try_variant_get(record, "$.genes", "array<variant>")
+    listed = F.try_variant_get(record["genes"], "$", "array<variant>")
     return F.coalesce(
         F.size(F.when(listed.isNotNull(), listed)),
-        F.size(items(record, "$.genes.annotations")) + F.size(items(record, "$.genes.to_add")),
+        F.size(items(record["genes"], "$.annotations")) + F.size(items(record["genes"], "$.to_add")),
     )
 
 
 def change_dates(record: Column) -> Column:
     """All ISO dates of the releases and their entries, sorted."""
-    releases = items(record, "$.changelog.releases")
+    releases = items(record["changelog"], "$.releases")
     dates = F.flatten(
         F.transform(
             releases,
             lambda r: F.concat(
-                F.array(_scalar(r, "$.date")),
-                F.transform(items(r, "$.entries"), lambda e: _scalar(e, "$.date")),
+                F.array(text(r, "$.date")),
+                F.transform(items(r, "$.entries"), lambda e: text(e, "$.date")),
             ),
         )
     )
@@ -94,8 +94,8 @@ def gene_tokens(gene: Column) -> Column:
 
     def texts(key: str) -> Column:
         listed = F.try_variant_get(gene, f"$.{key}", "array<variant>")
-        return F.when(listed.isNotNull(), F.transform(listed, lambda x: _scalar(x, "$"))).otherwise(
-            F.array(_scalar(gene, f"$.{key}"))
+        return F.when(listed.isNotNull(), F.transform(listed, lambda x: text(x, "$"))).otherwise(
+            F.array(text(gene, f"$.{key}"))
         )
 
     parts = [texts(k) for k in ("product", "gene_function", "function")]

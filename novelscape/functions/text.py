@@ -46,10 +46,15 @@ PREDICTED_LENGTH = 80
 ID_LENGTH = 60
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def name_hits(text: Column, pattern: str = NAME_PATTERN, length: int = PRODUCT_HIT_LENGTH) -> Column:
     """All names in ``text``, case kept, white space as ``_``, cut to ``length``."""
     hits = F.regexp_extract_all(text, F.lit(f"(?iuU){pattern}"), F.lit(0))
-    return F.transform(hits, lambda h: F.left(F.regexp_replace(F.trim(h), r"(?U)\s+", "_"), F.lit(length)))
+    return F.transform(hits, lambda h: F.left(F.regexp_replace(strip(h), r"(?U)\s+", "_"), F.lit(length)))
 
 
 def product_tokens(

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from novelscape.config import PCA_COMPONENTS, POOLING
+from novelscape.config import MAX_FEATURES, PCA_COMPONENTS, POOLING
 from novelscape.operators.tokens import ENTITY
 
 
@@ -72,6 +72,8 @@ class Projection:
     @staticmethod
     def fit(vectors: DataFrame, components: int = PCA_COMPONENTS, center: bool = False) -> Projection:
         scaler = Scaler.fit(vectors, center)
+        if len(scaler.mean) > MAX_FEATURES:
+            raise ValueError(f"Spark's PCA takes at most {MAX_FEATURES} columns, not {len(scaler.mean)}; raise the document-frequency threshold")
         k = max(1, min(components, scaler.count - 1, len(scaler.mean)))
         model = PCA(k=k, inputCol="features", outputCol="_z").fit(scaler.transform(vectors))
         middle = np.zeros_like(scaler.mean) if center else scaler.mean / scaler.deviation
@@ -128,14 +130,3 @@ def cells_long(df: DataFrame, column: str, entity: str = ENTITY) -> DataFrame:
     """``(entity_id, dim, value)``, one row per vector component."""
     return df.select(entity, F.posexplode(column).alias("dim", "value"))
 
-
-def scaled_cells(cells: DataFrame) -> DataFrame:
-    """Scaled components of complete (dense) vectors in long form."""
-    spread = cells.groupBy("dim").agg(F.stddev_pop("value").alias("_sd"))
-    return cells.join(F.broadcast(spread), "dim").withColumn(
-        "scaled", F.col("value") / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
-    ).drop("_sd")
-
-
-def frozen_vector(values) -> DenseVector:
-    return Vectors.dense([float(v) for v in values])

@@ -11,19 +11,38 @@ from novelscape.functions.text import PREDICTED_LENGTH, clean_id
 from novelscape.sources.records import parsed, read_documents
 
 
+# Sequences and all other fields of a record are skipped.
+REGION_FIELDS = "records array<struct<name variant, id variant, areas variant, regions variant>>"
+
+
+def region_records(documents: DataFrame) -> DataFrame:
+    """``path, records, broken``; entries that are no objects hold no regions."""
+    found = parsed(documents, REGION_FIELDS)
+    # A list with odd entries has no struct type; its entries are read one by one.
+    mixed = F.from_json("content", "records array<variant>")["records"]
+    fields = lambda x: F.struct(*[F.try_variant_get(x, f"$.{c}", "variant").alias(c) for c in ("name", "id", "areas", "regions")])
+    records = F.coalesce("record.records", F.transform(mixed, fields))
+    return found.select("path", records.alias("records"), (F.col("broken") & records.isNull()).alias("broken"))
+
+
+def region_rejects(documents: DataFrame) -> DataFrame:
+    """Documents of which no record can be read."""
+    return region_records(documents).where("broken").select("path")
+
+
 def region_rows(documents: DataFrame) -> DataFrame:
     """``path, bgc_id, products, genes``: one row per area of each record."""
     # The outer form spares a second evaluation of the array by an inferred filter.
-    records = parsed(documents).select(
-        "path", F.posexplode_outer(R.items(F.col("record"), "$.records")).alias("_no", "_rec")
+    records = region_records(documents).select(
+        "path", F.posexplode_outer("records").alias("_no", "_rec")
     ).where("_rec is not null")
     rec = F.col("_rec")
     name = F.coalesce(
-        *[F.when(c != "", c) for c in (R.text(rec, "$.name"), R.text(rec, "$.id"))],
+        *[F.when(c != "", c) for c in (R.text(rec["name"]), R.text(rec["id"]))],
         F.concat(F.lit("record"), F.col("_no").cast("string")),
     )
-    areas = R.items(rec, "$.areas")
-    areas = F.when(F.size(areas) > 0, areas).otherwise(R.items(rec, "$.regions"))
+    areas = R.items(rec["areas"], "$")
+    areas = F.when(F.size(areas) > 0, areas).otherwise(R.items(rec["regions"], "$"))
     rows = records.select("path", name.alias("_name"), F.posexplode_outer(areas).alias("_at", "_area")).where(
         "_area is not null"
     )

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from novelscape.config import MIN_MEMBER_LENGTH
 from novelscape.functions.classes import product_class
-from novelscape.functions.text import PREDICTED_LENGTH, accession, clean_id, first_word, label_tokens, product_tokens
+from novelscape.functions.text import PREDICTED_LENGTH, accession, clean_id, first_word, label_tokens, product_tokens, strip
 from novelscape.operators.ordering import sequence
 from novelscape.operators.tokens import running_flag, top_per_group
 from novelscape.session import settle
 
-RECORD_END = "\n//\n"
+#: Both kinds of line ends follow it.
+RECORD_END = "\n//"
 REGION_FILE = r"(?i)\.region\d+\.gbk$"
 # Feature types and qualifiers, in the order in which they are looked up.
 TOKEN_TYPES = ("CDS", "aSDomain", "PFAM_domain", "misc_feature")
@@ -36,7 +37,8 @@ def read_records(spark: SparkSession, paths: str | list[str], suffixes: tuple[st
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
-        F.col("value").alias("content"),
+        # A record begins behind the line end of the last one's mark.
+        F.regexp_replace(F.replace(F.col("value"), F.lit("\r"), F.lit("")), r"\A\n", "").alias("content"),
     )
     wanted = F.lit(False)
     for suffix in suffixes:
@@ -225,13 +227,13 @@ def predicted_tokens(records: DataFrame, genome: str | None = None, label: Colum
         kind.isin(*REGION_TYPES),
         F.when(F.size(values("product")) > 0, values("product")).otherwise(values("category")),
     )
-    first = F.trim(F.coalesce(first_value("domain", "aSDomain", "description"), F.lit("")))
+    first = strip(F.coalesce(first_value("domain", "aSDomain", "description"), F.lit("")))
     named = F.when(first != "", first).otherwise(F.coalesce(first_value("label", "note"), F.lit("domain")))
     hints = F.flatten(F.array(*[values(k) for k in HINT_KEYS]))
     fallback = F.filter(
         F.concat(
-            F.array(F.trim(F.coalesce(first_value("product"), F.lit("hypothetical")))),
-            F.transform(hints, lambda x: F.trim(F.element_at(F.split(x, ":"), -1))),
+            F.array(strip(F.coalesce(first_value("product"), F.lit("hypothetical")))),
+            F.transform(hints, lambda x: strip(F.element_at(F.split(x, ":"), -1))),
         ),
         lambda t: t != "",
     )

@@ -12,12 +12,14 @@ _TYPES = {"gene_order": "int", "n_genes": "int"}
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The six columns of a CSV with header; other columns are dropped, missing ones are an error."""
+    """The six columns of a CSV with header and its order as ``token_pos``; other columns are dropped, missing ones are an error."""
     raw = spark.read.option("header", True).csv(path)
     missing = [c for c in COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"token table lacks the columns {missing}; it needs {list(COLUMNS)}")
-    return raw.select(*[F.col(c).try_cast(_TYPES.get(c, "string")).alias(c) for c in COLUMNS])
+    # Ties of gene_order keep the order of the file.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return raw.select(*[F.col(c).try_cast(_TYPES.get(c, "string")).alias(c) for c in COLUMNS], place.alias("token_pos"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +42,14 @@ def read_genbank(spark: SparkSession, path: str, genome: str | None = None) -> D
 
 
 def load_predicted(spark: SparkSession, path: str, genome: str | None = None) -> DataFrame:
-    """Dispatch by suffix; in a folder GenBank files come before JSON files."""
+    """Dispatch by suffix; in a folder GenBank files come before JSON files.  No rows at all are an error."""
+    tokens = _load(spark, path, genome)
+    if tokens.isEmpty():
+        raise ValueError(f"no regions could be read from {path}")
+    return tokens
+
+
+def _load(spark: SparkSession, path: str, genome: str | None) -> DataFrame:
     lowered = path.lower()
     if lowered.endswith(".csv"):
         return read_csv(spark, path)

@@ -11,6 +11,7 @@ from novelscape.functions.text import accession
 from novelscape.operators.tokens import first_rows
 
 RECORD_FILE = r"BGC[^/]*\.json$"
+RECORD_FIELDS = ", ".join(f"{name} variant" for name in R.FIELDS)
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], name: str = r"\.json$") -> DataFrame:
@@ -22,23 +23,28 @@ def read_documents(spark: SparkSession, paths: str | list[str], name: str = r"\.
     )
 
 
-def parsed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("record", F.try_parse_json("content"))
+def parsed(documents: DataFrame, fields: str) -> DataFrame:
+    """``path`` and the wanted ``fields`` of each document as ``record``; ``broken`` is null if it is a JSON object.
+
+    Fields that are not wanted are skipped and may be of any size.
+    """
+    record = F.from_json("content", f"{fields}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    whole = documents.select("path", "content", record.alias("record"))
+    odd = ~F.col("content").rlike(r"\A\s*\{")
+    return whole.select("path", "content", "record", F.when(F.col("record.broken").isNotNull() | odd, True).alias("broken"))
 
 
 def rejects(documents: DataFrame) -> DataFrame:
     """Documents that are no JSON objects."""
-    kind = F.schema_of_variant("record")
-    return parsed(documents).where(F.col("record").isNull() | ~F.startswith(kind, F.lit("OBJECT"))).select("path")
+    return parsed(documents, RECORD_FIELDS).where("broken").select("path")
 
 
 def record_rows(documents: DataFrame) -> DataFrame:
     """One metadata row per readable document."""
-    kind = F.schema_of_variant("record")
-    rows = parsed(documents).where(F.col("record").isNotNull() & F.startswith(kind, F.lit("OBJECT")))
+    rows = parsed(documents, RECORD_FIELDS).where("broken is null")
     record = F.col("record")
     stem = F.substring_index(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""), ".", 1)
-    stated = R.text(record, "$.accession")
+    stated = R.text(record["accession"])
     empty = F.lit("")
     staged = rows.select(
         accession(F.coalesce(F.when(stated != "", stated), stem)).alias("entity_id"),
@@ -47,9 +53,9 @@ def record_rows(documents: DataFrame) -> DataFrame:
         R.tax_id(record).alias("ncbi_tax_id"),
         R.compound_names(record).alias("names"),
         R.gene_count(record).alias("n_genes_json"),
-        F.coalesce(R.text(record, "$.status"), empty).alias("status"),
-        F.coalesce(R.text(record, "$.completeness"), empty).alias("completeness"),
-        F.coalesce(R.text(record, "$.quality"), empty).alias("quality"),
+        F.coalesce(R.text(record["status"]), empty).alias("status"),
+        F.coalesce(R.text(record["completeness"]), empty).alias("completeness"),
+        F.coalesce(R.text(record["quality"]), empty).alias("quality"),
         R.change_dates(record).alias("dates"),
         F.col("path").alias("json_path"),
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from novelscape.plans.curate import curate
-from novelscape.sources import genbank, predicted, records, tables
+from novelscape.sources import annotated, genbank, predicted, records, tables
 
 
 def feature(kind, location, *qualifiers):
@@ -164,6 +164,47 @@ def test_tables(spark, tmp_path):
     assert tables.read_vectors(spark, str(tmp_path / "v")).first()["embedding"] == [1.0]
 
 
+def test_csv_order_breaks_ties(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("genome,bgc_id,predicted_class,gene_order,domain_id,n_genes\n" + "".join(f"g,b,PKS,1,{t},4\n" for t in "zmaqb"))
+    rows = predicted.load_predicted(spark, str(path)).orderBy("gene_order", "token_pos").collect()
+    assert [r["domain_id"] for r in rows] == list("zmaqb")
+
+
+def test_line_ends(spark, tmp_path, gbk):
+    twin = tmp_path / "twin"
+    twin.mkdir()
+    for file in gbk.iterdir():
+        (twin / file.name).write_bytes(file.read_text().replace("\n", "\r\n").encode())
+    columns = list(predicted.COLUMNS)
+    tables_ = [sorted(map(tuple, predicted.load_predicted(spark, str(f), "g").select(columns).collect())) for f in (gbk, twin)]
+    assert tables_[0] == tables_[1] and len(tables_[0]) == 6
+
+
+def test_region_json_of_any_size(spark, tmp_path):
+    folder = tmp_path / "regions"
+    folder.mkdir()
+    whole = {"records": [{"id": f"r{i}", "seq": {"data": "acgt" * 10_000_000}, "areas": [{"products": ["NRPS"]}, {"products": ["terpene"]}]} for i in range(4)]}
+    (folder / "large.json").write_text(json.dumps(whole))
+    (folder / "small.json").write_text(json.dumps({"records": [{"name": {"odd": 1}, "id": "x", "areas": [{"products": ["PKS", {"y": 1}]}]}, "odd", None]}))
+    (folder / "broken.json").write_text('{"records": [{"id": "r1"')
+    (folder / "list.json").write_text("[1]")
+    documents = records.read_documents(spark, str(folder))
+    rows = annotated.region_rows(documents).select("bgc_id").collect()
+    assert sorted(r["bgc_id"] for r in rows) == sorted([f"r{i}_r{j}" for i in range(4) for j in (1, 2)] + ["x_r1"])
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in annotated.region_rejects(documents).collect()) == ["broken.json", "list.json"]
+    only = tmp_path / "only.json"
+    only.write_text('{"records": []}')
+    with pytest.raises(ValueError, match="no regions"):
+        predicted.load_predicted(spark, str(only))
+
+
+def test_odd_scalars(spark, tmp_path):
+    (tmp_path / "BGC0000009.json").write_text(json.dumps(payload(accession={"x": 1}, taxonomy={"name": ["q"]}, status=[1], quality=3, biosynthesis={"classes": [" \tPKS\u00a0"]})))
+    row = records.read_records(spark, str(tmp_path)).first()
+    assert (row["entity_id"], row["organism"], row["status"], row["quality"], row["biosynth_class"]) == ("BGC0000009", "unknown", "", "3", "PKS")
+
+
 def test_record_numbers(spark, gbk):
     numbered = genbank.read_records(spark, str(gbk)).groupBy("path").agg(F.max("record_no").alias("n")).orderBy("n").collect()
     assert [r["n"] for r in numbered] == [1, 2]
