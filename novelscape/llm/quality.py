@@ -172,4 +172,5 @@ def kept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, **optio
     out = out.select(F.struct("doc_id", "same").alias(rejected))
     own = docs.withColumn(row, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same")))
     same = F.col(f"{row}.doc_id").eqNullSafe(F.col(f"{rejected}.doc_id")) & (F.col(f"{row}.same") == F.col(f"{rejected}.same"))
-    return own.join(out, same, "left_anti").drop(row)
+    # The same plan at every size: what is rejected grows with the documents.
+    return own.join(out.hint("shuffle_hash"), same, "left_anti").drop(row)

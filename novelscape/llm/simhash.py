@@ -277,7 +277,8 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     found = common.stored(near_duplicates(docs, **options).select("doc_id", "component_id"))
     other, twice = common.fresh(docs, "other", "twice")
     others = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(other)).distinct()
-    stay = docs.join(others, F.col("doc_id") == F.col(other), "left_anti")
+    # The same plan at every size: the others grow with the documents.
+    stay = docs.join(others.hint("shuffle_hash"), F.col("doc_id") == F.col(other), "left_anti")
     again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)
     again = common.stored(again)
     if again.isEmpty():
