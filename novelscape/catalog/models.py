@@ -17,14 +17,13 @@ from novelscape.plans import temporal as H
 from novelscape.plans.atlas import atlas, frame
 from novelscape.plans.enrichment import case_lookup, group_enrichment, with_genus
 from novelscape.plans.novelty import Reference, apply_reference, embed_scores, rank_novelty
-from novelscape.plans.recovery import ablation, class_recovery
+from novelscape.plans.recovery import ablation, class_recovery, variants
 from novelscape.plans.sweep import best_learned, sweep_summary
 from novelscape.plans.validate import validate
 from novelscape.session import settle
-from novelscape.streaming.scoring import score_stream
+from novelscape.streaming.scoring import read_scores, score_stream
 
 CUTOFF = "1998-06-01"
-TREES, DEPTH = 20, 8
 
 
 def basket_features(spark, d, token="p_brand"):
@@ -141,18 +140,15 @@ def learned_temporal(spark, d):
 def class_recovery_metrics(spark, d):
     entities, features, _ = basket_features(spark, d, "p_type")
     labels = entities.select("entity_id", F.col("biosynth_class").alias("label"))
-    metrics, _, _ = class_recovery(features, labels, trees=TREES, depth=DEPTH, max_iter=100)
+    metrics, _, _ = class_recovery(features, labels)
     return metrics
 
 
 def representation_ablation(spark, d):
     rows = vectors(spark, d)
     labels = rows.select("entity_id", F.col("biosynth_class").alias("label"))
-    halves = {
-        name: settle(as_vectors(rows.select("entity_id", F.slice("z", start, 32).alias("z")), "z"))
-        for name, start in (("first", 1), ("second", 33))
-    }
-    return ablation(halves, labels, models=("logreg",), max_iter=100)
+    parts = [settle(as_vectors(rows.select("entity_id", F.slice("z", start, 20).alias("z")), "z")) for start in (1, 21, 41)]
+    return ablation(variants(*parts), labels)
 
 
 def _representations(spark, d):
@@ -243,7 +239,7 @@ def sweep_best(spark, d):
 
 
 def stream_apply(spark, d):
-    """Events as a stream of predicted tokens, scored against all users; one batch per file."""
+    """Events as a stream of predicted tokens, scored against all users; a user's day may come in several batches."""
     entities, features, vocabulary = user_features(spark, d)
     reference = Reference.fit(features, vocabulary=vocabulary)
     schema = table(spark, d, "events").schema
@@ -260,7 +256,7 @@ def stream_apply(spark, d):
     output = scratch(spark, "stream")
     query = score_stream(tokens, reference, entities, output, scratch(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(output)
+    return read_scores(spark, output)
 
 
 QUERIES = {

@@ -339,9 +339,12 @@ def leave_one_out(vectors: DataFrame, k: int) -> DataFrame:
     )
 
 
-def against_reference(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """The same columns for query entities among the reference entities."""
-    ref_points = settle(distinct_points(references))
+def against_reference(queries: DataFrame, references: DataFrame, k: int, ref_points: DataFrame | None = None) -> DataFrame:
+    """The same columns for query entities among the reference entities.
+
+    ``ref_points`` are the settled distinct points of the references, if they are at hand.
+    """
+    ref_points = settle(distinct_points(references)) if ref_points is None else ref_points
     query_points = settle(distinct_points(queries))
     n, total = _size(ref_points)
     if total == 0:

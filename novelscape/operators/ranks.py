@@ -93,17 +93,19 @@ def rank_sum(df: DataFrame, value: str, in_a: Column, in_b: Column) -> DataFrame
 
 
 def strict_percentile(
-    queries: DataFrame, references: DataFrame, value: str = "knn_mean_dist", out: str = "novelty"
+    queries: DataFrame, references: DataFrame, value: str = "knn_mean_dist", out: str = "novelty", weight: str | None = None
 ) -> DataFrame:
-    """Add the share of reference values that are strictly smaller."""
+    """Add the share of reference values that are strictly smaller; a reference row may stand for ``weight`` equal ones."""
+    count = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    references = references.select(value, count.alias("_ref"))
     both = (
-        references.select(value, F.lit(1).cast("long").alias("_ref"))
+        references
         .unionAll(queries.select(value, F.lit(0).cast("long").alias("_ref")))
         .where(F.col(value).isNotNull())
         .groupBy(value)
         .agg(F.sum("_ref").alias("_ref"))
     )
-    total = references.select(F.count(value)).scalar()
+    total = references.select(F.sum(F.when(F.col(value).isNotNull(), F.col("_ref")))).scalar()
     steps = running(both, [value], "_ref", out="_below").select(value, (F.col("_below") / total).alias(out))
     return queries.join(steps, value, "left")
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, VectorAssemble
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from novelscape.config import MAX_FEATURES, PCA_COMPONENTS, POOLING
@@ -65,6 +65,19 @@ class Projection:
     pca: PCAModel
     offset: np.ndarray
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model and the scaling under ``path``, replacing what is there."""
+        self.pca.write().overwrite().save(f"{path}/pca")
+        row = (self.scaler.count, self.scaler.mean.tolist(), self.scaler.deviation.tolist(), self.scaler.center, self.offset.tolist())
+        kinds = "count long, mean array<double>, deviation array<double>, center boolean, offset array<double>"
+        spark.createDataFrame([row], kinds).write.mode("overwrite").parquet(f"{path}/scaling")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Projection:
+        row = spark.read.parquet(f"{path}/scaling").first()
+        scaler = Scaler(row["count"], np.array(row["mean"]), np.array(row["deviation"]), row["center"])
+        return Projection(scaler, PCAModel.load(f"{path}/pca"), np.array(row["offset"]))
+
     @property
     def explained(self) -> list[float]:
         return [float(v) for v in self.pca.explainedVariance.toArray()]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from novelscape.config import HASH_WIDTH, NEIGHBORS, PCA_COMPONENTS
 from novelscape.operators.features import Vocabulary, cells_of, predicted_sizes, vectorize
-from novelscape.operators.neighbors import against_reference, leave_one_out
+from novelscape.operators.neighbors import against_reference, distinct_points, leave_one_out
 from novelscape.operators.ranks import novelty_scores, rank_from_top, strict_percentile
 from novelscape.operators.tokens import ENTITY
 from novelscape.operators.vectors import Projection
@@ -44,10 +44,13 @@ def embed_scores(vectors: DataFrame, k: int = NEIGHBORS, center: bool = False, c
 
 @dataclass(frozen=True)
 class Reference:
-    """A fitted reference: projection, embedded entities and their own neighbor distances."""
+    """A fitted reference: projection, distinct embedded points and the counts of the entities' own distances.
+
+    What scoring needs is worked out once, and can be kept: ``save`` and ``load``.
+    """
 
     projection: Projection
-    embedding: DataFrame
+    points: DataFrame
     distances: DataFrame
     k: int
     vocabulary: Vocabulary | None = None
@@ -61,14 +64,30 @@ class Reference:
     ) -> Reference:
         projection = Projection.fit(vectors, components)
         embedding = settle(projection.transform(vectors))
-        distances = settle(leave_one_out(embedding, k).select(ENTITY, "knn_mean_dist"))
-        return Reference(projection, embedding, distances, k, vocabulary)
+        distances = leave_one_out(embedding, k).groupBy("knn_mean_dist").agg(F.count(F.lit(1)).alias("n"))
+        return Reference(projection, settle(distinct_points(embedding)), settle(distances), k, vocabulary)
+
+    def save(self, path: str) -> None:
+        """Write the reference as a folder of tables and a model, replacing what is there."""
+        spark = self.points.sparkSession
+        self.projection.save(spark, f"{path}/projection")
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        self.distances.write.mode("overwrite").parquet(f"{path}/distances")
+        names = list(self.vocabulary.names) if self.vocabulary else None
+        spark.createDataFrame([(self.k, names)], "k int, names array<string>").write.mode("overwrite").parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Reference:
+        row = spark.read.parquet(f"{path}/settings").first()
+        vocabulary = Vocabulary(tuple(row["names"])) if row["names"] is not None else None
+        tables = (spark.read.parquet(f"{path}/{name}") for name in ("points", "distances"))
+        return Reference(Projection.load(spark, f"{path}/projection"), *tables, row["k"], vocabulary)
 
     def score(self, vectors: DataFrame) -> DataFrame:
         """Neighbor distances of new entities and ``novelty``, their strict percentile in the reference."""
         queries = settle(self.projection.transform(vectors))
-        found = settle(against_reference(queries, self.embedding, self.k))
-        return strict_percentile(found, self.distances)
+        found = settle(against_reference(queries, self.points, self.k, self.points))
+        return strict_percentile(found, self.distances, weight="n")
 
 
 def predicted_entities(tokens: DataFrame) -> DataFrame:
@@ -109,14 +128,14 @@ def vectorize_predicted(tokens: DataFrame, vocabulary: Vocabulary, n_hash: int =
 
 
 def apply_reference(
-    reference: Reference, tokens: DataFrame, entities: DataFrame, source: str = "", n_hash: int = HASH_WIDTH
+    reference: Reference, tokens: DataFrame, entities: DataFrame, source: str = "", n_hash: int = HASH_WIDTH, ranked: bool = True
 ) -> DataFrame:
     """Ranking of predicted entities; ``entities`` are those of the reference."""
     predicted, vectors = vectorize_predicted(tokens, reference.vocabulary, n_hash)
     scored = with_neighbor(predicted.join(reference.score(vectors), ENTITY), entities)
-    ranked = rank_from_top(scored, "novelty")
+    ranked = rank_from_top(scored, "novelty") if ranked else scored
     return ranked.select(
-        "rank",
+        *["rank"] * ("rank" in ranked.columns),
         "genome",
         "bgc_id",
         "predicted_class",

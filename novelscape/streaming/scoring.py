@@ -1,32 +1,62 @@
 """Scoring of predicted entities that keep arriving, against a frozen reference.
 
-Each arriving file holds whole entities, as one genome annotation does, so a micro-batch
-can be scored by itself with the batch plan and no state is kept between batches.  A batch
-overwrites only its own partition of the output: a batch that is retried after a failure
-replaces its rows instead of adding them twice.
+An entity's tokens may come in any number of files and batches.  Each batch adds its tokens
+to a store under the output folder and scores the entities it touched from all of their
+tokens so far; readers take the latest scores of each entity.  A batch overwrites only its
+own part of the store and of the scores: a batch that is retried after a failure replaces
+its rows instead of adding them twice.  The store is partitioned by a hash of the entity,
+so that a batch reads the parts of the entities it touched only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from novelscape.operators.ranks import rank_from_top
 from novelscape.plans.novelty import Reference, apply_reference
+from novelscape.operators.tokens import ENTITY
+from novelscape.session import settle
+
+KEY = ("genome", "bgc_id", "predicted_class")
+PARTS = 256
+
+
+def _put(rows: DataFrame, number: int, output: str, *by: str) -> None:
+    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(output)
 
 
 def score_stream(
     tokens: DataFrame, reference: Reference, entities: DataFrame, output: str, checkpoint: str
 ) -> DataStreamWriter:
-    """A writer that appends the ranking of each micro-batch under ``output/batch=<n>``.
-
-    ``rank`` is the rank within the batch; scores do not depend on the batch.
-    """
+    """A writer that keeps tokens under ``output/tokens`` and scores under ``output/scores``; see ``read_scores``."""
 
     def score(batch: DataFrame, number: int) -> None:
-        ranked = apply_reference(reference, batch, entities, source="stream")
-        ranked.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(output)
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int")
+        arrived = batch.withColumn("part", part)
+        _put(arrived, number, f"{output}/tokens", "part")
+        store = spark.read.schema(_with(arrived, "batch int")).parquet(f"{output}/tokens")
+        own = store.where(F.col("batch") == number)
+        touched = settle(own.select("part", *KEY).distinct())
+        parts = [r["part"] for r in touched.select("part").distinct().collect()]
+        so_far = store.where((F.col("batch") <= number) & F.col("part").isin(parts))
+        same = [so_far["part"] == touched["part"], *(so_far[k].eqNullSafe(touched[k]) for k in KEY)]
+        whole = so_far.join(touched, same, "left_semi").drop("part", "batch")
+        _put(apply_reference(reference, whole, entities, source="stream", ranked=False), number, f"{output}/scores")
 
     return tokens.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+
+
+def _with(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{name}` {kind}" for name, kind in df.dtypes), more])
+
+
+def read_scores(spark: SparkSession, output: str) -> DataFrame:
+    """The latest scores of each entity, with their rank among all."""
+    scores = spark.read.parquet(f"{output}/scores")
+    latest = Window.partitionBy(*KEY).orderBy(F.desc("batch"))
+    last = scores.withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth")
+    ranked = rank_from_top(last.withColumn(ENTITY, F.concat_ws("|", *KEY)), "novelty").drop(ENTITY)
+    return ranked.select("rank", *[c for c in ranked.columns if c != "rank"])

@@ -87,8 +87,8 @@ def test_rank_sum_p_exact():
     us = [sum(c) - a * (a + 1) / 2 for c in itertools.combinations(ranks, a)]
     for u in range(a * b + 1):
         expected = sum(x >= u for x in us) / len(us)
-        assert tails.rank_sum_p(u, a, b, 0.0) == pytest.approx(expected)
-        assert tails.rank_sum_p(u, b, a, 0.0) == pytest.approx(expected)
+        assert tails.rank_sum_p(u, a, b, 0.0, "exact") == pytest.approx(expected)
+        assert tails.rank_sum_p(u, b, a, 0.0, "exact") == pytest.approx(expected)
 
 
 def test_spearman_p():

@@ -8,7 +8,7 @@ from novelscape.plans import compare, enrichment, members, novelty, recovery, sw
 from novelscape.plans.atlas import atlas, frame
 from novelscape.plans.validate import validate
 from novelscape.session import settle
-from novelscape.streaming.scoring import score_stream
+from novelscape.streaming.scoring import read_scores, score_stream
 
 
 def frame_of(spark, x, ids=None):
@@ -153,6 +153,10 @@ def test_class_recovery(spark):
     got = {r["representation"]: r["macro_f1"] for r in table.collect()}
     assert got["good"] > 0.95 > got["noise"]
     assert recovery.metrics_long(table).count() == 4
+    assert {r["model"] for r in report.collect()} == {"logreg", "rf"}
+    both = recovery.variants(noise, features, noise)
+    assert list(both) == ["hashed", "embedding", "learned", "combined+embedding", "combined+learned"]
+    assert both["combined+embedding"].first()["features"].size == 4
 
 
 def test_sweep(spark):
@@ -180,13 +184,19 @@ def test_stream_equals_batch(spark, tmp_path):
     new = spark.createDataFrame(token_table(9, lambda i: f"n{i}"), schema)
     batch = novelty.apply_reference(reference, new, entities)
     source = tmp_path / "in"
-    for part in ("n0,n1,n2,n3", "n4,n5,n6,n7,n8"):
-        new.where(F.col("bgc_id").isin(part.split(","))).coalesce(1).write.mode("append").parquet(str(source))
+    # The second file holds more tokens of entities of the first one.
+    early = (F.col("bgc_id") <= "n4") & (F.col("gene_order") % 2 == 0)
+    for part in (early, ~early):
+        new.where(part).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     writer = score_stream(stream, reference, entities, str(tmp_path / "out"), str(tmp_path / "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.select("batch").distinct().count() == 2
-    columns = ["bgc_id", "novelty", "nearest_id", "n_domain_annotations"]
+    out = read_scores(spark, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/scores")).select("batch").distinct().count() == 2
+    columns = ["rank", "bgc_id", "novelty", "nearest_id", "n_domain_annotations"]
     assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
     assert [r["rank"] for r in batch.orderBy("rank").collect()] == list(range(1, 10))
+    reference.save(str(tmp_path / "reference"))
+    again = novelty.Reference.load(spark.newSession(), str(tmp_path / "reference"))
+    twice = novelty.apply_reference(again, new, entities)
+    assert sorted(map(tuple, twice.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
