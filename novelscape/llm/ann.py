@@ -111,8 +111,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, fraction: float =
     asked = common.stored(usable(queries).distinct())
     smallest = Window.partitionBy("v").orderBy("id")
     single = rows.withColumn("nth", F.dense_rank().over(smallest)).where(F.col("nth") <= k + 1)
-    entries = single.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    fitted = entries.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(sample).select("v").toArrow()
+    entries = common.stored(single.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
+    fitted = common.hash_sample(entries, sample, "v", F.col("ids")[0]).select("v").toArrow()
     out = "query_id long, rank int, vec_id long, score double"
     if not fitted.num_rows or asked.isEmpty():
         return spark.createDataFrame([], out)

@@ -51,6 +51,18 @@ def tasks(spark: SparkSession, weight: float, per_task: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-weight // per_task)))
 
 
+def hash_sample(df: DataFrame, bound: int, key: str, *ties: Column | str) -> DataFrame:
+    """At most ``bound`` rows, those of the smallest hashes of ``key``; for fitting models only.
+
+    Rows above the hash below which ``bound`` rows are all but sure to lie are left out first, so that tasks do not
+    send ``bound`` rows each.
+    """
+    n, order = df.count(), F.xxhash64(key)
+    share = min(1.0, (bound + 8 * bound**0.5 + 8) / max(n, 1))
+    some = df.where(order <= min(2**63 - 1, int(share * 2.0**64) - 2**63)) if share < 1 else df
+    return some.orderBy(order, *ties).limit(bound)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a number written as text, modulo ``n``; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

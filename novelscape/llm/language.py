@@ -132,10 +132,9 @@ def mean_scores(table: np.ndarray, flat: np.ndarray, per_row: np.ndarray) -> np.
 def fit(docs: DataFrame, bound: int = BOUND):
     """The model, or None if no row has a language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_mod("doc_id", 3) != 1))
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    chosen = common.stored(chosen)
-    sample = known.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "lang", "text").limit(bound).select("text", "lang").toArrow()
+    known = known.where(F.col("lang").isNotNull() & (common.crc_mod("doc_id", 3) != 1))
+    chosen = common.stored(common.hash_sample(known.select("doc_id").distinct(), bound, "doc_id", "doc_id"))
+    sample = known.where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "lang", "text").limit(bound).select("text", "lang").toArrow()
     if not sample.num_rows:
         return None
     return train(sample.column("text").combine_chunks(), sample.column("lang").to_pylist())

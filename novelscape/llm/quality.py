@@ -103,7 +103,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
 def fit(found: DataFrame, labels: DataFrame, bound: int = BOUND):
     """The classifier, or None without labels of both kinds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y is not null")
-    sample = found.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).toPandas()
+    sample = common.hash_sample(found.select("doc_id", "x").join(known, "doc_id"), bound, "doc_id", "doc_id").toPandas()
     y = sample["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None

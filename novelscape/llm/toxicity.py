@@ -134,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
     """The model, or the share of positive labels if there are not both kinds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     known = known.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (common.crc_mod("doc_id", 5) != 0))
-    chosen = common.stored(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(bound))
-    sample = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "y").toArrow()
+    chosen = common.stored(common.hash_sample(known, bound, "doc_id", "doc_id", "y"))
+    sample = texts_of(docs).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "y", "text").limit(bound).select("text", "y").toArrow()
     y = np.asarray(sample.column("y"), dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
