@@ -30,22 +30,26 @@ def names(node: Column, path: str, *keys: str) -> Column:
     def name(x: Column) -> Column:
         fields = [_filled(text(x, f"$.{k}")) for k in keys]
         return (
-            F.when(_is(x, "OBJECT"), F.coalesce(*fields, F.lit("")))
-            .when(_is(x, "ARRAY"), "")
+            F.when(_is_object(x), F.coalesce(*fields, F.lit("")))
+            .when(_is_array(x), "")
             .otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
         )
 
     return F.transform(items(node, path), name)
 
 
-def _is(node: Column, kind: str) -> Column:
-    return F.startswith(F.schema_of_variant(node), F.lit(kind))
+def _is_object(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
+
+
+def _is_array(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "array<variant>").isNotNull()
 
 
 def text(node: Column, path: str = "$") -> Column:
     """The scalar at ``path`` as a string, null for objects, arrays and nothing."""
     inner = F.try_variant_get(node, path, "variant")
-    return F.when(~(_is(inner, "OBJECT") | _is(inner, "ARRAY")), F.try_variant_get(node, path, "string"))
+    return F.when(~(_is_object(inner) | _is_array(inner)), F.try_variant_get(node, path, "string"))
 
 
 def class_names(record: Column) -> Column:

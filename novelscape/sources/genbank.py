@@ -48,7 +48,12 @@ def read_records(spark: SparkSession, paths: str | list[str], suffixes: tuple[st
 
 
 def _section(content: Column, start: str, stop: str) -> Column:
-    return F.regexp_extract(content, rf"(?s)\n{start}[^\n]*\n(.*?)(?=\n(?:{stop})|\z)", 1)
+    """The lines behind the one that begins with ``start``, up to one that begins with a ``stop``; ``''`` without it."""
+    at = F.instr(content, F.lit(f"\n{start}"))
+    rest = F.substring(content, at + 1, F.length(content))
+    lines = F.substring(rest, F.instr(rest, F.lit("\n")), F.length(rest))
+    found = F.get(F.split(lines, rf"\n(?:{stop})", 2), 0)
+    return F.when((at > 0) & (F.instr(rest, F.lit("\n")) > 0), F.substring(found, 2, F.length(found))).otherwise("")
 
 
 def _field(content: Column, name: str) -> Column:
