@@ -43,7 +43,7 @@ WIDE_BLOCK = 16
 #: Rows of one task, and fingerprints with one block value that a task takes at most.
 TASK_ROWS, LARGE = 60_000, 20_000
 #: Children of an index node, and pairs of nodes expanded at once.
-FAN, AT_ONCE = 8, 1 << 17
+FAN, AT_ONCE = 8, 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
