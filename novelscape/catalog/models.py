@@ -127,20 +127,19 @@ def _dated_vectors(spark, d):
 
 def temporal_holdout(spark, d):
     entities, features = _dated_vectors(spark, d)
-    audit, _, _ = H.temporal_holdout(features, entities, "2020-12-01", n_controls=3, exclude=("0", "1"))
+    audit, _, _ = H.temporal_holdout(features, entities, "2020-12-01", exclude=("0", "1"))
     return audit
 
 
 def learned_temporal(spark, d):
     entities, features = _dated_vectors(spark, d)
-    audit, _ = H.learned_temporal(features, entities, train_cutoff="2020-11-01", cutoff="2020-12-01", n_controls=2)
+    audit, _ = H.learned_temporal(features, entities, train_cutoff="2020-11-01", cutoff="2020-12-01")
     return audit
 
 
 def class_recovery_metrics(spark, d):
-    entities, features, _ = basket_features(spark, d, "p_type")
-    labels = entities.select("entity_id", F.col("biosynth_class").alias("label"))
-    metrics, _, _ = class_recovery(features, labels)
+    rows = vectors(spark, d)
+    metrics, _, _ = class_recovery(settle(as_vectors(rows, "z")), rows.select("entity_id", F.col("biosynth_class").alias("label")))
     return metrics
 
 

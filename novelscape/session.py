@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +27,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     )
 
 
+def concurrently(work: Callable, items: Iterable, width: int = 4) -> list:
+    """``work`` of each item, with the Spark jobs of up to ``width`` items at once."""
+    with ThreadPool(width) as pool:
+        return pool.map(inheritable_thread_target(work), items)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the cluster's shared folder, so that all readers see the same rows.
 
