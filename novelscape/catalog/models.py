@@ -119,22 +119,77 @@ def apply_score(spark, d):
 
 
 def _dated_vectors(spark, d):
-    rows = vectors(spark, d)
+    """Vectors of as many dimensions as the projection has components, with dates and sizes by id."""
+    rows = _dense(spark, d)
     date = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("entity_id") % 1000).cast("int")), "yyyy-MM-dd")
     entities = rows.select("entity_id", "biosynth_class", date.alias("date_added"), (F.col("entity_id") % 17 + 1).alias("n_genes"))
     return settle(entities), settle(as_vectors(rows, "z"))
 
 
+SPLIT_DATE = "2020-12-01"
+_FIGURES = ("heldout_novelty_mean", "heldout_novelty_median", "control_novelty_mean_of_means", "control_novelty_std_of_means")
+
+
+def _figures(audit, prefix="", field=None):
+    """The figures of a holdout as plain columns."""
+    value = (lambda c: F.col(c)) if field is None else (lambda c: F.col(f"{field}.{c}"))
+    whole = [value(c).cast("long").alias(prefix + c) for c in ("n_reference", "n_heldout", "n_controls")]
+    return [*whole, *[r6(value(c)).alias(prefix + c) for c in _FIGURES], value("mann_whitney_u").alias(f"{prefix}mann_whitney_u")]
+
+
 def temporal_holdout(spark, d):
     entities, features = _dated_vectors(spark, d)
-    audit, _, _ = H.temporal_holdout(features, entities, "2020-12-01", exclude=("0", "1"))
-    return audit
+    audit, _, _ = H.temporal_holdout(features, entities, SPLIT_DATE, exclude=("0", "1"))
+    return audit.select(*_figures(audit), *_figures(audit, "minor_", "minor_class_subset"))
 
 
-def learned_temporal(spark, d):
+def _learned_temporal(spark, d):
     entities, features = _dated_vectors(spark, d)
-    audit, _ = H.learned_temporal(features, entities, train_cutoff="2020-11-01", cutoff="2020-12-01")
-    return audit
+    return H.learned_temporal(features, entities, train_cutoff="2020-11-01", cutoff=SPLIT_DATE)[0]
+
+
+def learned_temporal(spark, d):
+    audit = _learned_temporal(spark, d)
+    return audit.select("cutoff_date", "leakage_safe", *_figures(audit))
+
+
+def _holdout_sql(name, where, seed, repeats=50, k=5):
+    """Figures of a holdout of ``vectors``: at full rank the projection is a rotation, so distances are those of scaled vectors."""
+    return f"""
+{name}_all AS (
+  SELECT entity_id, z[1:50] AS z, strftime(DATE '2020-01-01' + (entity_id % 1000)::INT, '%Y-%m-%d') >= '{SPLIT_DATE}' AS held FROM v WHERE {where}
+),
+{name}_n AS (SELECT count(*) FILTER (NOT held) AS n_ref, count(*) FILTER (held) AS n_held, least(count(*) FILTER (held), count(*) FILTER (NOT held) // 2) AS n_drawn FROM {name}_all),
+{name}_deal AS (
+  SELECT -1 AS rep, entity_id, z, held AS asked FROM {name}_all UNION ALL
+  SELECT rep, entity_id, z, place <= n_drawn FROM (
+    SELECT rep, entity_id, z, row_number() OVER (PARTITION BY rep ORDER BY md5('{seed}:' || rep || ':' || entity_id), entity_id) AS place
+    FROM {name}_all, range({repeats}) AS r(rep) WHERE NOT held), {name}_n
+),
+{name}_cells AS (SELECT rep, entity_id, asked, generate_subscripts(z, 1) AS dim, unnest(z) AS x FROM {name}_deal),
+{name}_sd AS (SELECT rep, dim, stddev_pop(x) AS sd FROM {name}_cells WHERE NOT asked GROUP BY ALL),
+{name}_z AS (SELECT rep, entity_id, asked, list(x / sd ORDER BY dim) AS z FROM {name}_cells JOIN {name}_sd USING (rep, dim) GROUP BY ALL),
+{name}_near AS (
+  SELECT a.rep, a.entity_id, a.asked, list_distance(a.z, b.z) AS d,
+         row_number() OVER (PARTITION BY a.rep, a.entity_id ORDER BY list_distance(a.z, b.z), b.entity_id) AS rn
+  FROM {name}_z a JOIN {name}_z b ON a.rep = b.rep AND NOT b.asked AND a.entity_id <> b.entity_id
+),
+{name}_mean AS (SELECT rep, entity_id, asked, avg(d) AS m FROM {name}_near WHERE rn <= {k} GROUP BY ALL),
+{name}_novelty AS (
+  SELECT rep, entity_id, (SELECT count(*) FROM {name}_mean r WHERE r.rep = q.rep AND NOT r.asked AND r.m < q.m)
+    / (SELECT count(*) FROM {name}_mean r WHERE r.rep = q.rep AND NOT r.asked)::DOUBLE AS novelty
+  FROM {name}_mean q WHERE asked
+),
+{name}_means AS (SELECT rep, avg(novelty) AS m FROM {name}_novelty WHERE rep >= 0 GROUP BY rep),
+{name} AS (
+  SELECT n_ref AS n_reference, n_held AS n_heldout, (SELECT count(*) FROM {name}_means) AS n_controls,
+    (SELECT round(avg(novelty), 6) FROM {name}_novelty WHERE rep = -1) AS heldout_novelty_mean,
+    (SELECT round(quantile_cont(novelty, 0.5), 6) FROM {name}_novelty WHERE rep = -1) AS heldout_novelty_median,
+    (SELECT round(avg(m), 6) FROM {name}_means) AS control_novelty_mean_of_means,
+    (SELECT round(stddev_pop(m), 6) FROM {name}_means) AS control_novelty_std_of_means,
+    (SELECT sum(CASE WHEN h.novelty > c.m THEN 1.0 WHEN h.novelty = c.m THEN 0.5 ELSE 0 END)::DOUBLE FROM {name}_novelty h, {name}_means c WHERE h.rep = -1) AS mann_whitney_u
+  FROM {name}_n
+)"""
 
 
 def class_recovery_metrics(spark, d):
@@ -151,24 +206,52 @@ def representation_ablation(spark, d):
 
 
 def _representations(spark, d):
+    """Two of 25 dimensions each, so that both side by side are of full rank, too."""
     rows = vectors(spark, d)
-    counts = rows.select("entity_id", F.transform(F.slice("z", 1, 32), lambda x: F.floor(F.abs(x) * 10).cast("double")).alias("z"))
-    return settle(as_vectors(counts, "z")), settle(as_vectors(rows.select("entity_id", F.slice("z", 33, 32).alias("z")), "z"))
+    return [settle(as_vectors(rows.select("entity_id", F.slice("z", start, 25).alias("z")), "z")) for start in (1, 26)]
 
 
 def representation_compare(spark, d):
     entities, _ = _dated_vectors(spark, d)
     scores = M.representation_scores(*_representations(spark, d))
     audit, _, _ = M.compare_novelty(scores, entities)
-    return audit
+    names = [f"{kind}_{a}_vs_{b}" for kind, a, b in (
+        ("spearman", "hashed", "other"), ("spearman", "hashed", "combined"), ("top_jaccard", "hashed", "other"), ("top_jaccard", "hashed", "combined"), ("top_jaccard", "other", "combined"))]
+    return audit.select("n_entities", "n_top", *[r6(c).alias(c) for c in names], F.size("by_class").cast("long").alias("n_classes"))
 
 
-def learned_compare(spark, d):
+def _learned_compare(spark, d):
     entities, dense = _dated_vectors(spark, d)
     left, right = _representations(spark, d)
     third = embed_scores(dense.where("entity_id % 10 <> 3"), center=True)
-    audit, _ = M.learned_compare(embed_scores(left), embed_scores(right, center=True), entities, third)
-    return audit
+    return M.learned_compare(embed_scores(left), embed_scores(right, center=True), entities, third)[0]
+
+
+def learned_compare(spark, d):
+    names = ("spearman_hashed_vs_learned", "spearman_hashed_vs_third", "spearman_learned_vs_third", "top_jaccard_hashed_vs_learned",
+             "size_confound_spearman_hashed", "size_confound_spearman_learned", "size_confound_delta")
+    return _learned_compare(spark, d).select("n_entities", *[r6(c).alias(c) for c in names])
+
+
+def _scores_sql(name, low, high, where="true"):
+    """Novelty of a slice of ``vectors`` as table ``name``."""
+    return f"""
+{name}_c AS (SELECT entity_id, generate_subscripts(z[{low}:{high}], 1) AS dim, unnest(z[{low}:{high}]) AS x FROM v WHERE {where}),
+{name}_d AS (SELECT dim, stddev_pop(x) AS sd FROM {name}_c GROUP BY dim),
+{name}_q AS (SELECT entity_id, list(x / sd ORDER BY dim) AS z FROM {name}_c JOIN {name}_d USING (dim) GROUP BY entity_id),
+{loo_sql(f"{name}_q", out=name)}"""
+
+
+def _rho_sql(table, a, b):
+    """Spearman's correlation of two columns, ties with average ranks; rows with both only."""
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
+    return f"(SELECT round(corr(x, y), 6) FROM (SELECT {rank.format(a)} AS x, {rank.format(b)} AS y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
+
+
+def _jaccard_sql(table, a, b):
+    top = "row_number() OVER (ORDER BY {0} DESC, entity_id) <= (SELECT greatest(1, round_even(0.1 * count(*), 0)) FROM " + table + ")"
+    return f"""(SELECT round(count(*) FILTER (p AND q)::DOUBLE / count(*) FILTER (p OR q), 6)
+    FROM (SELECT {top.format(a)} AS p, {top.format(b)} AS q FROM {table}))"""
 
 
 def eval_summary(spark, d):
@@ -176,7 +259,7 @@ def eval_summary(spark, d):
     entities, _ = _dated_vectors(spark, d)
     left, right = _representations(spark, d)
     novelty, _ = M.learned_compare(embed_scores(left), embed_scores(right, center=True), entities)
-    return M.eval_summary(recovery, novelty, learned_temporal(spark, d))
+    return M.eval_summary(recovery, novelty, _learned_temporal(spark, d))
 
 
 def group_enrichment_report(spark, d):
@@ -278,12 +361,39 @@ QUERIES = {
     "atlas_frame": (atlas_frame, None),
     "validate_audit": (validate_audit, None),
     "apply_score": (apply_score, None),
-    "temporal_holdout": (temporal_holdout, None),
-    "learned_temporal": (learned_temporal, None),
+    "temporal_holdout": (
+        temporal_holdout,
+        f"""WITH {VECTORS}, {_holdout_sql("t", "true", 42)}, {_holdout_sql("m", "label NOT IN (0, 1)", 43)}
+        SELECT t.*, m.n_reference AS minor_n_reference, m.n_heldout AS minor_n_heldout, m.n_controls AS minor_n_controls, m.heldout_novelty_mean AS minor_heldout_novelty_mean,
+               m.heldout_novelty_median AS minor_heldout_novelty_median, m.control_novelty_mean_of_means AS minor_control_novelty_mean_of_means,
+               m.control_novelty_std_of_means AS minor_control_novelty_std_of_means, m.mann_whitney_u AS minor_mann_whitney_u FROM t, m""",
+    ),
+    "learned_temporal": (
+        learned_temporal,
+        f"""WITH {VECTORS}, {_holdout_sql("t", "true", 42)}
+        SELECT '{SPLIT_DATE}' AS cutoff_date, true AS leakage_safe, t.* FROM t""",
+    ),
     "class_recovery": (class_recovery_metrics, None),
     "representation_ablation": (representation_ablation, None),
-    "representation_compare": (representation_compare, None),
-    "learned_compare": (learned_compare, None),
+    "representation_compare": (
+        representation_compare,
+        f"""WITH {VECTORS}, {_scores_sql("a", 1, 25)}, {_scores_sql("b", 26, 50)}, {_scores_sql("c", 1, 50)},
+        j AS (SELECT entity_id, v.label, a.novelty AS na, b.novelty AS nb, c.novelty AS nc FROM v JOIN a USING (entity_id) JOIN b USING (entity_id) JOIN c USING (entity_id))
+        SELECT (SELECT count(*) FROM j) AS n_entities, (SELECT greatest(1, round_even(0.1 * count(*), 0))::BIGINT FROM j) AS n_top,
+               {_rho_sql("j", "na", "nb")} AS spearman_hashed_vs_other, {_rho_sql("j", "na", "nc")} AS spearman_hashed_vs_combined,
+               {_jaccard_sql("j", "na", "nb")} AS top_jaccard_hashed_vs_other, {_jaccard_sql("j", "na", "nc")} AS top_jaccard_hashed_vs_combined,
+               {_jaccard_sql("j", "nb", "nc")} AS top_jaccard_other_vs_combined,
+               (SELECT count(*) FROM (SELECT label FROM j GROUP BY label HAVING count(*) >= 10)) AS n_classes""",
+    ),
+    "learned_compare": (
+        learned_compare,
+        f"""WITH {VECTORS}, {_scores_sql("a", 1, 25)}, {_scores_sql("b", 26, 50)}, {_scores_sql("c", 1, 50, "entity_id % 10 <> 3")},
+        j AS (SELECT entity_id, entity_id % 17 + 1 AS size, a.novelty AS na, b.novelty AS nb, c.novelty AS nc FROM v JOIN a USING (entity_id) JOIN b USING (entity_id) LEFT JOIN c USING (entity_id)),
+        o AS (SELECT (SELECT count(*) FROM j) AS n_entities, {_rho_sql("j", "na", "nb")} AS spearman_hashed_vs_learned, {_rho_sql("j", "na", "nc")} AS spearman_hashed_vs_third,
+               {_rho_sql("j", "nb", "nc")} AS spearman_learned_vs_third, {_jaccard_sql("j", "na", "nb")} AS top_jaccard_hashed_vs_learned,
+               {_rho_sql("j", "na", "size").replace(", 6)", ", 9)")} AS ra, {_rho_sql("j", "nb", "size").replace(", 6)", ", 9)")} AS rb)
+        SELECT * EXCLUDE (ra, rb), round(ra, 6) AS size_confound_spearman_hashed, round(rb, 6) AS size_confound_spearman_learned, round(rb - ra, 6) AS size_confound_delta FROM o""",
+    ),
     "eval_summary": (eval_summary, None),
     "group_enrichment": (group_enrichment_report, None),
     "genus_groups": (
