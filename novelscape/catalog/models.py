@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from novelscape.catalog.bind import VECTORS, activity, basket, documents, loo_sql, orders, r6, scratch, table, vectors, words
-from novelscape.operators.features import build_features
+from novelscape.catalog.bind import VECTORS, WORDS, activity, basket, documents, loo_sql, orders, r6, scratch, table, vectors, words
+from novelscape.operators.features import Vocabulary, build_features
 from novelscape.operators.vectors import as_vectors, pool_members
 from novelscape.plans import compare as M
 from novelscape.plans import temporal as H
@@ -91,10 +91,28 @@ def atlas_frame(spark, d):
     return frame(coords)
 
 
+def _sized(spark, d):
+    """Entities of ``_dense`` with sizes that some of them exceed by far."""
+    size = (F.col("entity_id") * 7919) % 1009 + 1
+    return settle(_dense(spark, d).select("entity_id", "biosynth_class", size.alias("n_genes")))
+
+
 def validate_audit(spark, d):
-    entities, features, vocabulary = user_features(spark, d)
-    embedding, _, _ = atlas(features, entities.select("entity_id"))
-    return validate(rank_novelty(embedding, entities), entities, vocabulary)
+    rows, entities = _dense(spark, d), _sized(spark, d)
+    embedding, _, _ = atlas(settle(as_vectors(rows, "z")), entities.select("entity_id"))
+    leaky = Vocabulary(("dom::a", "class::b", "size::n_genes", "arch_hash::0", "dom::Biosynth_class_c"))
+    audit = validate(rank_novelty(embedding, entities), entities, leaky)
+    return audit.select(
+        "n_entities",
+        F.array_join("forbidden_features", ";").alias("forbidden_features"),
+        "class_label_leak",
+        "top50_size_outliers",
+        r6("top_decile_same_class_neighbor_rate").alias("same_class_rate"),
+        r6("novelty_size_spearman").alias("novelty_size_spearman"),
+        F.size("novelty_by_class").cast("long").alias("n_classes"),
+        r6(F.aggregate("novelty_by_class", F.lit(0.0), lambda a, x: a + x["median"])).alias("sum_of_medians"),
+        "checks_passed",
+    )
 
 
 def _predicted(spark, d):
@@ -266,7 +284,14 @@ def group_enrichment_report(spark, d):
     docs = documents(spark, d).select(
         "entity_id", F.col("n_chars").cast("double").alias("novelty"), F.col("lang").alias("group"), F.col("source").alias("genus"), (F.col("n_chars") / 1000).cast("int").alias("n_genes")
     )
-    return group_enrichment(docs, "fr", "en", size_max=60)
+    out = group_enrichment(docs, "fr", "en", size_max=60)
+    top = "top_decile_enrichment"
+    return out.select(
+        *["a_hit", "a_rest", "b_hit", "b_rest", "n_a", "n_b", "u"],
+        *[r6(c).alias(c) for c in ("odds_ratio", "enrichment_ratio", "cohens_d", "cliffs_delta")],
+        F.concat_ws(";", F.transform("groups", lambda g: F.concat_ws(":", g["group"], g["n"], F.round(g["median"], 3)))).alias("groups"),
+        F.concat_ws(";", F.transform(top, lambda g: F.concat_ws(":", g["genus"], g["n_top"], g["n_total"]))).alias(top),
+    )
 
 
 def genus_groups(spark, d):
@@ -276,14 +301,20 @@ def genus_groups(spark, d):
 
 
 def case_lookups(spark, d):
+    """The documents that are most novel by their vectors, with their words."""
+    vectors_ = _dense(spark, d)
     entities = settle(
         documents(spark, d).select("entity_id", F.col("lang").alias("biosynth_class"), F.col("source").alias("organism"), F.col("n_chars").alias("n_genes"))
     )
-    features, _ = build_features(entities, words(spark, d))
-    embedding, _, _ = atlas(features, entities.select("entity_id"))
+    embedding, _, _ = atlas(settle(as_vectors(vectors_, "z")), entities.select("entity_id"))
     scores = settle(rank_novelty(embedding, entities))
     top = scores.orderBy("rank").limit(20).select("entity_id")
-    return case_lookup(top, scores, entities, words(spark, d)).withColumn("rarest_tokens", F.to_json("rarest_tokens"))
+    found = case_lookup(top, scores, entities, words(spark, d))
+    return found.select(
+        *["entity_id", "rank", "organism", "biosynth_class", "n_genes", "nearest_id", "neighbor_class", "nearest_organism"],
+        r6("novelty").alias("novelty"),
+        F.concat_ws(";", F.transform("rarest_tokens", lambda t: F.concat_ws(":", t["token"], t["n_entities"]))).alias("rarest_tokens"),
+    )
 
 
 def pooled_novelty(spark, d):
@@ -359,7 +390,17 @@ QUERIES = {
                round((n + n + total + mean)::DOUBLE, 6) AS sizes FROM e LEFT JOIN n USING (entity_id)""",
     ),
     "atlas_frame": (atlas_frame, None),
-    "validate_audit": (validate_audit, None),
+    "validate_audit": (
+        validate_audit,
+        f"""WITH {VECTORS}, {_scores_sql("a", 1, 50)},
+        e AS (SELECT entity_id, label, (entity_id * 7919) % 1009 + 1 AS size, novelty, nearest_id, row_number() OVER (ORDER BY novelty DESC, entity_id) AS rank FROM a JOIN v USING (entity_id)),
+        g AS (SELECT label, quantile_cont(novelty, 0.5) AS median FROM e GROUP BY label),
+        o AS (SELECT count(*) FILTER (size > (SELECT quantile_cont(size, 0.99) FROM e)) AS n FROM e WHERE rank <= 50),
+        h AS (SELECT e.label = f.label AS same FROM e LEFT JOIN v f ON f.entity_id = e.nearest_id WHERE novelty >= (SELECT quantile_cont(novelty, 0.9) FROM e))
+        SELECT (SELECT count(*) FROM e) AS n_entities, 'class::b;dom::Biosynth_class_c' AS forbidden_features, true AS class_label_leak, n AS top50_size_outliers,
+               (SELECT round(avg(same::INT), 6) FROM h) AS same_class_rate, {_rho_sql("e", "novelty", "size")} AS novelty_size_spearman,
+               (SELECT count(*) FROM g) AS n_classes, (SELECT round(sum(median), 6) FROM g) AS sum_of_medians, false AS checks_passed FROM o""",
+    ),
     "apply_score": (apply_score, None),
     "temporal_holdout": (
         temporal_holdout,
@@ -395,14 +436,45 @@ QUERIES = {
         SELECT * EXCLUDE (ra, rb), round(ra, 6) AS size_confound_spearman_hashed, round(rb, 6) AS size_confound_spearman_learned, round(rb - ra, 6) AS size_confound_delta FROM o""",
     ),
     "eval_summary": (eval_summary, None),
-    "group_enrichment": (group_enrichment_report, None),
+    "group_enrichment": (
+        group_enrichment_report,
+        """WITH d AS (SELECT doc_id, n_chars::DOUBLE AS x, lang, source FROM documents WHERE lang IS NOT NULL AND n_chars // 1000 <= 60),
+        h AS (SELECT *, x >= (SELECT quantile_cont(x, 0.9) FROM d) AS is_high FROM d),
+        r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rk FROM h WHERE lang IN ('fr', 'en')),
+        t AS (SELECT count(*) FILTER (lang = 'fr' AND is_high) AS a_hit, count(*) FILTER (lang = 'fr' AND NOT is_high) AS a_rest,
+                     count(*) FILTER (lang = 'en' AND is_high) AS b_hit, count(*) FILTER (lang = 'en' AND NOT is_high) AS b_rest,
+                     count(*) FILTER (lang = 'fr') AS n_a, count(*) FILTER (lang = 'en') AS n_b,
+                     avg(x) FILTER (lang = 'fr') - avg(x) FILTER (lang = 'en') AS gap, var_samp(x) FILTER (lang = 'fr') AS va, var_samp(x) FILTER (lang = 'en') AS vb,
+                     sum(rk) FILTER (lang = 'fr') AS ra FROM r),
+        c AS (SELECT *, CASE WHEN least(a_hit, a_rest, b_hit, b_rest) = 0 THEN 0.5::DOUBLE ELSE 0 END AS k, (ra - n_a * (n_a + 1) / 2)::DOUBLE AS u FROM t),
+        s AS (SELECT source, count(*) FILTER (is_high) AS n_top, count(*) AS n_total FROM h GROUP BY source HAVING count(*) FILTER (is_high) >= 3 AND count(*) >= 5
+              ORDER BY count(*) FILTER (is_high) / count(*) DESC, count(*) FILTER (is_high) DESC, source LIMIT 12)
+        SELECT a_hit, a_rest, b_hit, b_rest, n_a, n_b, u, round(((a_hit + k) / (a_rest + k)) / ((b_hit + k) / (b_rest + k)), 6) AS odds_ratio,
+               round((a_hit / n_a) / nullif(b_hit / n_b, 0), 6) AS enrichment_ratio, round(gap / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 6) AS cohens_d,
+               round(2 * u / (n_a * n_b) - 1, 6) AS cliffs_delta,
+               (SELECT string_agg(lang || ':' || n || ':' || m, ';' ORDER BY lang) FROM (SELECT lang, count(*) AS n, round(quantile_cont(x, 0.5), 3) AS m FROM h GROUP BY lang)) AS groups,
+               (SELECT string_agg(source || ':' || n_top || ':' || n_total, ';' ORDER BY n_top / n_total DESC, source) FROM s) AS top_decile_enrichment FROM c""",
+    ),
     "genus_groups": (
         genus_groups,
         """WITH g AS (SELECT ['Myxococcus', 'Streptomyces', 'Bacillus', ''][doc_id % 4 + 1] AS genus FROM documents)
         SELECT genus, CASE genus WHEN 'Myxococcus' THEN 'Myxobacteria' WHEN 'Streptomyces' THEN 'Streptomyces' ELSE 'Other' END AS "group", count(*) AS n
         FROM g GROUP BY genus""",
     ),
-    "case_lookup": (case_lookups, None),
+    "case_lookup": (
+        case_lookups,
+        f"""WITH {VECTORS}, {WORDS}, {_scores_sql("a", 1, 50)},
+        e AS (SELECT a.*, lang, source, n_chars FROM a JOIN documents ON doc_id = entity_id),
+        r AS (SELECT *, row_number() OVER (ORDER BY novelty DESC, entity_id) AS rank FROM e),
+        top AS (SELECT * FROM r WHERE rank <= 20),
+        n AS (SELECT token, count(DISTINCT entity_id) AS n_entities FROM words GROUP BY token),
+        w AS (SELECT entity_id, token, n_entities, row_number() OVER (PARTITION BY entity_id ORDER BY n_entities, token) AS k
+              FROM (SELECT DISTINCT entity_id, token FROM words WHERE entity_id IN (SELECT entity_id FROM top)) JOIN n USING (token)),
+        l AS (SELECT entity_id, string_agg(token || ':' || n_entities, ';' ORDER BY k) AS rarest_tokens FROM w WHERE k <= 6 GROUP BY entity_id)
+        SELECT top.entity_id, rank, top.source AS organism, top.lang AS biosynth_class, top.n_chars AS n_genes, nearest_id, f.lang AS neighbor_class, f.source AS nearest_organism,
+               round(novelty, 6) AS novelty, coalesce(rarest_tokens, '') AS rarest_tokens
+        FROM top LEFT JOIN documents f ON f.doc_id = nearest_id LEFT JOIN l ON l.entity_id = top.entity_id""",
+    ),
     "pooled_novelty": (
         pooled_novelty,
         f"""WITH c AS (SELECT vec_id % 100 AS entity_id, greatest((vec_id % 7) * 100, 1)::DOUBLE AS w, generate_subscripts(embedding[1:50], 1) AS dim, unnest(embedding[1:50])::DOUBLE AS x FROM embeddings),
