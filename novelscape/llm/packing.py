@@ -113,12 +113,12 @@ def improved(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     least = -(-int(sizes.sum()) // capacity)
     while (fill > 0).sum() > least:
         source = int(np.argmin(np.where(fill > 0, fill, capacity + 1)))
-        kept = bins.copy()
+        # Each step takes from the emptiest bin, so the sum of squared fills rises and the steps end.
         while fill[source] > 0 and exchange(sizes, bins, fill, source, capacity):
             pass
         if fill[source] > 0:
-            # The bin is emptier than before, but still there; a later round finds more bins to put the rest in.
-            return bins if (np.bincount(bins, weights=sizes) ** 2).sum() >= (np.bincount(kept, weights=sizes) ** 2).sum() else kept
+            # Emptier than before, but still there; a later round has more bins to put the rest in.
+            break
     return bins
 
 
