@@ -181,10 +181,12 @@ def test_features(spark):
     assert found["C"].tolist() == expected("C", 1, 2.0)
 
 
-def test_vocabulary_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_FEATURES", 73)
-    with pytest.raises(ValueError, match="more than 3"):
-        features.Vocabulary.of(spark.createDataFrame([(c,) for c in "abcd"], "token string"), 64)
+def test_projection_is_bounded(spark, monkeypatch):
+    wide = vectors.as_vectors(points(spark, np.ones((3, 4))), "z")
+    monkeypatch.setattr(vectors, "MAX_FEATURES", 3)
+    with pytest.raises(ValueError, match="at most 3 columns"):
+        vectors.Projection.fit(wide, 2)
+    assert len(features.Vocabulary.of(spark.createDataFrame([(c,) for c in "abcd"], "token string"), 64)) == 4 + 64 + 6
 
 
 @pytest.mark.parametrize("center", [False, True])
