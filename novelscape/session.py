@@ -27,10 +27,10 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     )
 
 
-def concurrently(work: Callable, items: Iterable, width: int = 4) -> list:
+def concurrently(work: Callable, items: Iterable, width: int = 8) -> list:
     """``work`` of each item, with the Spark jobs of up to ``width`` items at once."""
     with ThreadPool(width) as pool:
-        return pool.map(inheritable_thread_target(work), items)
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
 
 
 def settle(df: DataFrame) -> DataFrame:
