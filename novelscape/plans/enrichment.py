@@ -91,7 +91,7 @@ def with_genus(scores: DataFrame, organism: str = "organism") -> DataFrame:
 
 def rarest_tokens(tokens: DataFrame, ids: DataFrame, n: int = RAREST) -> DataFrame:
     """Per entity of ``ids``, its ``n`` tokens that fewest entities have, as an array of structs."""
-    counts = token_counts(tokens)
+    counts = settle(token_counts(tokens))
     shares = document_share(counts)
     chosen = counts.select(ENTITY, "token").join(ids.select(ENTITY), ENTITY, "left_semi").join(shares, "token")
     kept = top_per_group(chosen, ENTITY, ["n_entities", "token"], n)
