@@ -109,6 +109,8 @@ def words(text: pa.Array, lower: bool = False, lines: bool = False) -> tuple[np.
 
     Null is an empty text. ``lower`` maps A-Z only. With ``lines`` a line break is the word ``LINE``.
     """
+    # What the last slice took goes back first; it would stay with the worker.
+    pa.default_memory_pool().release_unused()
     text = pc.fill_null(text, "")
     if lower:
         text = pc.ascii_lower(text)
