@@ -5,12 +5,15 @@ and a capitalised word inside a sentence a third. Windows of template words of t
 windows are kept if their hash is among them, and joined by hash with the benchmark's. Windows of a document and an
 item that lie on one diagonal are a passage; the placeholders' values must be consistent along it: each value of the
 benchmark stands for one value of the document and the other way round. Equal values make an ``exact`` passage, others a
-``reparameterised`` one; inconsistent passages are no finding. A longer passage of plain words alone also counts if it
-is interrupted, by its windows.
+``reparameterised`` one; inconsistent passages are no finding.
+
+Windows of the lower-cased words as they are, numbers and names among them, are matched beside the templates and are
+``exact`` passages, so that a copy is found whatever its case, its place in a sentence or its share of placeholders.
 
 The benchmark's hashes are broadcast in blocks of bounded size, as many as it takes. An item shorter than a window is
-one window of all its words; a window needs ``literal`` plain words to count, so shorter items are never found. Null
-and empty texts hold nothing. Rows with equal ``doc_id`` are one document; rows without ``doc_id`` are found under null.
+one window of all its words, but items of fewer than ``literal`` words are never found. A template window needs
+``literal`` plain words to count, a window of words as they are one word that is no number. Null and empty texts hold
+nothing. Rows with equal ``doc_id`` are one document; rows without ``doc_id`` are found under null.
 Further columns are not read. An empty table on either side gives an empty result.
 """
 
@@ -55,7 +58,8 @@ class Templates:
     """Template words of blank-separated words, each worked out once.
 
     A part of a word has a kind and a hash as it is, another kind and hash if it begins a sentence (a name is a plain
-    word there), and another hash if it follows a number (a unit).
+    word there), and another hash if it follows a number (a unit). Its third hash is that of its lower-cased letters or
+    digits, whatever its kind.
     """
 
     def __init__(self) -> None:
@@ -69,7 +73,7 @@ class Templates:
         self.surfaces: list[str] = []
         self.kinds = np.zeros((2, 0), dtype=np.int8)
         self.units = np.zeros(0, dtype=bool)
-        self.hashes = np.zeros((2, 0), dtype=np.uint64)
+        self.hashes = np.zeros((3, 0), dtype=np.uint64)
 
     def learn(self, new: list[str]) -> None:
         """Latin words with or without marks behind, nearly all words, are worked out together, others one by one."""
@@ -91,6 +95,7 @@ class Templates:
         kinds = np.concatenate([*kinds, np.array([x[1] for x in flat], dtype=np.int8)])
         first = np.concatenate([hashes[0], np.array([x[2] for x in flat], dtype=np.uint64)])
         heads = np.concatenate([hashes[1], np.array([x[3] for x in flat], dtype=np.uint64)])
+        exact = np.concatenate([own, np.array([x[4] for x in flat], dtype=np.uint64)])
         lengths = np.concatenate([*lengths, np.array([len(parts) for parts, _ in more], dtype=np.int64)])
         order = np.flatnonzero(simple).tolist() + odd.tolist()
         self.place.update(zip([new[i] for i in order], range(len(self.starts), len(self.starts) + len(new))))
@@ -99,21 +104,21 @@ class Templates:
         self.ends = np.concatenate([self.ends, *ends, np.array([end for _, end in more], dtype=bool)])
         self.kinds = np.concatenate([self.kinds, [kinds, np.where(kinds == NAME, 0, kinds)]], axis=1)
         self.units = np.concatenate([self.units, *units, np.array([x[0].lower() in UNITS for x in flat], dtype=bool)])
-        self.hashes = np.concatenate([self.hashes, [first, heads]], axis=1)
+        self.hashes = np.concatenate([self.hashes, [first, heads, exact]], axis=1)
         self.surfaces.extend(surfaces)
 
     @staticmethod
-    def parts(word: str) -> tuple[list[tuple[str, int, int, int]], bool]:
-        """Surface, kind, hash and hash at the start of a sentence of each part, and whether the word ends a sentence."""
+    def parts(word: str) -> tuple[list[tuple[str, int, int, int, int]], bool]:
+        """Surface, kind, hash, hash at the start of a sentence and as it is of each part, and whether the word ends a sentence."""
         out = []
         for part in _PART.findall(word):
             own = xxhash.xxh64_intdigest(part.lower(), 7)
             if part[0].isdigit():
-                out.append((part, NUMBER, _MARKED[NUMBER], _MARKED[NUMBER]))
+                out.append((part, NUMBER, _MARKED[NUMBER], _MARKED[NUMBER], own))
             elif len(part) > 1 and part[0].isupper() and part[1:].islower():
-                out.append((part, NAME, _MARKED[NAME], own))
+                out.append((part, NAME, _MARKED[NAME], own, own))
             else:
-                out.append((part, 0, own, own))
+                out.append((part, 0, own, own, own))
         return out, word == common.LINE or word.rstrip(_CLOSING)[-1:] in (".", "!", "?")
 
     def stream(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,10 +157,11 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool, wanted=None) -> DataFrame:
-    """``ident, pos, hash, template, slots`` of windows; only those in the broadcast ``wanted`` if it is given.
+    """``ident, exact, pos, size, hash, template, slots`` of windows; only those in the broadcast ``wanted`` if it is given.
 
-    With ``shorter``, a text of fewer than ``size`` words has one window; ``size`` words of a document are matched
-    with shorter items through ``wanted``, which maps window sizes to sorted hashes.
+    ``exact`` windows are of words as they are, others of template words. With ``shorter``, a text of fewer than ``size``
+    words has one window; ``size`` words of a document are matched with shorter items through ``wanted``, which maps
+    ``exact`` and window sizes to sorted hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,60 +170,65 @@ def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool
             text = batch.column("text")
             for low, high in common.slices(text):
                 hashes, kinds, stream, begins = own.stream(text.slice(low, high - low))
-                plain = np.concatenate([[0], np.cumsum(kinds == 0)])
+                plain, letters = (np.concatenate([[0], np.cumsum(x)]) for x in (kinds == 0, kinds != NUMBER))
                 row_of = np.repeat(np.arange(high - low), np.diff(begins))
-                rows, places, sizes, found = [], [], [], []
+                streams = {False: hashes, True: own.hashes[2][stream]}
+                rows, places, sizes, found, whole = [], [], [], [], []
                 if wanted is None:
                     for r, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
                         n = size if b - a >= size or not shorter else b - a
                         if n and b - a >= n:
                             at = np.arange(a, b - n + 1)
-                            rows.append(np.full(len(at), r)), places.append(at), sizes.append(np.full(len(at), n)), found.append(window_hashes(hashes[a:b], n))
+                            for exact, some in streams.items():
+                                rows.append(np.full(len(at), r)), places.append(at), sizes.append(np.full(len(at), n)), whole.append(np.full(len(at), exact))
+                                found.append(window_hashes(some[a:b], n))
                 else:
-                    for n, (known, low_bits) in wanted.value.items():
-                        mine = window_hashes(hashes, n)
+                    for (exact, n), (known, low_bits) in wanted.value.items():
+                        mine = window_hashes(streams[exact], n)
                         at = np.flatnonzero(low_bits[(mine & _LOW).astype(np.int64)])
                         at = at[known[np.minimum(np.searchsorted(known, mine[at]), len(known) - 1)] == mine[at]]
                         at = at[row_of[at] == row_of[at + n - 1]]
-                        rows.append(row_of[at]), places.append(at), sizes.append(np.full(len(at), n)), found.append(mine[at])
+                        rows.append(row_of[at]), places.append(at), sizes.append(np.full(len(at), n)), whole.append(np.full(len(at), exact))
+                        found.append(mine[at])
                 if not rows:
                     continue
-                rows, places, sizes, found = (np.concatenate(x) for x in (rows, places, sizes, found))
-                good = plain[places + sizes] - plain[places] >= literal
-                rows, places, sizes, found = rows[good], places[good], sizes[good], found[good]
+                rows, places, sizes, found, whole = (np.concatenate(x) for x in (rows, places, sizes, found, whole))
+                enough = plain[places + sizes] - plain[places] >= literal
+                good = np.where(whole, (sizes >= literal) & (letters[places + sizes] > letters[places]), enough)
+                rows, places, sizes, found, whole = rows[good], places[good], sizes[good], found[good], whole[good]
                 templates, slots = [], []
-                for p, n in zip(places.tolist(), sizes.tolist()):
-                    kind, word = kinds[p : p + n].tolist(), [own.surfaces[c] for c in stream[p : p + n].tolist()]
+                for p, n, exact in zip(places.tolist(), sizes.tolist(), whole.tolist()):
+                    kind, word = [0] * n if exact else kinds[p : p + n].tolist(), [own.surfaces[c] for c in stream[p : p + n].tolist()]
                     templates.append(" ".join(MARKS.get(k) or w.lower() for k, w in zip(kind, word)))
                     slots.append([f"{k} {w}" for k, w in zip(kind, word) if k])
                 yield pa.record_batch(
-                    [batch.column("id").slice(low, high - low).take(pa.array(rows, pa.int64())), pa.array(places - begins[rows], pa.int64()), pa.array(sizes, pa.int32()),
-                     pa.array(found.view(np.int64), pa.int64()), pa.array(templates, pa.string()), pa.array(slots, pa.list_(pa.string()))],
-                    names=["id", "pos", "size", "hash", "template", "slots"],
+                    [batch.column("id").slice(low, high - low).take(pa.array(rows, pa.int64())), pa.array(whole, pa.bool_()), pa.array(places - begins[rows], pa.int64()),
+                     pa.array(sizes, pa.int32()), pa.array(found.view(np.int64), pa.int64()), pa.array(templates, pa.string()), pa.array(slots, pa.list_(pa.string()))],
+                    names=["id", "exact", "pos", "size", "hash", "template", "slots"],
                 )
 
     plain = table.select(F.col(ident).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, pos long, size int, hash long, template string, slots array<string>")
+    return plain.mapInArrow(run, "id long, exact boolean, pos long, size int, hash long, template string, slots array<string>")
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, n_windows, first_word, kind`` of each benchmark item that a document holds a passage of."""
     spark = docs.sparkSession
     items = common.stored(windows(benchmark, "item_id", window, literal, True))
-    hashes = items.select("size", "hash").distinct()
+    hashes = items.select("exact", "size", "hash").distinct()
     blocks = max(1, -(-hashes.count() // block))
     hits = None
     for number in range(blocks):
         part = hashes_of(spark, hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == number))
         some = windows(docs, "doc_id", window, literal, False, part)
         hits = some if hits is None else hits.union(some)
-    a = hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "size", "hash", "template", F.col("slots").alias("doc_slots"))
-    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_at"), "size", "hash", "template", F.col("slots").alias("item_slots"))
-    pairs = a.join(b, ["hash", "size", "template"]).select(
-        "doc_id", "item_id", "at", (F.col("at") - F.col("item_at")).alias("diagonal"),
+    a = hits.select(F.col("id").alias("doc_id"), "exact", F.col("pos").alias("at"), "size", "hash", "template", F.col("slots").alias("doc_slots"))
+    b = items.select(F.col("id").alias("item_id"), "exact", F.col("pos").alias("item_at"), "size", "hash", "template", F.col("slots").alias("item_slots"))
+    pairs = a.join(b, ["exact", "hash", "size", "template"]).select(
+        "doc_id", "item_id", "exact", "at", (F.col("at") - F.col("item_at")).alias("diagonal"),
         F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc")).alias("values"),
     )
-    passages = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
+    passages = pairs.groupBy("doc_id", "item_id", "diagonal", "exact").agg(
         F.count_distinct("at").alias("n_windows"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values")
     )
     distinct = [F.size(F.array_distinct(F.col(f"values.{side}"))) for side in ("item", "doc")]
@@ -233,13 +244,13 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, litera
 
 
 def hashes_of(spark: SparkSession, hashes: DataFrame):
-    """A broadcast of window size to sorted hashes, and flags of their low bits; the caller bounds their number."""
+    """A broadcast of ``exact`` and window size to sorted hashes, and flags of the low bits of all; the caller bounds their number."""
     got, out = hashes.toPandas(), {}
-    for size, group in got.groupby("size")["hash"]:
+    flags = np.zeros(int(_LOW) + 1, dtype=bool)
+    for (exact, size), group in got.groupby(["exact", "size"])["hash"]:
         known = np.sort(group.to_numpy().view(np.uint64))
-        flags = np.zeros(int(_LOW) + 1, dtype=bool)
         flags[(known & _LOW).astype(np.int64)] = True
-        out[int(size)] = known, flags
+        out[bool(exact), int(size)] = known, flags
     return spark.sparkContext.broadcast(out)
 
 

@@ -94,3 +94,13 @@ def test_template_words():
         ("We", 0), ("paid", 0), ("Anna", 3), ("12", 1), ("kg", 2), ("Then", 0), ("m", 0), ("won", 0), ("3.5", 1), ("km", 2), ("x", 0), ("New", 0), ("line", 0), ("Bob", 3),
     ]
     assert begins.tolist() == [0, 10, 10, 14]
+
+
+def test_copies_in_any_case_and_place(spark):
+    """Copies whose capitals make other templates, and copies of few plain words."""
+    rows = [(1, "What is the capital city of France?"), (2, "Anna paid Berlin 12 kg and Peter paid Rome 9 kg in May 2019"), (3, "Die Katze der Nachbarin frisst heute den Fisch aus Bremen")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts = ["Q: What is the capital city of France?", "1) What is the capital city of France", "WHAT IS THE CAPITAL CITY OF FRANCE?", "so what is the capital city of france",
+             "as: " + rows[1][1], rows[1][1].lower(), rows[2][1].upper(), "x " + rows[2][1].lower(), prose(40)]
+    got = decontaminate.findings(edge.frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), items).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(i, k, "exact") for k, own in ((1, range(4)), (2, (4, 5)), (3, (6, 7))) for i in own}
