@@ -2,13 +2,12 @@
 
 Texts become template words: letters are lower-cased words, numbers are one placeholder, a unit after a number another,
 and a capitalised word inside a sentence a third. Windows of template words of the benchmark are hashed; documents'
-windows are kept if their hash is among them, and joined by hash with the benchmark's. Windows of a document and an
-item that lie on one diagonal are a passage; the placeholders' values must be consistent along it: each value of the
-benchmark stands for one value of the document and the other way round. Equal values make an ``exact`` passage, others a
-``reparameterised`` one; inconsistent passages are no finding.
-
-Windows of the lower-cased words as they are, numbers and names among them, are matched beside the templates and are
-``exact`` passages, so that a copy is found whatever its case, its place in a sentence or its share of placeholders.
+windows are kept if their hash is among them, and joined by hash with the benchmark's. So are windows of the lower-cased
+words as they are, numbers and names among them, so that a copy is found whatever its case, its place in a sentence or
+its share of placeholders. Windows of a document and an item that lie on one diagonal are a passage. Those of words as
+they are make an ``exact`` one, whatever lies between them. Template windows with other values make a
+``reparameterised`` one if the placeholders' values are consistent along it: each value of the benchmark stands for one
+value of the document and the other way round. What is inconsistent is no finding.
 
 The benchmark's hashes are broadcast in blocks of bounded size, as many as it takes. An item shorter than a window is
 one window of all its words, but items of fewer than ``literal`` words are never found. A template window needs
@@ -200,7 +199,7 @@ def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool
                 for p, n, exact in zip(places.tolist(), sizes.tolist(), whole.tolist()):
                     kind, word = [0] * n if exact else kinds[p : p + n].tolist(), [own.surfaces[c] for c in stream[p : p + n].tolist()]
                     templates.append(" ".join(MARKS.get(k) or w.lower() for k, w in zip(kind, word)))
-                    slots.append([f"{k} {w}" for k, w in zip(kind, word) if k])
+                    slots.append([f"{k} {w.lower()}" for k, w in zip(kind, word) if k])
                 yield pa.record_batch(
                     [batch.column("id").slice(low, high - low).take(pa.array(rows, pa.int64())), pa.array(whole, pa.bool_()), pa.array(places - begins[rows], pa.int64()),
                      pa.array(sizes, pa.int32()), pa.array(found.view(np.int64), pa.int64()), pa.array(templates, pa.string()), pa.array(slots, pa.list_(pa.string()))],
@@ -228,13 +227,14 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, litera
         "doc_id", "item_id", "exact", "at", (F.col("at") - F.col("item_at")).alias("diagonal"),
         F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc")).alias("values"),
     )
-    passages = pairs.groupBy("doc_id", "item_id", "diagonal", "exact").agg(
+    # Template windows with equal values are found as they are.
+    changed = F.exists("values", lambda v: v.getField("item") != v.getField("doc"))
+    passages = pairs.where(F.col("exact") | changed).groupBy("doc_id", "item_id", "diagonal", "exact").agg(
         F.count_distinct("at").alias("n_windows"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values")
     )
     distinct = [F.size(F.array_distinct(F.col(f"values.{side}"))) for side in ("item", "doc")]
     consistent = (distinct[0] == F.size("values")) & (distinct[1] == F.size("values"))
-    same = F.forall("values", lambda v: v.getField("item") == v.getField("doc"))
-    kept = passages.where(consistent).withColumn("exact", same)
+    kept = passages.where(F.col("exact") | consistent)
     # Of several passages the exact ones, then the one with most windows, counts.
     best = F.max(F.struct("exact", "n_windows", (-F.col("first_word")).alias("first")))
     return kept.groupBy("doc_id", "item_id").agg(best.alias("best")).select(

@@ -104,3 +104,16 @@ def test_copies_in_any_case_and_place(spark):
              "as: " + rows[1][1], rows[1][1].lower(), rows[2][1].upper(), "x " + rows[2][1].lower(), prose(40)]
     got = decontaminate.findings(edge.frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), items).collect()
     assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(i, k, "exact") for k, own in ((1, range(4)), (2, (4, 5)), (3, (6, 7))) for i in own}
+
+
+def test_copy_with_one_slot_changed(spark):
+    """One of two occurrences of a name changes: the windows without it are a copy, and those with it no finding."""
+    before, between, after = prose(60), prose(80), prose(60)
+    item = f"{before} Anna {between} Anna {after}"
+    items = spark.createDataFrame([(1, item), (2, "we gave Anna ten of them and then Anna gave two of those to us")], "item_id long, text string")
+    texts = [f"{before} Anna {between} Maria {after}", "we gave Berta ten of them and then Carla gave two of those to us", "we gave Berta ten of them and then Berta gave two of those to us"]
+    docs = edge.frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id, r.kind, r.n_windows) for r in decontaminate.findings(docs, items).collect()}
+    # In the second text Anna is two people, in the third one.
+    assert got == {(0, 1, "exact", 202 - 7 - 8), (2, 2, "reparameterised", 8)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [1]
