@@ -7,7 +7,9 @@ words as they are, numbers and names among them, so that a copy is found whateve
 its share of placeholders. Windows of a document and an item that lie on one diagonal are a passage. Those of words as
 they are make an ``exact`` one, whatever lies between them. Template windows with other values make a
 ``reparameterised`` one if the placeholders' values are consistent along it: each value of the benchmark stands for one
-value of the document and the other way round. What is inconsistent is no finding.
+value of the document and the other way round. What is inconsistent is no finding. ``clean`` drops a document for one
+``exact`` window, but for a ``reparameterised`` passage only if it has several windows and most of the item's, or ``LONG``
+of them: capitalised words are frequent, and single templates of them match texts that share nothing else.
 
 The benchmark's hashes are broadcast in blocks of bounded size, as many as it takes. An item shorter than a window is
 one window of all its words, but items of fewer than ``literal`` words are never found. A template window needs
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from novelscape.llm import common
 
 WINDOW, LITERAL = 8, 4
+#: Windows of a reparameterised passage that drop a document whatever the item's length.
+LONG = 32
 #: Benchmark windows whose hashes are broadcast at once.
 BLOCK = 4_000_000
 # Units after numbers.
@@ -212,8 +216,13 @@ def windows(table: DataFrame, ident: str, size: int, literal: int, shorter: bool
 
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, n_windows, first_word, kind`` of each benchmark item that a document holds a passage of."""
-    spark = docs.sparkSession
     items = common.stored(windows(benchmark, "item_id", window, literal, True))
+    return matched(docs, items, window, literal, block)
+
+
+def matched(docs: DataFrame, items: DataFrame, window: int, literal: int, block: int) -> DataFrame:
+    """Findings from the stored windows of the items."""
+    spark = docs.sparkSession
     hashes = items.select("exact", "size", "hash").distinct()
     blocks = max(1, -(-hashes.count() // block))
     hits = None
@@ -254,8 +263,13 @@ def hashes_of(spark: SparkSession, hashes: DataFrame):
     return spark.sparkContext.broadcast(out)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, block: int = BLOCK) -> DataFrame:
     """``docs`` without those that hold a benchmark passage. Rows without ``doc_id`` are kept or dropped together."""
     (name,) = common.fresh(docs, "found")
-    found = common.stored(findings(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct())
+    items = common.stored(windows(benchmark, "item_id", window, literal, True))
+    totals = items.where("exact").groupBy(F.col("id").alias("item")).agg(F.count_distinct("pos").alias("total"))
+    held = matched(docs, items, window, literal, block).join(totals, F.col("item_id").eqNullSafe(F.col("item")), "left")
+    several = (F.col("n_windows") > 1) & (2 * F.col("n_windows") > F.coalesce("total", F.lit(0)))
+    held = held.where((F.col("kind") == "exact") | several | (F.col("n_windows") >= LONG))
+    found = common.stored(held.select(F.col("doc_id").alias(name)).distinct())
     return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -117,3 +117,25 @@ def test_copy_with_one_slot_changed(spark):
     # In the second text Anna is two people, in the third one.
     assert got == {(0, 1, "exact", 202 - 7 - 8), (2, 2, "reparameterised", 8)}
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [1]
+
+
+def test_clean_keeps_chance_templates(spark):
+    """One template of capitalised words in a long item drops no document; most of an item or a long run of it does."""
+    names = lambda: ["".join(DRAW.choice("abcdefgh") for _ in range(7)).capitalize() for _ in range(60)]
+    words, own, other = [DRAW.choice(VOCABULARY) for _ in range(600)], names(), names()
+    long = lambda some, n: " ".join(f"{w} {some[i // 5]}" if i % 5 == 4 else w for i, w in enumerate(words[:n]))
+    items = [(1, prose(30) + " in der Katze und in der Sonne " + prose(30)), (2, long(own, 300)), (3, "wir fahren heute mit dem Zug nach Bremen und dann mit dem Rad nach Hause")]
+    texts = [
+        prose(20) + " in der Schule und in der Kirche " + prose(20),
+        prose(20) + " und in der Stadt und in der Nacht " + prose(20),
+        prose(9) + " " + long(other, 60) + " " + prose(9),
+        "wir fahren heute mit dem Bus nach Berlin und dann mit dem Schiff nach Polen",
+        prose(9) + " " + long(own, 8),
+    ]
+    items[0] = (1, items[0][1].replace("in der Katze und in der Sonne", "der Vogel in der Katze und in der Sonne"))
+    texts[0] = texts[0].replace("in der Schule", "der Hund in der Schule")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = edge.frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    kinds = {(r.doc_id, r.item_id): r.kind for r in decontaminate.findings(docs, bench).collect()}
+    assert kinds == {(0, 1): "reparameterised", (2, 2): "reparameterised", (3, 3): "reparameterised", (4, 2): "exact"}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [0, 1]
