@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import ann, common, decontaminate, language, line_dedup, packing, quality, simhash, suffix_tree, token_ids, toxicity
+from novelscape.llm import ann, collocations, common, decontaminate, language, line_dedup, packing, quality, simhash, suffix_tree, token_ids, toxicity
 
 
 def word_vocabulary() -> str:
@@ -93,6 +93,40 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(common.table(spark, folder, "documents"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang
+), counted AS (
+  SELECT lang, m, w[i : i + m - 1] AS w, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM split, range(1, 6) AS s(m), range(1, len(w) - m + 2) AS t(i) GROUP BY ALL HAVING count(*) >= 100
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, max(a) AS most
+  FROM counted, range(2, m) AS s(j), range(1, m - j + 2) AS t(i) GROUP BY ALL
+), kept AS (
+  SELECT counted.* FROM counted LEFT JOIN inner_phrases USING (lang, phrase) WHERE m > 1 AND coalesce(100 * most < 100 * a, true)
+), cuts AS (
+  SELECT kept.lang, kept.phrase, kept.a, x.a AS l, y.a AS r, n, k, ((1000::HUGEINT * kept.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM kept, range(1, m) AS s(k), counted AS x, counted AS y, totals
+  WHERE x.lang = kept.lang AND y.lang = kept.lang AND totals.lang = kept.lang AND x.m = k AND y.m = kept.m - k
+    AND x.phrase = array_to_string(kept.w[1 : k], ' ') AND y.phrase = array_to_string(kept.w[k + 1 :], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_token_output": (token_output, None),
     "op2_line_dedup": (line_duplicates, LINE_DUPLICATES_SQL),
@@ -104,4 +138,5 @@ QUERIES = {
     "op8_decontaminate": (benchmark_passages, None),
     "op9_simhash": (near_duplicates, None),
     "op10_quality": (document_quality, None),
+    "op13_collocations": (phrase_collocations, COLLOCATIONS_SQL),
 }
