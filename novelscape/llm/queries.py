@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import ann, collocations, common, decontaminate, language, line_dedup, packing, quality, simhash, suffix_tree, token_ids, toxicity
+from novelscape.llm import ann, collocations, common, decontaminate, language, line_dedup, packing, quality, simhash, suffix_tree, token_ids, toxicity, turn_trie
 
 
 def word_vocabulary() -> str:
@@ -93,6 +93,60 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations begin with the first turns of the conversation whose number is theirs rounded down to hundreds."""
+    talks = common.table(spark, folder, "conversations")
+    turns = common.stored(turn_trie.numbered(talks))
+    lengths = turns.groupBy("conv_id").agg(F.max("place").alias("length"))
+    base, h = F.col("conv_id") - F.col("conv_id") % 100, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    members = lengths.select("conv_id", base.alias("base"), h.alias("h"))
+    members = members.join(lengths.select(F.col("conv_id").alias("base"), "length"), "base", "left")
+    members = common.stored(members.withColumn("taken", F.least("h", F.coalesce("length", F.lit(0).cast("long")))))
+    first = turns.where("place <= 5 and conv_id % 100 = 0").withColumnRenamed("conv_id", "base")
+    first = members.join(first, "base").where("place <= h").select("conv_id", "place", "id", "size")
+    own = turns.join(members, "conv_id").where("place > h")
+    own = own.select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "id", "size")
+    return turn_trie.nodes(first.unionByName(own), members)
+
+
+#: DuckDB has no crc32: the bits of the number's digits are shifted through.
+CONVERSATIONS_SQL = r"""
+WITH numbered AS (
+  SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id, length(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), members AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, max(place) AS length, xor(list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h
+  FROM numbered GROUP BY conv_id
+), rebuilt AS (
+  SELECT m.conv_id, n.place, id, size FROM members AS m JOIN numbered AS n ON n.conv_id = m.base AND n.place <= m.h
+  UNION ALL
+  SELECT m.conv_id, n.place - m.h + least(m.h, coalesce(b.length, 0)), id, size FROM members AS m JOIN numbered AS n ON n.conv_id = m.conv_id AND n.place > m.h
+    LEFT JOIN members AS b ON b.conv_id = m.base
+), whole AS (
+  SELECT conv_id, coalesce(ids, []) AS ids, coalesce(sizes, []) AS sizes FROM members LEFT JOIN (
+    SELECT conv_id, list(id ORDER BY place) AS ids, list(size ORDER BY place) AS sizes FROM rebuilt GROUP BY conv_id) USING (conv_id)
+), nodes AS (
+  SELECT ids[1 : d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN sizes[d] ELSE 0 END) AS size,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ids) = d), '') AS ends
+  FROM whole, range(0, len(ids) + 1) AS r(d) GROUP BY ALL
+), children AS (
+  SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), told AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)
+), sums AS (
+  SELECT path[1 : d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM told, range(0, depth + 1) AS r(d) GROUP BY ALL
+)
+SELECT told.conv_id, told.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, told.n_convs, told.n_children::BIGINT AS n_children, n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(told.ends) AS ends_sha256
+FROM told JOIN sums USING (path) LEFT JOIN nodes AS above ON above.path = told.path[1 : told.depth - 1] AND told.depth > 0
+"""
+
+
 def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(common.table(spark, folder, "documents"))
 
@@ -138,5 +192,6 @@ QUERIES = {
     "op8_decontaminate": (benchmark_passages, None),
     "op9_simhash": (near_duplicates, None),
     "op10_quality": (document_quality, None),
+    "op11_turn_trie": (conversation_trie, CONVERSATIONS_SQL),
     "op13_collocations": (phrase_collocations, COLLOCATIONS_SQL),
 }
