@@ -209,27 +209,10 @@ def mark(codes: np.ndarray) -> np.ndarray:
     return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARKS)).astype(np.int64)
 
 
-def marks(phrases: DataFrame) -> np.ndarray:
-    """A bitmap with the marks of all codes; 4 MB, whatever their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MARKS - 3, dtype=np.uint8)
-        for batch in batches:
-            at = mark(np.asarray(batch.column("code")))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        words = bits.view(np.int64)
-        seen = np.flatnonzero(words)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(words[seen], pa.int64())], names=["at", "bits"])
-
-    got = phrases.select("code").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << MARKS - 6, dtype=np.int64)
-    out[np.asarray(got.column("at"), dtype=np.int64)] = np.asarray(got.column("bits"), dtype=np.int64)
-    return out.view(np.uint8)
-
-
 def phrase_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
     """The places of phrases one word longer, with their new ids."""
-    shared = places.sparkSession.sparkContext.broadcast(marks(phrases))
+    bitmap = common.bitmap(phrases.select("code"), lambda batch: mark(np.asarray(batch.column("code"))), MARKS)
+    shared = places.sparkSession.sparkContext.broadcast(bitmap)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -237,8 +220,7 @@ def phrase_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 slice_ = batch.slice(at, 1).to_pylist()[0]
                 codes = pairs_of(slice_)[0]
-                where = mark(codes)
-                codes = np.unique(codes[bits[where >> 3] >> (where & 7) & 1 > 0])
+                codes = np.unique(codes[common.in_bitmap(bits, mark(codes))])
                 yield pa.record_batch([repeated(slice_["part"], len(codes)), repeated(slice_["lang"], len(codes)), pa.array(codes)], names=["of", "lang", "code"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,28 @@ def words(text: pa.Array, lower: bool = False, lines: bool = False) -> tuple[np.
     return codes, distinct, offsets
 
 
+def bitmap(df: DataFrame, place: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """``2 ** bits`` bits as bytes, with those set that ``place`` gives for the rows; of that size however many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits - 3, dtype=np.uint8)
+        for batch in batches:
+            at = place(batch)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = own.view(np.int64)
+        seen = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(words[seen], pa.int64())], names=["at", "bits"])
+
+    got = df.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, dtype=np.int64)
+    out[np.asarray(got.column("at"), dtype=np.int64)] = np.asarray(got.column("bits"), dtype=np.int64)
+    return out.view(np.uint8)
+
+
+def in_bitmap(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return own[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places ``start, start + 1, ...`` of all runs, one after the other."""
     ends = np.cumsum(lengths)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.llm import ann, collocations, common, decontaminate, language, line_dedup, packing, quality, simhash, suffix_tree, token_ids, toxicity, turn_trie
+from novelscape.llm import ann, collocations, common, decontaminate, language, line_dedup, lsh_forest, packing, quality, simhash, suffix_tree, token_ids, toxicity, turn_trie
 
 
 def word_vocabulary() -> str:
@@ -109,6 +109,10 @@ def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return turn_trie.nodes(first.unionByName(own), members)
 
 
+def alike_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_duplicates(common.table(spark, folder, "documents"))
+
+
 #: DuckDB has no crc32: the bits of the number's digits are shifted through.
 CONVERSATIONS_SQL = r"""
 WITH numbered AS (
@@ -193,5 +197,6 @@ QUERIES = {
     "op9_simhash": (near_duplicates, None),
     "op10_quality": (document_quality, None),
     "op11_turn_trie": (conversation_trie, CONVERSATIONS_SQL),
+    "op12_lsh_forest": (alike_documents, None),
     "op13_collocations": (phrase_collocations, COLLOCATIONS_SQL),
 }
