@@ -25,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from novelscape.llm import common
 from novelscape.operators.ordering import ordinal
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bytes of text of a slice, and of all slices that a task has open.
-SLICE, OPEN = 8 << 20, 24 << 20
+#: Words of a slice, and of all slices that a task has open; bytes of text that are split into words at once.
+SLICE, OPEN, TEXT = 6_000_000, 8_000_000, 4 << 20
 #: Bits of a place in a tile's row, pairs counted at once, and pairs from which on a tile is dense.
 SIDE, AT_ONCE, DENSE = 9, 4 << 20, 1 << 15
 #: Bits of a word's rank in the code of a pair.
@@ -74,33 +75,55 @@ def placed_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.asarray(coded.indices, dtype=np.int32), coded.dictionary, place
 
 
-def word_slices(docs: DataFrame) -> DataFrame:
-    """``part, lang, n, place, code, words, counts``: one row for each language of a slice of texts."""
+class Slice:
+    """Words of texts of one language: their codes and places, and the distinct words with their counts."""
+
+    def __init__(self) -> None:
+        self.texts, self.bytes, self.n, self.end = [], 0, 0, 0
+        self.codes, self.places, self.words = [], [], {}
+
+    def add(self, text: bytes) -> int:
+        """How many words are new; texts wait until there are enough of them."""
+        self.texts.append(text)
+        self.bytes += len(text)
+        return self.split() if self.bytes > TEXT else 0
+
+    def split(self) -> int:
+        codes, distinct, place = placed_words(self.texts)
+        own = np.array([self.words.setdefault(w, len(self.words)) for w in distinct.to_pylist()], dtype=np.int32)
+        self.codes.append(own[codes])
+        self.places.append(place + self.end)
+        self.end += 2 + (int(place[-1]) if len(place) else 0)
+        self.n += len(codes)
+        self.texts, self.bytes = [], 0
+        return len(codes)
+
+    def row(self, lang: str) -> pa.RecordBatch:
+        self.split()
+        codes, place = np.concatenate(self.codes), np.concatenate(self.places)
+        counts = np.bincount(codes, minlength=len(self.words)).tolist()
+        cells = [uuid.uuid4().hex, lang, len(codes), packed(np.diff(place, prepend=np.int32(0))), packed(codes), list(self.words), counts]
+        return pa.record_batch([pa.array([c], t) for c, t in zip(cells, _SLICE.values())], names=list(_SLICE))
 
-    def row(lang: str, texts: list[bytes]) -> pa.RecordBatch:
-        codes, distinct, place = placed_words(texts)
-        counts = np.bincount(codes, minlength=len(distinct)).tolist()
-        cells = [[uuid.uuid4().hex], [lang], [len(codes)], [packed(np.diff(place, prepend=np.int32(0)))], [packed(codes)], [distinct.to_pylist()], [counts]]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cells, kinds)], names=names)
+
+_SLICE = {"part": pa.string(), "lang": pa.string(), "n": pa.int64(), "place": pa.binary(), "code": pa.binary(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+
+
+def word_slices(docs: DataFrame) -> DataFrame:
+    """``part, lang, n, place, code, words, counts``: one row for each slice of texts of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
+        held: dict[str, Slice] = {}
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for at, lang in enumerate(batch.column("lang").to_pylist()):
-                text = texts[at].as_py()
-                held.setdefault(lang, []).append(text)
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                full = [lang] if sizes[lang] > SLICE else list(held) if sum(sizes.values()) > OPEN else []
-                for one in full:
-                    del sizes[one]
-                    yield row(one, held.pop(one))
-        for lang, texts in held.items():
-            yield row(lang, texts)
+                if not held.setdefault(lang, Slice()).add(texts[at].as_py()):
+                    continue
+                for one in [lang] if held[lang].n > SLICE else list(held) if sum(x.n for x in held.values()) > OPEN else []:
+                    yield held.pop(one).row(one)
+        for lang, one in held.items():
+            yield one.row(lang)
 
-    names = ["part", "lang", "n", "place", "code", "words", "counts"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     plain = plain.where(F.length("text") > 0)
     return plain.mapInArrow(run, "part string, lang string, n long, place binary, code binary, words array<string>, counts array<long>")
@@ -117,9 +140,15 @@ PLACES = "part string, lang string, place binary, id binary, last binary"
 
 
 def word_places(slices: DataFrame, words: DataFrame) -> DataFrame:
-    """``part, lang, place, id, last`` of each slice's frequent words; ids and last words are their ranks."""
-    asked = slices.select("part", "lang", F.posexplode("words").alias("at", "phrase"))
-    told = asked.join(words, ["lang", "phrase"]).select(F.col("part").alias("of"), "at", "id")
+    """``part, lang, place, id, last`` of each slice's frequent words; ids are their ranks, last words the same (null)."""
+    bitmap = common.bitmap(words.select("phrase"), lambda batch: word_mark(batch.column("phrase").to_pylist()), MARKS)
+    shared = slices.sparkSession.sparkContext.broadcast(bitmap)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, lang, own in zip(*(batch.column(c) for c in ("part", "lang", "words"))):
+                at = np.flatnonzero(common.in_bitmap(shared.value, word_mark(own.values.to_pylist())))
+                yield pa.record_batch([repeated(part.as_py(), len(at)), repeated(lang.as_py(), len(at)), pa.array(at, pa.int32()), own.values.take(pa.array(at))], names=["of", "lang", "at", "phrase"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -127,16 +156,22 @@ def word_places(slices: DataFrame, words: DataFrame) -> DataFrame:
             rank = np.full(slice_["kinds"], -1, dtype=np.int64)
             rank[np.asarray(right.column("at"))] = np.asarray(right.column("id"))
             ids, place = rank[unpacked(slice_["code"], "i4")], np.cumsum(unpacked(slice_["place"], "i4"), dtype=np.int32)
-            out.append(places_row(slice_, place, ids, ids, ids >= 0))
+            out.append(places_row(slice_, place, ids, None, ids >= 0))
         return places_table(out)
 
+    asked = slices.select("part", "lang", "words").mapInArrow(ask, "of string, lang string, at int, phrase string")
+    told = asked.join(words, ["lang", "phrase"]).select("of", "at", "id")
     own = slices.select("part", "lang", "place", "code", F.size("words").alias("kinds"))
     return own.groupBy("part").cogroup(told.groupBy("of")).applyInArrow(run, PLACES)
 
 
-def places_row(slice_: dict, place: np.ndarray, ids: np.ndarray, last: np.ndarray, keep: np.ndarray) -> list:
-    kept = place[keep]
-    return [slice_["part"], slice_["lang"], packed(np.diff(kept, prepend=np.int32(0))), packed(ids[keep]), packed(last[keep].astype(np.int32))]
+def word_mark(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) >> 64 - MARKS for w in words], dtype=np.int64)
+
+
+def places_row(slice_: dict, place: np.ndarray, ids: np.ndarray, last: np.ndarray | None, keep: np.ndarray) -> list:
+    last = None if last is None else packed(last[keep].astype(np.int32))
+    return [slice_["part"], slice_["lang"], packed(np.diff(place[keep], prepend=np.int32(0))), packed(ids[keep]), last]
 
 
 def places_table(rows: list[list]) -> pa.Table:
@@ -147,7 +182,8 @@ def places_table(rows: list[list]) -> pa.Table:
 
 def pairs_of(slice_: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a slice's pairs, their places, and the ranks of their last words."""
-    place, ids, last = np.cumsum(unpacked(slice_["place"], "i4"), dtype=np.int32), unpacked(slice_["id"], "i8"), unpacked(slice_["last"], "i4")
+    place, ids = np.cumsum(unpacked(slice_["place"], "i4"), dtype=np.int32), unpacked(slice_["id"], "i8")
+    last = ids if slice_["last"] is None else unpacked(slice_["last"], "i4")
     follows = np.flatnonzero(np.diff(place) == 1)
     return ids[follows] << LOW | last[follows + 1], place[follows], last[follows + 1]
 
@@ -214,29 +250,35 @@ def phrase_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
     bitmap = common.bitmap(phrases.select("code"), lambda batch: mark(np.asarray(batch.column("code"))), MARKS)
     shared = places.sparkSession.sparkContext.broadcast(bitmap)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+    def reduce_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 slice_ = batch.slice(at, 1).to_pylist()[0]
-                codes = pairs_of(slice_)[0]
-                codes = np.unique(codes[common.in_bitmap(bits, mark(codes))])
-                yield pa.record_batch([repeated(slice_["part"], len(codes)), repeated(slice_["lang"], len(codes)), pa.array(codes)], names=["of", "lang", "code"])
+                codes, place, last = pairs_of(slice_)
+                yield from places_table([places_row(slice_, place, codes, last, common.in_bitmap(shared.value, mark(codes)))]).to_batches()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, lang, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "id"))):
+                codes = np.unique(unpacked(ids, "i8"))
+                yield pa.record_batch([repeated(part, len(codes)), repeated(lang, len(codes)), pa.array(codes)], names=["of", "lang", "code"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known, ids = np.asarray(right.column("code"), dtype=np.int64), np.asarray(right.column("id"), dtype=np.int64)
         order, out = np.argsort(known), []
         known, ids = known[order], ids[order]
         for slice_ in left.to_pylist():
-            codes, place, last = pairs_of(slice_)
+            codes, place, last = unpacked(slice_["id"], "i8"), np.cumsum(unpacked(slice_["place"], "i4"), dtype=np.int32), unpacked(slice_["last"], "i4")
             at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
             keep = known[at] == codes if len(known) else np.zeros(len(codes), dtype=bool)
             out.append(places_row(slice_, place, ids[at] if len(known) else codes, last, keep))
         return places_table(out)
 
-    asked = places.mapInArrow(ask, "of string, lang string, code long")
+    # Places whose pair may be frequent, with the pair's code for an id.
+    some = common.stored(places.mapInArrow(reduce_, PLACES))
+    asked = some.select("part", "lang", "id").mapInArrow(ask, "of string, lang string, code long")
     told = asked.join(phrases.select("lang", "code", "id"), ["lang", "code"]).select("of", "code", "id")
-    return places.groupBy("part").cogroup(told.groupBy("of")).applyInArrow(run, PLACES)
+    return some.groupBy("part").cogroup(told.groupBy("of")).applyInArrow(run, PLACES)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:

@@ -71,8 +71,9 @@ def test_nothing_frequent(spark):
 
 
 def test_many_slices(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "SLICE", 300)
-    monkeypatch.setattr(collocations, "OPEN", 500)
+    monkeypatch.setattr(collocations, "TEXT", 300)
+    monkeypatch.setattr(collocations, "SLICE", 100)
+    monkeypatch.setattr(collocations, "OPEN", 150)
     rows = prose(2, 60)
     assert got(spark, rows, least=4) == sorted(plain(rows, 4))
 
