@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from novelscape.catalog.bind import VECTORS, WORDS, activity, basket, documents, loo_sql, orders, r6, scratch, table, vectors, words
+from novelscape.operators import pca
 from novelscape.operators.features import Vocabulary, build_features
 from novelscape.operators.vectors import as_vectors, pool_members
 from novelscape.plans import compare as M
@@ -73,7 +74,7 @@ def basket_vectors(spark, d):
     """Each entity's vector, by its number of non-zero features and its sum by kind."""
     _, features, vocabulary = basket_features(spark, d)
     z = vector_to_array("features")
-    hashed = vocabulary.names.index("arch_hash::0")
+    hashed = len(vocabulary) - 256 - 6
     end = hashed + 256
     total = lambda a, n: F.aggregate(F.slice(z, a + 1, n), F.lit(0.0), lambda s, x: s + x)
     return features.select(
@@ -85,6 +86,22 @@ def basket_vectors(spark, d):
     )
 
 
+def document_cells(spark, d):
+    """Every non-zero cell of the sparse vectors of all documents over all their words, hashed cells and sizes too."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text")
+    words = docs.select("entity_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("gene_order", "token")).where("token <> ''")
+    entities = settle(docs.select("entity_id", F.length("text").alias("n_genes"), (F.length("text") * 3).alias("cluster_nt_length")))
+    vectors_, vocabulary = build_features(entities, words.withColumn("token_pos", F.lit(0)), min_df=1)
+    cells = pca.cells(vectors_).select("entity_id", F.inline(F.arrays_zip("indices", "values")))
+    last = F.lit(len(vocabulary) - 256 - 6)
+    return cells.select(
+        "entity_id",
+        F.when(F.col("indices") < last, "token").when(F.col("indices") < last + 256, "hash").otherwise("size").alias("kind"),
+        F.when(F.col("indices") < last, F.col("indices")).when(F.col("indices") < last + 256, F.col("indices") - last).otherwise(F.col("indices") - last - 256).alias("place"),
+        "values",
+    )
+
+
 def atlas_frame(spark, d):
     entities, features, _ = basket_features(spark, d, "p_type")
     _, coords, _ = atlas(features, entities)
@@ -389,6 +406,19 @@ QUERIES = {
         SELECT entity_id, coalesce(n_tokens, 0)::INT AS n_tokens, coalesce(tokens, 0.0)::DOUBLE AS tokens, (2 * n - 1)::DOUBLE AS hashed,
                round((n + n + total + mean)::DOUBLE, 6) AS sizes FROM e LEFT JOIN n USING (entity_id)""",
     ),
+    "document_cells": (
+        document_cells,
+        r"""WITH listed AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS token FROM listed),
+        vocabulary AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::INT AS place FROM (SELECT DISTINCT token FROM words)),
+        grams AS (SELECT doc_id, 'uni::' || token AS gram FROM words UNION ALL
+          SELECT doc_id, 'bi::' || w[i] || '::' || w[i + 1] FROM listed, range(1, len(w)) AS r(i)),
+        hashed AS (SELECT doc_id, (('0x' || substr(md5(gram), 31, 2))::INT) AS place, count(*)::DOUBLE AS v FROM grams GROUP BY ALL)
+        SELECT doc_id AS entity_id, 'token' AS kind, place, count(*)::DOUBLE AS values FROM words JOIN vocabulary USING (token) WHERE true GROUP BY ALL
+        UNION ALL SELECT doc_id, 'hash', place, v FROM hashed
+        UNION ALL SELECT doc_id, 'size', 0, length(text)::DOUBLE FROM documents WHERE length(text) > 0
+        UNION ALL SELECT doc_id, 'size', 1, (length(text) * 3)::DOUBLE FROM documents WHERE length(text) > 0""",
+    ),
     "atlas_frame": (atlas_frame, None),
     "validate_audit": (
         validate_audit,

@@ -27,5 +27,5 @@ FOLDS = 5
 FOREST_TREES = 300
 LOGISTIC_ITERATIONS = 2000
 
-# Spark's PCA accepts at most this many columns.
-MAX_FEATURES = 65_535
+# Columns up to which a covariance matrix is worked out on the driver (64 MB).
+DENSE_COLUMNS = 2896

@@ -12,7 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelscape.config import MAX_FEATURES, PCA_COMPONENTS, POOLING
+from novelscape.config import DENSE_COLUMNS, PCA_COMPONENTS, POOLING
+from novelscape.operators.pca import Basis
 from novelscape.operators.tokens import ENTITY
 
 
@@ -29,6 +30,7 @@ class Scaler:
     mean: np.ndarray
     deviation: np.ndarray
     center: bool = False
+    constant: np.ndarray | None = None
 
     @staticmethod
     def fit(vectors: DataFrame, center: bool = False, column: str = "features") -> Scaler:
@@ -42,7 +44,7 @@ class Scaler:
         spread = np.sqrt(np.maximum(summary["variance"].toArray(), 0.0) * (n - 1) / n)
         # A spread at rounding level belongs to a constant column.
         constant = spread <= 10 * np.finfo(float).eps * np.maximum(np.abs(mean), np.finfo(float).tiny)
-        return Scaler(n, mean, np.where(constant, 1.0, spread), center)
+        return Scaler(n, mean, np.where(constant, 1.0, spread), center, constant)
 
     def transform(self, vectors: DataFrame, column: str = "features", out: str | None = None) -> DataFrame:
         out = out or column
@@ -59,40 +61,57 @@ class Scaler:
 
 @dataclass(frozen=True)
 class Projection:
-    """Scaling and PCA; ``transform`` gives centered coordinates as ``z array<double>``."""
+    """Scaling and PCA; ``transform`` gives centered coordinates as ``z array<double>``.
+
+    Up to ``DENSE_COLUMNS`` columns Spark's PCA works out their covariance on the driver; wider vectors get a ``Basis``.
+    """
 
     scaler: Scaler
-    pca: PCAModel
+    pca: PCAModel | Basis
     offset: np.ndarray
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the model and the scaling under ``path``, replacing what is there."""
-        self.pca.write().overwrite().save(f"{path}/pca")
-        row = (self.scaler.count, self.scaler.mean.tolist(), self.scaler.deviation.tolist(), self.scaler.center, self.offset.tolist())
-        kinds = "count long, mean array<double>, deviation array<double>, center boolean, offset array<double>"
+        wide = isinstance(self.pca, Basis)
+        if wide:
+            self.pca.table.write.mode("overwrite").parquet(f"{path}/basis")
+        else:
+            self.pca.write().overwrite().save(f"{path}/pca")
+        known = (list(self.pca.variances), self.pca.total) if wide else (None, None)
+        row = (self.scaler.count, self.scaler.mean.tolist(), self.scaler.deviation.tolist(), self.scaler.center, self.offset.tolist(), *known)
+        kinds = "count long, mean array<double>, deviation array<double>, center boolean, offset array<double>, variances array<double>, total double"
         spark.createDataFrame([row], kinds).write.mode("overwrite").parquet(f"{path}/scaling")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Projection:
         row = spark.read.parquet(f"{path}/scaling").first()
         scaler = Scaler(row["count"], np.array(row["mean"]), np.array(row["deviation"]), row["center"])
-        return Projection(scaler, PCAModel.load(f"{path}/pca"), np.array(row["offset"]))
+        if row["total"] is None:
+            model = PCAModel.load(f"{path}/pca")
+        else:
+            model = Basis(spark.read.parquet(f"{path}/basis"), tuple(row["variances"]), row["total"])
+        return Projection(scaler, model, np.array(row["offset"]))
 
     @property
     def explained(self) -> list[float]:
+        if isinstance(self.pca, Basis):
+            return self.pca.explained
         return [float(v) for v in self.pca.explainedVariance.toArray()]
 
     @staticmethod
     def fit(vectors: DataFrame, components: int = PCA_COMPONENTS, center: bool = False) -> Projection:
         scaler = Scaler.fit(vectors, center)
-        if len(scaler.mean) > MAX_FEATURES:
-            raise ValueError(f"Spark's PCA takes at most {MAX_FEATURES} columns, not {len(scaler.mean)}; raise the document-frequency threshold")
         k = max(1, min(components, scaler.count - 1, len(scaler.mean)))
+        if len(scaler.mean) > DENSE_COLUMNS:
+            basis = Basis.fit(vectors, scaler.mean, scaler.deviation, scaler.count, scaler.constant, k)
+            return Projection(scaler, basis, np.zeros(len(basis.variances)))
         model = PCA(k=k, inputCol="features", outputCol="_z").fit(scaler.transform(vectors))
         middle = np.zeros_like(scaler.mean) if center else scaler.mean / scaler.deviation
         return Projection(scaler, model, middle @ model.pc.toArray())
 
     def transform(self, vectors: DataFrame, out: str = "z") -> DataFrame:
+        if isinstance(self.pca, Basis):
+            return self.pca.transform(vectors, self.scaler.mean, self.scaler.deviation, out)
         moved = F.zip_with(vector_to_array("_z"), F.lit(self.offset.tolist()), lambda a, b: a - b)
         projected = self.pca.transform(self.scaler.transform(vectors))
         keep = [c for c in vectors.columns if c != "features"]

@@ -73,13 +73,16 @@ class Reference:
         self.projection.save(spark, f"{path}/projection")
         self.points.write.mode("overwrite").parquet(f"{path}/points")
         self.distances.write.mode("overwrite").parquet(f"{path}/distances")
-        names = list(self.vocabulary.names) if self.vocabulary else None
-        spark.createDataFrame([(self.k, names)], "k int, names array<string>").write.mode("overwrite").parquet(f"{path}/settings")
+        size = len(self.vocabulary) if self.vocabulary else None
+        if self.vocabulary:
+            self.vocabulary.frame(spark).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        spark.createDataFrame([(self.k, size)], "k int, columns int").write.mode("overwrite").parquet(f"{path}/settings")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Reference:
         row = spark.read.parquet(f"{path}/settings").first()
-        vocabulary = Vocabulary(tuple(row["names"])) if row["names"] is not None else None
+        known = row["columns"] is not None
+        vocabulary = Vocabulary(table=spark.read.parquet(f"{path}/vocabulary"), size=row["columns"]) if known else None
         tables = (spark.read.parquet(f"{path}/{name}") for name in ("points", "distances"))
         return Reference(Projection.load(spark, f"{path}/projection"), *tables, row["k"], vocabulary)
 

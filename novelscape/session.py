@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -33,18 +35,31 @@ def concurrently(work: Callable, items: Iterable, width: int = 8) -> list:
         return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder, so that all readers see the same rows.
-
-    Used where a later step must agree with values that depend on the physical
-    partitioning, and where one result feeds many jobs.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints; a local session without that setting gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="novelscape-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the cluster's shared folder, so that all readers see the same rows.
+
+    Used where a later step must agree with values that depend on the physical
+    partitioning, and where one result feeds many jobs.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again, with another schema of the same fields if given."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

@@ -181,12 +181,10 @@ def test_features(spark):
     assert found["C"].tolist() == expected("C", 1, 2.0)
 
 
-def test_projection_is_bounded(spark, monkeypatch):
-    wide = vectors.as_vectors(points(spark, np.ones((3, 4))), "z")
-    monkeypatch.setattr(vectors, "MAX_FEATURES", 3)
-    with pytest.raises(ValueError, match="at most 3 columns"):
-        vectors.Projection.fit(wide, 2)
-    assert len(features.Vocabulary.of(spark.createDataFrame([(c,) for c in "abcd"], "token string"), 64)) == 4 + 64 + 6
+def test_vocabulary_is_a_table(spark):
+    many = features.Vocabulary.of(spark.createDataFrame([(c,) for c in "dbca"], "token string"), 64)
+    assert len(many) == 4 + 64 + 6 and many.names[:5] == ("dom::a", "dom::b", "dom::c", "dom::d", "arch_hash::0")
+    assert sorted(r["idx"] for r in many.frame(spark).collect()) == list(range(74))
 
 
 @pytest.mark.parametrize("center", [False, True])
