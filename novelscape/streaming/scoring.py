@@ -1,56 +1,83 @@
 """Scoring of predicted entities that keep arriving, against a frozen reference.
 
-An entity's tokens may come in any number of files and batches.  Each batch adds its tokens
-to a store under the output folder and scores the entities it touched from all of their
-tokens so far; readers take the latest scores of each entity.  A batch overwrites only its
-own part of the store and of the scores: a batch that is retried after a failure replaces
-its rows instead of adding them twice.  The store is partitioned by a hash of the entity,
-so that a batch reads the parts of the entities it touched only.
+An entity's tokens may come in any number of files and batches.  They are kept as state of the entity in the stream's
+state store; a batch reads and scores the entities it touched only, from all of their tokens so far, however long the
+stream has run.  Readers take the latest scores of each entity.  Scores of a batch replace those that an earlier try of
+the same batch wrote.
+
+With a ``time`` column tokens may be late by ``delay``; the watermark drops later ones.  An entity that has been silent
+for ``keep`` beyond that is forgotten: its scores stay, and a token that comes after that begins the entity anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from novelscape.operators.ranks import rank_from_top
-from novelscape.plans.novelty import Reference, apply_reference
 from novelscape.operators.tokens import ENTITY
-from novelscape.session import settle
+from novelscape.plans.novelty import Reference, apply_reference
+from novelscape.session import stored
 
 KEY = ("genome", "bgc_id", "predicted_class")
-PARTS = 256
 
 
-def _put(rows: DataFrame, number: int, output: str, *by: str) -> None:
-    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(output)
+def remember(keep: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """All tokens of an entity so far, told again whenever more of them arrive; ``keep`` is in milliseconds."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, until = state.get if state.exists else ([], 0)
+        tokens = list(known)
+        for frame in frames:
+            tokens += frame["token"].tolist()
+            until = max(until, int(frame["at"].max()))
+        state.update((tokens, until))
+        if keep is not None:
+            state.setTimeoutTimestamp(max(until + keep, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**dict(zip(KEY, ([k] * len(tokens) for k in key))), "token": tokens})
+
+    return run
+
+
+def token_histories(tokens: DataFrame, time: str | None = None, delay: str = "1 day", keep: str = "30 days") -> DataFrame:
+    """Every batch's touched entities with all of their tokens so far; the columns but ``time`` are those of ``tokens``."""
+    spark, told = tokens.sparkSession, [c for c in tokens.columns if c not in (*KEY, time)]
+    known = tokens.where(" and ".join(f"{name} is not null" for name in KEY))
+    at, silent, limit = [F.lit(0).cast("long").alias("at")], None, GroupStateTimeout.NoTimeout
+    if time is not None:
+        known = known.where(F.col(time).isNotNull()).withWatermark(time, delay)
+        silent = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {keep})").first()[0]
+        at, limit = [F.unix_millis(time).alias("at"), F.col(time).alias("time")], GroupStateTimeout.EventTimeTimeout
+    keys = [F.col(k).cast("string").alias(k) for k in KEY]
+    rows = known.select(*keys, F.to_json(F.struct(*told)).alias("token"), *at)
+    told_ = StructType([tokens.schema[c] for c in told])
+    texts = "genome string, bgc_id string, predicted_class string, token string"
+    found = rows.groupBy(*KEY).applyInPandasWithState(remember(silent), texts, "tokens array<string>, until long", "update", limit)
+    return found.select(*KEY, F.inline(F.array(F.from_json("token", told_))))
 
 
 def score_stream(
-    tokens: DataFrame, reference: Reference, entities: DataFrame, output: str, checkpoint: str
+    tokens: DataFrame, reference: Reference, entities: DataFrame, output: str, checkpoint: str, time: str | None = None, delay: str = "1 day", keep: str = "30 days"
 ) -> DataStreamWriter:
-    """A writer that keeps tokens under ``output/tokens`` and scores under ``output/scores``; see ``read_scores``."""
+    """A writer that keeps scores under ``output/scores``; see ``read_scores``.  The state lies under ``checkpoint``."""
 
     def score(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int")
-        arrived = batch.withColumn("part", part)
-        _put(arrived, number, f"{output}/tokens", "part")
-        store = spark.read.schema(_with(arrived, "batch int")).parquet(f"{output}/tokens")
-        own = store.where(F.col("batch") == number)
-        touched = settle(own.select("part", *KEY).distinct())
-        parts = [r["part"] for r in touched.select("part").distinct().collect()]
-        so_far = store.where((F.col("batch") <= number) & F.col("part").isin(parts))
-        same = [so_far["part"] == touched["part"], *(so_far[k].eqNullSafe(touched[k]) for k in KEY)]
-        whole = so_far.join(touched, same, "left_semi").drop("part", "batch")
-        _put(apply_reference(reference, whole, entities, source="stream", ranked=False), number, f"{output}/scores")
-
-    return tokens.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
-
-
-def _with(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{name}` {kind}" for name, kind in df.dtypes), more])
+        # Written first: each read of the batch itself would go through the state again.
+        scored = apply_reference(reference, stored(batch), entities, source="stream", ranked=False)
+        rows = scored.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy("batch").parquet(f"{output}/scores")
+
+    histories = token_histories(tokens, time, delay, keep)
+    return histories.writeStream.outputMode("update").foreachBatch(score).option("checkpointLocation", checkpoint)
 
 
 def read_scores(spark: SparkSession, output: str) -> DataFrame:

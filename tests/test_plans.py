@@ -200,3 +200,30 @@ def test_stream_equals_batch(spark, tmp_path):
     again = novelty.Reference.load(spark.newSession(), str(tmp_path / "reference"))
     twice = novelty.apply_reference(again, new, entities)
     assert sorted(map(tuple, twice.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+
+
+def test_stream_restarts_and_forgets(spark, tmp_path):
+    """A stopped stream goes on with its state; late tokens are dropped, silent entities forgotten."""
+    from novelscape.streaming.scoring import token_histories
+
+    schema = "genome string, bgc_id string, predicted_class string, gene_order int, token_pos int, domain_id string, n_genes int, at timestamp"
+    source, seen = tmp_path / "in", []
+
+    def arrive(*rows):
+        frame = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('g', '{b}', 'c', {i}, 0, 't{i}', 3, timestamp'2020-01-{day:02} 00:00:00')" for b, i, day in rows) + " AS t")
+        frame.toDF(*[c.split()[0] for c in schema.split(", ")]).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        found = token_histories(stream, "at", "1 day", "5 days")
+        keep = lambda batch, _: seen.append(sorted((r["bgc_id"], r["gene_order"]) for r in batch.collect()))
+        before = len(seen)
+        found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(sum(seen[before:], []))
+
+    assert arrive(("a", 0, 1), ("b", 0, 1)) == [("a", 0), ("b", 0)]
+    assert arrive(("a", 1, 3)) == [("a", 0), ("a", 1)]
+    # The watermark is the 2nd: a token of the 1st is too late, one of the 2nd is not.
+    assert arrive(("b", 1, 1)) == []
+    assert arrive(("b", 2, 3)) == [("b", 0), ("b", 2)]
+    assert arrive(("c", 0, 20)) == [("c", 0)]
+    # The others were silent for more than five days before the 19th.
+    assert arrive(("a", 2, 20), ("c", 1, 20)) == [("a", 2), ("c", 0), ("c", 1)]
