@@ -35,7 +35,9 @@ from novelscape.operators.ordering import ordinal
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a slice, and of all slices that a task has open; bytes of text that are split into words at once.
-SLICE, OPEN, TEXT = 6_000_000, 8_000_000, 4 << 20
+SLICE, OPEN, TEXT = 6_000_000, 12_000_000, 4 << 20
+#: Bytes of text that a task reads, so that slices fill up; fewer only if there were fewer tasks than cores.
+TASK_TEXT = 96 << 20
 #: Bits of a place in a tile's row, pairs counted at once, and pairs from which on a tile is dense.
 SIDE, AT_ONCE, DENSE = 9, 4 << 20, 1 << 15
 #: Bits of a word's rank in the code of a pair.
@@ -126,6 +128,8 @@ def word_slices(docs: DataFrame) -> DataFrame:
 
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     plain = plain.where(F.length("text") > 0)
+    weight = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    plain = plain.coalesce(max(-(-weight // TASK_TEXT), docs.sparkSession.sparkContext.defaultParallelism))
     return plain.mapInArrow(run, "part string, lang string, n long, place binary, code binary, words array<string>, counts array<long>")
 
 
