@@ -35,11 +35,11 @@ from novelscape.operators.ordering import ordinal
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a slice, and of all slices that a task has open; bytes of text that are split into words at once.
-SLICE, OPEN, TEXT = 6_000_000, 12_000_000, 4 << 20
+SLICE, OPEN, TEXT = 3_000_000, 8_000_000, 4 << 20
 #: Bytes of text that a task reads, so that slices fill up; fewer only if there were fewer tasks than cores.
 TASK_TEXT = 96 << 20
 #: Bits of a place in a tile's row, pairs counted at once, and pairs from which on a tile is dense.
-SIDE, AT_ONCE, DENSE = 9, 4 << 20, 1 << 15
+SIDE, AT_ONCE, DENSE = 9, 1 << 21, 1 << 15
 #: Bits of a word's rank in the code of a pair.
 LOW = 31
 #: Bits of the bitmap of frequent pairs, as a power of two.
@@ -232,13 +232,15 @@ def pair_counts(places: DataFrame) -> DataFrame:
         sizes: dict[str, int] = {}
         for batch in batches:
             for at in range(batch.num_rows):
+                pa.default_memory_pool().release_unused()
                 slice_ = batch.slice(at, 1).to_pylist()[0]
                 lang, codes = slice_["lang"], pairs_of(slice_)[0]
-                held.setdefault(lang, []).append(codes)
-                sizes[lang] = sizes.get(lang, 0) + len(codes)
-                for one in [lang] if sizes[lang] > AT_ONCE else list(held) if sum(sizes.values()) > 2 * AT_ONCE else []:
-                    del sizes[one]
-                    yield counted(one, held.pop(one))
+                for begin in range(0, len(codes), AT_ONCE):
+                    held.setdefault(lang, []).append(codes[begin : begin + AT_ONCE].copy())
+                    sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
+                    for one in [lang] if sizes[lang] >= AT_ONCE else list(held) if sum(sizes.values()) > 2 * AT_ONCE else []:
+                        del sizes[one]
+                        yield counted(one, held.pop(one))
         for lang, codes in held.items():
             yield counted(lang, codes)
 
