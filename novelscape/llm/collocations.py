@@ -35,9 +35,9 @@ from novelscape.operators.ordering import ordinal
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a slice, and of all slices that a task has open; bytes of text that are split into words at once.
-SLICE, OPEN, TEXT = 3_000_000, 8_000_000, 4 << 20
+SLICE, OPEN, TEXT = 2_500_000, 6_000_000, 2 << 20
 #: Bytes of text that a task reads, so that slices fill up; fewer only if there were fewer tasks than cores.
-TASK_TEXT = 96 << 20
+TASK_TEXT = 72 << 20
 #: Bits of a place in a tile's row, pairs counted at once, and pairs from which on a tile is dense.
 SIDE, AT_ONCE, DENSE = 9, 1 << 21, 1 << 15
 #: Bits of a word's rank in the code of a pair.
@@ -64,6 +64,8 @@ def repeated(value: str, n: int) -> pa.Array:
 
 def placed_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of all words, the distinct words, and places; neighbors in a piece have places one apart, others more."""
+    # What the last texts took goes back first; it would stay with the worker.
+    pa.default_memory_pool().release_unused()
     raw = b"\n".join(texts).lower()
     kind = np.frombuffer(raw.translate(_KIND), dtype=np.uint8)
     inside = kind == 0
@@ -155,6 +157,7 @@ def word_places(slices: DataFrame, words: DataFrame) -> DataFrame:
                 yield pa.record_batch([repeated(part.as_py(), len(at)), repeated(lang.as_py(), len(at)), pa.array(at, pa.int32()), own.values.take(pa.array(at))], names=["of", "lang", "at", "phrase"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         out = []
         for slice_ in left.to_pylist():
             rank = np.full(slice_["kinds"], -1, dtype=np.int64)
@@ -270,6 +273,7 @@ def phrase_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
                 yield pa.record_batch([repeated(part, len(codes)), repeated(lang, len(codes)), pa.array(codes)], names=["of", "lang", "code"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         known, ids = np.asarray(right.column("code"), dtype=np.int64), np.asarray(right.column("id"), dtype=np.int64)
         order, out = np.argsort(known), []
         known, ids = known[order], ids[order]
