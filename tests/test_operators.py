@@ -103,10 +103,13 @@ def test_neighbors_few_points(spark):
     assert same.knn_mean_dist.tolist() == [0.0] * 4 and same.nearest_id.tolist() == [3, 0, 0, 0]
 
 
-def test_outlier_ranks_first(spark):
-    z = np.array([[0, 0], [0.1, 0], [0, 0.1], [10, 10]])
-    scores = ranks.novelty_scores(neighbors.leave_one_out(points(spark, z), 2))
-    assert scores.orderBy(F.desc("novelty")).first()["entity_id"] == 3
+def test_novelty_orders_by_mean_distance(spark):
+    """On a line the mean distances to the two nearest are 3, 2, 3, 6 and 13.5."""
+    line = np.array([[0.0], [2.0], [4.0], [9.0], [20.0]]) + 100
+    found = neighbors.leave_one_out(points(spark, line), 2)
+    out = ranks.novelty_scores(found).orderBy("entity_id").toPandas()
+    assert out.knn_mean_dist.tolist() == pytest.approx([3.0, 2.0, 3.0, 6.0, 13.5])
+    assert out.novelty.tolist() == [0.25, 0.0, 0.5, 0.75, 1.0]  # the tie goes by id
 
 
 def average_rank(x):
@@ -114,14 +117,14 @@ def average_rank(x):
     return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
 
 
-def test_spearman_is_rank_correlation(spark):
-    rng = np.random.default_rng(0)
-    x = np.linspace(0, 10, 200).round(1)
-    y = x**3 + rng.normal(0, 5, 200)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    rho = ranks.spearman(df, "x", "y").first()["rho"]
-    assert rho == pytest.approx(np.corrcoef(average_rank(x), average_rank(y))[0, 1])
-    assert abs(rho - np.corrcoef(x, y)[0, 1]) > 0.05
+def test_spearman_by_hand(spark):
+    """Without ties 1 - 6 * sum(d^2) / (n * (n^2 - 1)); a tie takes the mean rank of its places."""
+    pairs = [(3, 900), (1, 20), (4, 5), (15, 70), (9, 81)]  # ranks 2 1 3 5 4 and 5 2 1 3 4: d^2 sums to 18
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "x double, y double")
+    assert ranks.spearman(df, "x", "y").first()["rho"] == pytest.approx(1 - 6 * 18 / (5 * 24))
+    tied = spark.createDataFrame([(a, b) for a in (1.0, 2.0, 2.0, 8.0) for b in (a * a, -a)], "x double, y double")
+    x, y = (np.array(c, dtype=float) for c in zip(*tied.collect()))
+    assert ranks.spearman(tied, "x", "y").first()["rho"] == pytest.approx(np.corrcoef(average_rank(x), average_rank(y))[0, 1])
     assert ranks.spearman(df.withColumn("c", F.lit(1)), "x", "c").first()["rho"] is None
 
 
@@ -200,13 +203,17 @@ def test_projection_equals_svd(spark, center):
     assert np.allclose(np.abs(z), np.abs(expected), atol=1e-8) and np.allclose(z.mean(0), 0, atol=1e-8)
 
 
-def test_pooling(spark):
-    members = spark.createDataFrame([("e", 10, [1.0, 1.0]), ("e", 990, [0.0, 0.0])], "entity_id string, aa_length int, embedding array<float>")
-    assert np.allclose(vectors.pool_members(members, "mean").first()["embedding"], 0.5)
-    pooled = vectors.pool_members(members).first()
-    assert max(pooled["embedding"]) < 0.1 and pooled["n_members"] == 2
+def test_pooling_weights_by_length(spark):
+    """Two entities of two and three members: weighted means and plain means by hand."""
+    rows = [("p", 30, [6.0, -2.0, 0.0]), ("p", 60, [0.0, 4.0, 3.0]), ("q", 5, [1.0, 0.0, 0.0]), ("q", 5, [0.0, 1.0, 0.0]), ("q", 10, [0.0, 0.0, 8.0])]
+    table = spark.createDataFrame(rows, "entity_id string, aa_length int, embedding array<float>")
+    weighted = {r["entity_id"]: r for r in vectors.pool_members(table).collect()}
+    assert weighted["p"]["embedding"] == pytest.approx([2.0, 2.0, 2.0]) and weighted["q"]["embedding"] == pytest.approx([0.25, 0.25, 4.0])
+    assert (weighted["p"]["n_members"], weighted["q"]["n_members"]) == (2, 3)
+    plain = {r["entity_id"]: r["embedding"] for r in vectors.pool_members(table, "mean").collect()}
+    assert plain["p"] == pytest.approx([3.0, 1.0, 1.5]) and plain["q"] == pytest.approx([1 / 3, 1 / 3, 8 / 3])
     with pytest.raises(ValueError, match="unknown pooling"):
-        vectors.pool_members(members, "max")
+        vectors.pool_members(table, "median")
 
 
 def test_top_per_group_prunes_before_the_shuffle(spark, skewed):

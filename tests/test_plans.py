@@ -76,27 +76,34 @@ def test_train_split(spark):
         temporal.train_split(entities, entities.limit(3), "2022-09-16")
 
 
+def swapped(n):
+    """``(i, j)`` where neighbors of 0..n-1 change places: rho is 1 - 6 n / (n (n^2 - 1)) for even ``n``."""
+    return [(i, i + 1 - 2 * (i % 2)) for i in range(n)]
+
+
 def test_compare(spark):
-    rng = np.random.default_rng(1)
+    """Classes apart in score, so that each class's own rank correlation is known by hand."""
+    order = {"swap": swapped(12), "turn": [(i, 9 - i) for i in range(10)], "tiny": [(0, 0), (1, 1), (2, 2)]}
     rows = []
-    for label, n in (("NRPS", 40), ("PKS", 40), ("RiPP", 30), ("few", 4)):
-        for i in range(n):
-            a = rng.random()
-            b = a if label == "RiPP" else 1 - a + rng.normal(0, 0.05)
-            rows.append((f"{label}{i}", label, i + 1, float(a), float(b)))
+    for shift, (label, pairs) in enumerate(order.items()):
+        rows += [(f"{label}-{i:02d}", label, 3 * i + 1, shift + i / 20, shift + j / 20) for i, j in pairs]
     table = spark.createDataFrame(rows, "entity_id string, biosynth_class string, n_genes int, a double, b double")
     entities = table.select("entity_id", "biosynth_class", "n_genes")
     first = table.select("entity_id", F.col("a").alias("novelty"))
     second = table.select("entity_id", F.col("b").alias("novelty"))
     audit, by_class, _ = compare.compare_novelty({"hashed": first, "esm": second}, entities)
-    got = {r["biosynth_class"]: r for r in by_class.collect()}
-    assert set(got) == {"NRPS", "PKS", "RiPP"}
-    assert got["RiPP"]["spearman"] == pytest.approx(1) and got["NRPS"]["spearman"] < 0 and got["RiPP"]["top_jaccard"] == 1.0
+    got = by_class.collect()
+    assert [r["biosynth_class"] for r in got] == ["turn", "swap"]  # the third has too few rows
+    assert [r["spearman"] for r in got] == pytest.approx([-1.0, 1 - 6 * 12 / (12 * 143)])
+    assert [r["n"] for r in got] == [10, 12] and [r["top_jaccard"] for r in got] == [0.0, 0.0]
     row = audit.first()
-    assert row["n_entities"] == 114 and row["n_top"] == 11 and len(row["by_class"]) == 3
-    learned, _ = compare.learned_compare(first, second, entities, third=first.where("entity_id <> 'NRPS1'"))
+    squares = 12 + sum((2 * i - 9) ** 2 for i in range(10))
+    assert row["spearman_hashed_vs_esm"] == pytest.approx(1 - 6 * squares / (25 * 624))
+    assert (row["n_entities"], row["n_top"], len(row["by_class"])) == (25, 2, 2)
+    learned, _ = compare.learned_compare(first, second, entities, third=second.where("entity_id <> 'tiny-01'"))
     row = learned.first()
-    assert row["spearman_hashed_vs_third"] == pytest.approx(1)
+    left = 1 - 6 * squares / (24 * 575)
+    assert row["spearman_hashed_vs_third"] == pytest.approx(left)
     assert row["size_confound_delta"] == pytest.approx(row["size_confound_spearman_learned"] - row["size_confound_spearman_hashed"])
 
 
