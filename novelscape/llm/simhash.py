@@ -10,9 +10,8 @@ values with too many fingerprints are dealt once more by the blocks of the remai
 large is compared part by part.
 
 With one 64-bit word there is a block more than ``distance``, so two linked fingerprints agree in one and no link is
-lost. Texts whose shingle sets have a similarity of 0.8 differ in some 15 % of the bits, too many for that: ``ALIKE``
-takes eight words of independent bits of the same hashes and blocks of 16 bits. At a similarity of 0.9 it misses less than
-1 % of the pairs, at 0.85 3 %, and at 0.8 itself 12 %; pairs below 0.6 are not linked.
+lost. Texts whose shingle sets have a similarity of 0.8 differ in some 15 % of the bits, too many for that: ``near_copies``
+takes several words of independent bits of the same hashes and blocks of 16 bits, and confirms what they bring together.
 
 Null and empty texts have fingerprint zero and are copies of each other. Texts of fewer words than a shingle have one
 shingle, the whole text. A null ``doc_id`` is in the group of its fingerprint, but does not name it; a group of such
@@ -36,10 +35,8 @@ from novelscape.llm.components import components
 from novelscape.llm.token_ids import texts_of
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
-#: Options for near copies: five words, and a similarity of shingle sets of 0.8 or more.
-ALIKE = {"shingle": 5, "words": 8, "distance": 92}
 #: Bits of a block of a fingerprint of several words.
-WIDE_BLOCK = 16
+WIDE_BLOCK = 14
 #: Rows of one task, and fingerprints with one block value that a task takes at most.
 TASK_ROWS, LARGE = 60_000, 20_000
 #: Children of an index node, and pairs of nodes expanded at once.
@@ -94,7 +91,9 @@ def blocks_of(words: int, distance: int) -> list[list[tuple[int, int]]]:
         masks = share_out(list(range(64)), distance + 1)
         finer = [share_out([b for b in range(64) if not m >> b & 1], distance + 1) for m in masks]
         return [[(0, m), *((0, m | x) for x in more)] for m, more in zip(masks, finer)]
-    masks = share_out(list(range(64)), 64 // WIDE_BLOCK)
+    # Side by side and spread out, so that most bits are in two blocks.
+    n, used = 64 // WIDE_BLOCK, 64 // WIDE_BLOCK * WIDE_BLOCK
+    masks = share_out(list(range(used)), n) + share_out([b for k in range(n) for b in range(63 - k, -1, -n)][:used], n)
     return [[(w, m)] for w in range(words) for m in masks]
 
 
@@ -270,18 +269,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest ``doc_id``. Rows without ``doc_id`` stay."""
-    found = common.stored(near_duplicates(docs, **options).select("doc_id", "component_id"))
-    other, twice = common.fresh(docs, "other", "twice")
-    others = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(other)).distinct()
-    # The same plan at every size: the others grow with the documents.
-    stay = docs.join(others.hint("shuffle_hash"), F.col("doc_id") == F.col(other), "left_anti")
-    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)
-    again = common.stored(again)
-    if again.isEmpty():
-        return stay
-    once = stay.join(again, F.col("doc_id") == F.col(twice), "left_anti")
-    return once.unionByName(stay.join(again, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id"]))

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-from novelscape.llm import components, line_dedup, simhash
+from novelscape.llm import components, line_dedup, near_copies, simhash
 from tests.llm import edge
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -107,33 +107,99 @@ def test_components_of_long_chains(spark):
     assert components.components(spark.createDataFrame([], "u int, v int")).collect() == []
 
 
-def test_near_copies(spark):
+def shingles(text, size=5):
+    w = edge.words(text)
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def plain_roots(rows, percent=80):
+    """The first row of each row's group; all texts without words are one."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def got_roots(spark, rows):
+    """As ``plain_roots``, for rows that differ in id."""
+    at = {d: i for i, (d, *_) in enumerate(rows)}
+    groups = {}
+    for r in near_copies.near_copies(edge.frame(spark, rows)).collect():
+        groups.setdefault(bytes(r.root), []).append(at[r.doc_id])
+    first = {i: min(own) for own in groups.values() for i in own}
+    return [first[i] for i in range(len(rows))]
+
+
+def around(draw, size, share):
+    """Two texts of distinct words; the second has a tail that leaves a similarity of ``share`` or just more."""
+    words = [f"w{x}" for x in draw.choice(10**9, size + 200, replace=False)]
+    n = size - 4  # shingles of the first, all in the second
+    return " ".join(words[:size]), " ".join(words[: size + int(n / share) - n])
+
+
+def test_near_copies_on_both_sides(spark):
     draw = np.random.default_rng(2)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows, pairs = [], []
-    for k in range(60):
-        base = [str(x) for x in draw.choice(vocabulary, 300)]
-        rows.append((2 * k, " ".join(base), None, None))
-        if k % 2:  # some 5-word shingles differ: similarity of about 0.83 to 0.95
-            for at in draw.choice(300, 2 + k % 5, replace=False):
-                base[at] = "other"
-        else:
-            base = [str(x) for x in draw.choice(vocabulary, 300)]
-        rows.append((2 * k + 1, " ".join(base), None, None))
-        pairs.append((2 * k, k % 2 == 1))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(edge.frame(spark, rows), **simhash.ALIKE).collect()}
-    assert [(a, got[a + 1] == a) for a, _ in pairs] == pairs
-    stay = simhash.first_of_each(edge.frame(spark, rows), **simhash.ALIKE)
-    assert sorted(r.doc_id for r in stay.collect()) == sorted(d for d, c in got.items() if d == c)
+    for share, linked in ((0.8, True), (0.85, True), (0.79, False), (0.7, False)):
+        rows = []
+        for k in range(150):
+            a, b = around(draw, 104 + k % 3 * 100, share)
+            assert (len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8) == linked
+            rows += [(2 * k, a, None, None), (2 * k + 1, b, None, None)]
+        label = got_roots(spark, rows)
+        found = sum(label[2 * k] == label[2 * k + 1] for k in range(150))
+        assert found >= 146 if linked else found == 0
+        assert all(x // 2 == i // 2 for i, x in enumerate(label))
+
+
+def test_near_copies_of_crowds(spark):
+    """Groups of texts changed again and again, so that chains reach from one text to quite another."""
+    draw, rows = np.random.default_rng(7), []
+    for group in range(6):
+        family = [[f"g{group}w{x}" for x in draw.integers(0, 400, 160)]]
+        for _ in range(30):
+            own = list(family[draw.integers(len(family))])
+            for at in draw.integers(0, 160, draw.integers(1, 6)):
+                own[at] = f"n{draw.integers(10**9)}"
+            family.append(own)
+        rows += [" ".join(x) for x in family]
+    draw.shuffle(rows)
+    rows = [(5 * i, t, None, None) for i, t in enumerate(rows)]
+    wanted = plain_roots(rows)
+    got = got_roots(spark, rows)
+    assert all(wanted[x] == wanted[i] for i, x in enumerate(got))
+    assert sum(a != b for a, b in zip(got, wanted)) <= 2
+    stay = near_copies.first_of_each(edge.frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in stay) == sorted({5 * x for x in got})
+
+
+def test_repeated_words_are_no_copies(spark):
+    """Texts that are for the most part one shingle, again and again, differ in their sets."""
+    rows = [(i, "x " * 400 + " ".join(f"t{i}-{k}" for k in range(60)), None, None) for i in range(6)]
+    assert got_roots(spark, rows) == list(range(6))
+
+
+def test_first_of_each_keeps_unique_texts(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(1, a, None, None), (5, a, None, None), (5, b, None, None), (5, b, None, None), (9, b.upper(), None, None), (None, a, None, None), (None, b, None, None)]
+    stay = near_copies.first_of_each(edge.frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in stay), key=edge.order) == [(None, a), (None, b), (1, a), (5, b)]
 
 
 def test_first_of_each_edges(spark):
-    docs = edge.frame(spark)
-    stay = simhash.first_of_each(docs)
+    rows = edge.rows()
+    docs = edge.frame(spark, rows)
+    stay = near_copies.first_of_each(docs)
     assert stay.schema == docs.schema
-    groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
-    ids = [r.doc_id for r in stay.collect()]
-    kept = [d for d in ids if d is not None]
-    assert len(kept) == len(set(kept)) and set(kept) == {c for _, c in groups if c is not None} & {d for d, _ in groups}
-    assert ids.count(None) == 2
-    assert simhash.first_of_each(edge.frame(spark, [])).collect() == []
+    label, first = plain_roots(rows), {}
+    for (d, t, *_), x in zip(rows, label):
+        if d is not None:
+            first[x] = min(first.get(x, d), d)
+    got = [(r.doc_id, r.text) for r in stay.collect()]
+    root = {(d, t): x for (d, t, *_), x in zip(rows, label)}
+    assert sorted(d for d, _ in got if d is not None) == sorted(first.values())
+    assert {root[x] for x in got if x[0] is not None} == set(first) and [d for d, _ in got].count(None) == 2
+    assert near_copies.first_of_each(edge.frame(spark, [])).collect() == []
