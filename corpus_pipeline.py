@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from novelscape.llm import common, decontaminate, line_dedup, packing, quality, simhash
+from novelscape.llm import common, decontaminate, line_dedup, near_copies, packing, quality
 from novelscape.llm.queries import site, word_vocabulary
 
 
@@ -24,7 +24,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.first_of_each(docs, **simhash.ALIKE)
+    return near_copies.first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
