@@ -14,7 +14,8 @@ of them: capitalised words are frequent, and single templates of them match text
 The benchmark's hashes are broadcast in blocks of bounded size, as many as it takes. An item shorter than a window is
 one window of all its words, but items of fewer than ``literal`` words are never found. A template window needs
 ``literal`` plain words to count, a window of words as they are one word that is no number. Null and empty texts hold
-nothing. Rows with equal ``doc_id`` are one document; rows without ``doc_id`` are found under null.
+nothing. Rows with equal ``doc_id`` are one document; rows without ``doc_id`` are found under null, but ``clean`` takes each
+of them by itself.
 Further columns are not read. An empty table on either side gives an empty result.
 """
 
@@ -264,12 +265,15 @@ def hashes_of(spark: SparkSession, hashes: DataFrame):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, block: int = BLOCK) -> DataFrame:
-    """``docs`` without those that hold a benchmark passage. Rows without ``doc_id`` are kept or dropped together."""
-    (name,) = common.fresh(docs, "found")
+    """``docs`` without those that hold a benchmark passage. Rows with equal ``doc_id`` are kept or dropped together, each
+    row without ``doc_id`` by its own text."""
+    row, name = common.fresh(docs, "row", "found")
+    own = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.col("text").cast("string"))))
+    named = own.select(F.col(row).alias("doc_id"), "text")
     items = common.stored(windows(benchmark, "item_id", window, literal, True))
     totals = items.where("exact").groupBy(F.col("id").alias("item")).agg(F.count_distinct("pos").alias("total"))
-    held = matched(docs, items, window, literal, block).join(totals, F.col("item_id").eqNullSafe(F.col("item")), "left")
+    held = matched(named, items, window, literal, block).join(totals, F.col("item_id").eqNullSafe(F.col("item")), "left")
     several = (F.col("n_windows") > 1) & (2 * F.col("n_windows") > F.coalesce("total", F.lit(0)))
     held = held.where((F.col("kind") == "exact") | several | (F.col("n_windows") >= LONG))
     found = common.stored(held.select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return own.join(found, F.col(row) == F.col(name), "left_anti").drop(row)

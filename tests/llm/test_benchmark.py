@@ -86,6 +86,14 @@ def test_clean(spark, items):
     assert decontaminate.clean(edge.frame(spark), items).count() == len(edge.rows())
 
 
+def test_clean_keeps_rows_without_id(spark, items):
+    """Rows without id go only for their own text; rows with equal ids go together."""
+    held = ITEMS[0][1]
+    rows = [(None, held, "en", None), (None, prose(40), "en", None), (None, None, None, None), (None, "", None, None), (8, prose(30), "de", "a"), (9, held, "en", "a")]
+    kept = decontaminate.clean(edge.frame(spark, rows), items).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(((d, t) for d, t, *_ in rows if t != held), key=str)
+
+
 def test_template_words():
     text = pa.array(["We paid Anna 12 kg. Then m won 3.5 km", None, "x\nNew line Bob"])
     hashes, kinds, part, begins = (own := decontaminate.Templates()).stream(text)
