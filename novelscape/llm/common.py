@@ -91,14 +91,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slices(text: pa.Array) -> list[tuple[int, int]]:
-    """Row ranges of at most ``SLICE`` bytes, one row at least."""
+def slices(text: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
     if not len(sizes):
         return []
     out, low, weight = [], 0, 0
     for row, size in enumerate(sizes.tolist()):
-        if row > low and weight + size > SLICE:
+        if row > low and weight + size > most:
             out.append((low, row))
             low, weight = row, 0
         weight += size

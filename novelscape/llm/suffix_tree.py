@@ -1,286 +1,307 @@
 """Operator 4: language-model scores by a probabilistic suffix tree.
 
-Symbols are the frequent words, one class for all rarer words, and the end of a text. A context of up to ``depth``
-symbols is a candidate if it fills at least ``CONTEXT_SHARE`` of the training tokens. It becomes a state if its
-next-symbol distribution diverges from that of its longest proper suffix: the log likelihood gained in training must
-exceed ``GAIN`` for each symbol that it keeps apart. A state's distribution is discounted and filled up with that of its
-suffix, down to the symbol frequencies, so that each distribution sums to one. A symbol is scored in the state of the
-longest suffix before it. A rarer word also has its share of its class: its discounted count, or what the discounts
-leave for all unknown words together.
-
-All counts are exact, over all training texts. Symbols, contexts and transitions are chosen by their share of the
-tokens, so that there are at most ``1 / share`` of each, whatever the corpus; only these reach the driver and the
-workers. Counts of rarer words are joined: each slice of texts sends each of its distinct rarer words once.
+Symbols are words and the end of a text. A context is a run of up to ``depth`` words that training texts hold ``LEAST``
+times or more. Its next-symbol distribution gives a symbol its count after the context, and ``n ** BETA`` occurrences
+more (``n``: those of the context) that are dealt like the distribution of the longest proper suffix; the empty context
+has the add-one frequencies of the base, with one unknown symbol. So each distribution sums to one.
+
+The tree keeps a context if its distribution diverges from that of its suffix: summed over its training occurrences,
+each left out of the counts that predict it, the log likelihood must gain more than ``GAIN``. A symbol is scored in the
+longest kept context before it.
+
+Contexts and transitions are rows of blobs, dealt by hash. Texts are cut into slices; a slice asks for each of its
+distinct grams once, with its own training count, and the bucket of the gram answers with the count of the corpus. In
+the same way slices send the gains of their contexts and are told which ones the tree keeps. A very frequent gram is
+one number of each slice, and a bucket holds about ``BUCKET`` numbers whatever the size of the corpus. Only the numbers
+of tokens and of distinct symbols reach the driver and all tasks. Least counts and tests do not depend on the size of
+the corpus. Words are told apart by 64 bits of hash, longer grams by 40 bits within their bucket, where two of them
+collide once in about a million.
 
 Null and empty texts have the end only. Rows with equal ``doc_id`` are scored each by itself and all count; a null
-``doc_id`` is the empty text in crc32. Without training texts all scores are 0. Further columns are not read.
+``doc_id`` is the empty text in crc32. Without training texts all scores are 0. Further columns are not read. An empty
+table gives an empty result. A text longer than a slice is a slice by itself.
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from novelscape.llm import common
 from novelscape.llm.token_ids import texts_of
 
 DEPTH = 3
-#: Shares of the training tokens that symbols, contexts and transitions need.
-SYMBOL_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2e-6, 1e-5, 1e-6
-GAIN, DISCOUNT = 4.0, 0.5
-RARE, END, WORDS = 0, 1, 2
+#: Occurrences of a context at least; the log likelihood that it must gain.
+LEAST, GAIN = 2, 1.0
+#: Power of a context's occurrences that is left to its suffix.
+BETA = 0.7
+#: Bytes of text in a slice, grams of one length in a bucket.
+SLICE, BUCKET = 8 << 20, 1 << 20
+#: Bits of a long gram within its bucket; bits that number the buckets, at most.
+OWN_BITS, MOST_BITS = 40, 24
+#: Stands for the end among the words; no word holds a blank.
+END = b" "
 
 
 def held_out() -> Column:
     return common.crc_mod("doc_id", 7) == 2
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """``word, c`` of all words of the training texts."""
+def packed(values: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as compressed planes of their ``width`` last bytes."""
+    raw = np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text")
-            for low, high in common.slices(text):
-                codes, distinct, _ = common.words(text.slice(low, high - low), lower=True)
-                n = np.bincount(codes, minlength=len(distinct))
-                seen = n > 0
-                yield pa.record_batch([distinct.filter(pa.array(seen)), pa.array(n[seen], pa.int64())], names=["word", "n"])
 
-    return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+def unpacked(blob: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(width, -1)
+    raw = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    raw[:, 8 - width :] = planes.T
+    return raw.view(">u8").ravel().astype(np.uint64)
 
 
-def coded_slices(docs: DataFrame, frequent) -> DataFrame:
-    """One row for each slice of texts: ``part, docs, held_out, ends, symbols, rare, words``; numbers are compressed.
-
-    ``docs`` has the ids and whether they are held out, ``ends`` where each text's symbols end, ``symbols`` all symbols,
-    ``rare`` the places in ``words`` of the rarer words in their order.
-    """
+def coded_slices(docs: DataFrame) -> DataFrame:
+    """One row for each slice of ``docs`` (``doc_id, text, held_out``): its ids, where each text's symbols end, its
+    symbols as places among its distinct words, and the hashes of these; the end is word 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {word: i + WORDS for i, word in enumerate(frequent.value)}
-        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             text = batch.column("text")
-            for low, high in common.slices(text):
+            for low, high in common.slices(text, SLICE):
                 codes, distinct, offsets = common.words(text.slice(low, high - low), lower=True)
-                symbol_of = np.fromiter((place.get(w, RARE) for w in distinct.to_pylist()), np.int64, len(distinct))
-                rarer = symbol_of == RARE
-                local = np.cumsum(rarer) - 1
-                symbols = np.insert(symbol_of[codes], offsets[1:], END)
-                rare = local[codes[rarer[codes]]]
-                ends = offsets[1:] + np.arange(1, len(offsets))
-                blob = [squeeze.compress(x.astype("<u4")) for x in (ends, symbols, rare)]
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, [END, *distinct.cast(pa.binary()).to_pylist()]), np.uint64, len(distinct) + 1)
+                part = batch.slice(low, high - low)
                 yield pa.record_batch(
-                    [pa.array([uuid.uuid4().int >> 65]), pa.array([batch.column("doc_id").slice(low, high - low).to_pylist()], pa.list_(pa.int64())),
-                     pa.array([batch.column("held_out").slice(low, high - low).to_pylist()], pa.list_(pa.bool_())),
-                     *(pa.array([b], pa.binary()) for b in blob), pa.array([distinct.filter(pa.array(rarer)).to_pylist()], pa.list_(pa.string()))],
-                    names=["part", "docs", "held_out", "ends", "symbols", "rare", "words"],
+                    [pa.array([uuid.uuid4().int >> 65]), pa.array([len(codes) + high - low], pa.int64()),
+                     pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("held_out").to_pylist()], pa.list_(pa.bool_())),
+                     pa.array([packed(offsets[1:] + np.arange(1, high - low + 1))], pa.binary()),
+                     pa.array([packed(np.insert(codes + 1, offsets[1:], 0), 4)], pa.binary()), pa.array([packed(hashes)], pa.binary())],
+                    names=["part", "n_tokens", "docs", "held_out", "ends", "symbols", "hashes"],
                 )
 
-    return docs.mapInArrow(run, "part long, docs array<long>, held_out array<boolean>, ends binary, symbols binary, rare binary, words array<string>")
+    return docs.mapInArrow(run, "part long, n_tokens long, docs array<long>, held_out array<boolean>, ends binary, symbols binary, hashes binary")
 
 
-def numbers(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype="<u4").astype(np.int64)
+def mixed(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of a gram from that of the gram without its last symbol, and that symbol's."""
+    x = before * np.uint64(0x9E3779B97F4A7C15) + symbol
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def new_level(codes: np.ndarray, count: np.ndarray, suffix: np.ndarray) -> SimpleNamespace:
-    """Contexts of one length: the code of each (context of the symbols before, symbol), its count, its suffix; then the
-    transitions, which contexts are states, and what their distributions leave to the suffix."""
-    none = np.zeros(0, dtype=np.int64)
-    return SimpleNamespace(codes=codes, count=count.astype(np.float64), suffix=suffix, pairs=none, pair_count=none, state=none > 0, rest=none / 1.0)
+def read(row: dict, depth: int, bits: int) -> SimpleNamespace:
+    """A slice: its offsets, each symbol's place in its text, whether it is for training, and for each length the sorted
+    distinct grams and the place among them of the gram that ends at each symbol, -1 if it began before the text."""
+    ends, symbols, hashes = unpacked(row["ends"]).astype(np.int64), unpacked(row["symbols"], 4).astype(np.int64), unpacked(row["hashes"])
+    offsets = np.concatenate([[0], ends])
+    sizes = np.diff(offsets)
+    place = np.arange(len(symbols)) - np.repeat(offsets[:-1], sizes)
+    training = np.repeat(~np.array(row["held_out"], dtype=bool), sizes)
+    keys, places, own = [], [], hashes[symbols]
+    gram = own
+    for length in range(1, depth + 2):
+        if length > 1:
+            gram = np.concatenate([own[:1], mixed(gram[:-1], own[1:])])
+        whole = place >= length - 1
+        short = gram if length == 1 else gram >> np.uint64(MOST_BITS - bits)
+        found, at = np.unique(short[whole], return_inverse=True)
+        every = np.full(len(symbols), -1)
+        every[whole] = at
+        keys.append(found)
+        places.append(every)
+    return SimpleNamespace(offsets=offsets, place=place, training=training, keys=keys, places=places)
 
 
-def new_tree(symbols: int, base: np.ndarray, levels: list[SimpleNamespace] = ()) -> SimpleNamespace:
-    return SimpleNamespace(symbols=symbols, base=base, levels=list(levels))
+def asked(part: int, length: int, keys: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple]:
+    """``part, bucket, keys, values`` for each bucket of sorted grams of one length; buckets of all lengths are apart."""
+    bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), dtype=np.uint64)) if length == 1 else keys >> np.uint64(OWN_BITS)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else [0]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        width = 8 if length == 1 else OWN_BITS // 8
+        yield part, (length << bits) + int(bucket[low]), packed(keys[low:high], width), packed(values[low:high])
 
 
-def find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted number among the sorted known ones, or -1."""
-    if not len(known):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, at, -1)
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 4
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "bucket", "keys", "numbers"])
 
 
-def contexts(tree: SimpleNamespace, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each length the context before each symbol, or -1; none reaches back over the start of its text."""
-    out = []
-    for level in tree.levels:
-        own = np.full(len(symbols), -1)
-        if not out:
-            own[1:] = find(level.codes, symbols[:-1])
-        else:
-            has = np.flatnonzero(out[-1][:-1] >= 0)
-            own[has + 1] = find(level.codes, out[-1][has] * tree.symbols + symbols[has])
-        own[starts] = -1
-        out.append(own)
-    return out
+ASKED = "part long, bucket long, keys binary, numbers binary"
 
 
-def probabilities(tree: SimpleNamespace, before: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
-    """Of each symbol in the state of the longest suffix before it."""
-    p = tree.base[symbols]
-    for level, own in zip(tree.levels, before):
-        at = np.flatnonzero(own >= 0)
-        at = at[level.state[own[at]]]
-        p[at] = transition(tree, level, own[at], symbols[at], p[at])
-    return p
+def count_asked(slices: DataFrame, depth: int, bits: int) -> DataFrame:
+    """The grams of each slice with their training counts there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = read(row, depth, bits)
+                for length, (keys, at) in enumerate(zip(own.keys, own.places), 1):
+                    n = np.bincount(at[(at >= 0) & own.training], minlength=len(keys))
+                    yield as_batch(list(asked(row["part"], length, keys, n, bits)))
 
-def transition(tree: SimpleNamespace, level: SimpleNamespace, own: np.ndarray, symbols: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    pair = find(level.pairs, own * tree.symbols + symbols)
-    kept = np.where(pair >= 0, np.maximum(level.pair_count[pair] - DISCOUNT, 0), 0) if len(level.pairs) else 0
-    return kept / level.count[own] + level.rest[own] * shorter
+    return slices.select("part", "held_out", "ends", "symbols", "hashes").mapInArrow(run, ASKED)
 
 
-def count_pairs(slices: DataFrame, tree: SimpleNamespace, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of (context of the longest length, next symbol) in training texts, and their counts."""
-    shared = slices.sparkSession.sparkContext.broadcast(tree)
+def summed(table: pa.Table, bits: int, number) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """Of the rows of a bucket, by part: the parts, the place of each key among the distinct ones, and these keys' sums."""
+    rows = sorted(table.to_pylist(), key=lambda row: row["part"])
+    width = 8 if rows[0]["bucket"] >> bits == 1 else OWN_BITS // 8
+    keys = [unpacked(row["keys"], width) for row in rows]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(at, weights=np.concatenate([number(row["numbers"]) for row in rows]), minlength=len(found))
+    return [row["part"] for row in rows], np.split(at, np.cumsum([len(k) for k in keys])[:-1]), sums
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            found = []
-            for held, ends, symbols in zip(*(batch.column(c).to_pylist() for c in ("held_out", "ends", "symbols"))):
-                symbols, ends = numbers(symbols), numbers(ends)
-                starts = np.concatenate([[0], ends[:-1]])
-                last = contexts(own, symbols, starts)[-1]
-                used = (last >= 0) & np.repeat(~np.array(held, dtype=bool), ends - starts)
-                found.append(last[used] * own.symbols + symbols[used])
-                if sum(map(len, found)) > 3_000_000:
-                    yield counted(found)
-                    found = []
-            if found:
-                yield counted(found)
-
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.record_batch([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
-
-    pairs = slices.select("held_out", "ends", "symbols").mapInArrow(run, "code long, n long")
-    got = pairs.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    codes, n = np.asarray(got.column("code")), np.asarray(got.column("n"))
-    order = np.argsort(codes)
-    return codes[order], n[order]
-
-
-def grow(slices: DataFrame, counts: np.ndarray, total: int, depth: int) -> SimpleNamespace:
-    """The tree of the training texts; ``counts`` are those of the symbols."""
-    size = len(counts)
-    tree = new_tree(size, (counts + (np.arange(size) == RARE)) / (total + 1))
-    fill, least = max(4, int(np.ceil(CONTEXT_SHARE * total))), max(2, int(np.ceil(PAIR_SHARE * total)))
-    chosen = np.flatnonzero(counts >= fill)
-    chosen = chosen[chosen != END]
-    tuples = chosen[:, None]
-    level = new_level(chosen, counts[chosen], np.full(len(chosen), -1))
-    tree.levels.append(level)
-    while True:
-        level.pairs, level.pair_count = count_pairs(slices, tree, least)
-        settle(tree)
-        if len(tree.levels) == depth:
-            return tree
-        context, symbol = level.pairs // size, level.pairs % size
-        more = (level.pair_count >= fill) & (symbol != END)
-        if not more.any():
-            return tree
-        longer = np.column_stack([tuples[context[more]], symbol[more]])
-        # The suffix has as many occurrences at least, so it is a context of its length.
-        suffix = longer[:, 1]
-        suffix = find(tree.levels[0].codes, suffix)
-        for k in range(2, longer.shape[1]):
-            suffix = find(tree.levels[k - 1].codes, suffix * size + longer[:, k])
-        level, tuples = new_level(level.pairs[more], level.pair_count[more], suffix), longer
-        tree.levels.append(level)
-
-
-def settle(tree: SimpleNamespace) -> None:
-    """Divergence test of the longest contexts; suffixes of states are states."""
-    level = tree.levels[-1]
-    context, symbol = level.pairs // tree.symbols, level.pairs % tree.symbols
-    kept = np.bincount(context, weights=np.maximum(level.pair_count - DISCOUNT, 0), minlength=len(level.codes))
-    level.rest = 1 - kept / level.count
-    level.state = np.ones(len(level.codes), dtype=bool)
-    below = chain(tree, level.suffix[context])
-    shorter = probabilities(new_tree(tree.symbols, tree.base, tree.levels[:-1]), below, symbol)
-    own = transition(tree, level, context, symbol, shorter)
-    gain = np.bincount(context, weights=level.pair_count * np.log(own / shorter), minlength=len(level.codes))
-    # What is left to the suffix loses or gains by the share it is left.
-    other = level.count - np.bincount(context, weights=level.pair_count, minlength=len(level.codes))
-    told = np.bincount(context, weights=shorter, minlength=len(level.codes))
-    gain += other * np.log(np.maximum(level.rest, 1e-9) / np.maximum(1 - told, 1e-9)).clip(None, 0)
-    level.state = gain > GAIN * np.maximum(np.bincount(context, minlength=len(level.codes)), 1)
-    for upper, lower in zip(tree.levels[::-1], tree.levels[-2::-1]):
-        lower.state[upper.suffix[upper.state]] = True
-
-
-def chain(tree: SimpleNamespace, suffix: np.ndarray) -> list[np.ndarray]:
-    """Contexts of each shorter length, from that of the length below the longest down."""
-    out = []
-    for level in tree.levels[-2::-1]:
-        out.append(suffix)
-        suffix = level.suffix[suffix]
-    return out[::-1]
 
+def counted(asks: DataFrame, bits: int) -> DataFrame:
+    """``part, bucket, count, kinds, tokens``: the counts of what was asked for; a row of each bucket of single symbols
+    has its numbers of training symbols, distinct and all."""
 
-def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
-    spark = docs.sparkSession
-    plain = texts_of(docs).withColumn("held_out", held_out())
-    training = plain.where(~F.col("held_out"))
-    counts = common.stored(word_counts(training))
-    texts = training.count()
-    row = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    total, kinds = row.n + texts, row.v + (texts > 0)
-    # At most 1 / SYMBOL_SHARE words.
-    some = counts.where(F.col("c") >= max(2, SYMBOL_SHARE * total)).orderBy(F.desc("c"), "word").toArrow()
-    frequent = spark.sparkContext.broadcast(some.column("word").to_pylist())
-    c = np.asarray(some.column("c"), dtype=np.int64)
-    rare = counts.where(F.col("c") < max(2, SYMBOL_SHARE * total))
-    once = rare.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    take = float(np.clip(once.one / max(once.one + 2 * once.two, 1), 0.1, 0.9))
-    slices = common.stored(coded_slices(plain, frequent))
-    tree = grow(slices, np.concatenate([[once.n, texts], c]), total, depth) if total else new_tree(2, np.ones(2))
-    model = spark.sparkContext.broadcast((tree, c, texts, total, kinds, once.n, once.v, take))
-    asked = slices.select("part", F.posexplode("words").alias("at", "word"))
-    told = asked.join(rare, "word").select(F.col("part").alias("of"), "at", "c")
-    whole = slices.select("part", "docs", "held_out", "ends", "symbols", "rare", F.size("words").alias("n_words"))
-    both = whole.groupBy("part").cogroup(told.groupBy("of"))
-    names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.applyInArrow(scoring(model), names)
+    def run(table: pa.Table) -> pa.Table:
+        parts, places, total = summed(table, bits, lambda blob: unpacked(blob).astype(np.float64))
+        bucket = table.column("bucket")[0].as_py()
+        first = np.arange(len(parts)) == 0
+        single = first & (bucket >> bits == 1)
+        return pa.table({
+            "part": pa.array(parts, pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int64()),
+            "answer": pa.array([packed(total[at]) for at in places], pa.binary()),
+            "kinds": pa.array(single * int((total > 0).sum()), pa.int64()), "tokens": pa.array(single * int(total.sum()), pa.int64()),
+        })
+
+    return asks.groupBy("bucket").applyInArrow(run, "part long, bucket long, answer binary, kinds long, tokens long")
+
+
+def kept(asks: DataFrame, bits: int) -> DataFrame:
+    """``part, bucket, answer``: which of the contexts asked for gain more than ``GAIN`` over all slices."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, places, gain = summed(table, bits, gains_of)
+        bucket = table.column("bucket")[0].as_py()
+        told = [packed((gain > GAIN)[at], 1) for at in places]
+        return pa.table({"part": pa.array(parts, pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "answer": pa.array(told, pa.binary())})
+
+    return asks.groupBy("bucket").applyInArrow(run, "part long, bucket long, answer binary")
+
+
+def gains_of(blob: bytes) -> np.ndarray:
+    return unpacked(blob).astype(np.uint32).view(np.float32).astype(np.float64)
+
+
+def with_counts(own: SimpleNamespace, answers: list[dict]) -> None:
+    """Add the corpus counts of the slice's grams, ``total``, and of the gram that ends at each symbol, ``count``."""
+    every = np.concatenate([unpacked(row["answer"]) for row in sorted(answers, key=lambda row: row["bucket"])]).astype(np.int64)
+    own.total = np.split(every, np.cumsum([len(k) for k in own.keys])[:-1])
+    # Place -1 is the 0 at the end.
+    own.count = [np.append(total, 0)[at] for total, at in zip(own.total, own.places)]
 
 
-def scoring(model):
+def before(own: SimpleNamespace, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols that stand after a context of this length, and the places of these contexts among the grams."""
+    at = np.flatnonzero(own.place >= length)
+    context = own.places[length - 1][at - 1]
+    often = own.total[length - 1][context] >= LEAST
+    return at[often], context[often]
+
+
+def chain(own: SimpleNamespace, tokens: int, kinds: int, left_out: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the empty context and each length: the symbols after a context, the contexts' places, and the probabilities of
+    these symbols in them and in their suffixes. ``left_out`` occurrences of each symbol are not counted."""
+    p = (own.count[0] - left_out + 1) / (tokens - left_out + kinds + 1)
+    every = np.arange(len(p))
+    yield every, every, p, p
+    for length in range(1, len(own.keys)):
+        at, context = before(own, length)
+        n = own.total[length - 1][context] - left_out[at]
+        rest = n**BETA
+        longer = (own.count[length][at] - left_out[at] + rest * p[at]) / (n + rest)
+        yield at, context, longer, p[at]
+        p = p.copy()
+        p[at] = longer
+
+
+def contexts_of(own: SimpleNamespace, length: int, context: np.ndarray) -> np.ndarray:
+    """The places of the slice's distinct contexts of a length, in order."""
+    return np.flatnonzero(np.bincount(context, minlength=len(own.keys[length - 1])))
+
+
+def gains_asked(both, depth: int, bits: int, tokens: int, kinds: int) -> DataFrame:
+    """The contexts of each slice with what they gain over their suffixes in its training texts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            own = read(row, depth, bits)
+            with_counts(own, right.to_pylist())
+            for length, (at, context, longer, shorter) in enumerate(chain(own, tokens, kinds, own.training.astype(np.float64))):
+                if length:
+                    gain = np.where(own.training[at], np.log(longer / shorter), 0)
+                    gain = np.bincount(context, weights=gain, minlength=len(own.keys[length - 1])).astype(np.float32)
+                    asks = contexts_of(own, length, context)
+                    rows += asked(row["part"], length, own.keys[length - 1][asks], gain[asks].view(np.uint32), bits)
+        return pa.Table.from_batches([as_batch(rows)])
+
+    return both.applyInArrow(run, ASKED)
+
+
+def scoring(depth: int, bits: int, tokens: int, kinds: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree, c, texts, total, kinds, rare_tokens, rare_kinds, take = model.value
-        out = []
-        known = np.zeros(left.column("n_words")[0].as_py() if left.num_rows else 0, dtype=np.int64)
-        known[np.asarray(right.column("at"), dtype=np.int64)] = np.asarray(right.column("c"))
+        out, answers = [], right.to_pylist()
         for row in left.to_pylist():
-            ends, symbols, rare = (numbers(row[x]) for x in ("ends", "symbols", "rare"))
-            offsets = np.concatenate([[0], ends])
-            count = np.concatenate([[0, texts], c])[symbols]
-            count[symbols == RARE] = known[rare]
-            base = np.log10((count + 1) / (total + kinds + 1))
-            own = np.zeros(len(symbols))
-            if total:
-                p = probabilities(tree, contexts(tree, symbols, offsets[:-1]), symbols)
-                share = np.where(known > 0, known - take, take * rare_kinds + 1) / (rare_tokens + 1)
-                p[symbols == RARE] *= share[rare]
-                own = np.log10(p)
+            own = read(row, depth, bits)
+            with_counts(own, [a for a in answers if a["round"] == 1])
+            told = sorted((a for a in answers if a["round"] == 2), key=lambda a: a["bucket"])
+            states = np.concatenate([np.zeros(0, dtype=bool), *(unpacked(a["answer"], 1) > 0 for a in told)])
+            base = score = np.zeros(len(own.place))
+            for length, (at, context, p, _) in enumerate(chain(own, tokens, kinds, np.zeros(len(own.place))) if tokens else ()):
+                if not length:
+                    base, score = np.log10(p), np.log10(p)
+                    continue
+                asks = contexts_of(own, length, context)
+                state = np.zeros(len(own.keys[length - 1]), dtype=bool)
+                state[asks], states = states[: len(asks)], states[len(asks) :]
+                score[at[state[context]]] = np.log10(p[state[context]])
+            low = own.offsets[:-1]
             out.append(pa.table({
-                "doc_id": pa.array(row["docs"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(np.diff(offsets), pa.int64()),
-                "n_known": pa.array(common.run_sums((count > 0).astype(np.float64), offsets).astype(np.int64)), "train_tokens": pa.array(np.full(len(ends), total), pa.int64()),
-                "base_score": pa.array(np.add.reduceat(base, offsets[:-1])), "score": pa.array(np.add.reduceat(own, offsets[:-1])),
+                "doc_id": pa.array(row["docs"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(np.diff(own.offsets), pa.int64()),
+                "n_known": pa.array(np.add.reduceat((own.count[0] > 0).astype(np.int64), low), pa.int64()), "train_tokens": pa.array(np.full(len(low), tokens), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(base, low)), "score": pa.array(np.add.reduceat(score, low)),
             }))
-        return pa.concat_tables(out) if out else None
+        return pa.concat_tables(out)
 
     return run
+
+
+def given_back(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
+    spark = docs.sparkSession
+    slices = common.stored(coded_slices(texts_of(docs).withColumn("held_out", held_out())))
+    size = slices.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(0, -(-size // BUCKET) - 1).bit_length())
+    counts = common.stored(counted(count_asked(slices, depth, bits), bits))
+    given_back(spark)
+    row = counts.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    own = slices.drop("n_tokens").groupBy("part")
+    answers = counts.select(F.lit(1).alias("round"), "part", "bucket", "answer")
+    gains = gains_asked(own.cogroup(answers.groupBy("part")), depth, bits, row.tokens, row.kinds)
+    states = common.stored(kept(gains, bits))
+    given_back(spark)
+    both = answers.union(states.select(F.lit(2), "part", "bucket", "answer"))
+    names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return own.cogroup(both.groupBy("part")).applyInArrow(scoring(depth, bits, row.tokens, row.kinds), names)

@@ -149,30 +149,83 @@ def test_base_scores(spark):
     assert all(r.score < 0 for r in got)
 
 
-def test_model_beats_base_and_sums_to_one(spark, monkeypatch):
+class PlainTree:
+    """The suffix tree of ``suffix_tree`` by plain dictionaries."""
+
+    def __init__(self, texts, depth=suffix_tree.DEPTH):
+        self.depth, self.texts = depth, [[*edge.words(t), None] for t in texts]
+        self.count = Counter(tuple(t[i : i + k]) for t in self.texts for k in range(1, depth + 2) for i in range(len(t) - k + 1))
+        self.kinds = len({w for t in self.texts for w in t})
+        self.n = sum(map(len, self.texts))
+        gain = Counter()
+        for t in self.texts:
+            for i in range(len(t)):
+                for k in range(1, min(i, depth) + 1):
+                    context = tuple(t[i - k : i])
+                    if self.count[context] >= 2:
+                        gain[context] += math.log(self.p(context, t[i], 1) / self.p(context[1:], t[i], 1))
+        self.states = {c for c, g in gain.items() if g > suffix_tree.GAIN}
+
+    def p(self, context, symbol, out=0):
+        if not context:
+            return (self.count[symbol,] - out + 1) / (self.n - out + self.kinds + 1)
+        n = self.count[context] - out
+        rest = n**suffix_tree.BETA
+        return (self.count[(*context, symbol)] - out + rest * self.p(context[1:], symbol, out)) / (n + rest)
+
+    def context(self, past):
+        return next((c for k in range(self.depth, 0, -1) if len(past) >= k and (c := tuple(past[-k:])) in self.states), ())
+
+    def score(self, text):
+        own = [*edge.words(text), None]
+        return sum(math.log10(self.p(self.context(own[:i]), w)) for i, w in enumerate(own))
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def repetitive(n=120):
     phrases = [sentence("en", 6) for _ in range(8)]
-    rows = [(i, " ".join(DRAW.choice(phrases) for _ in range(8)) + " " + sentence("de", 3), None, None) for i in range(300)]
+    rows = [(i, " ".join(DRAW.choice(phrases) for _ in range(8)) + " " + sentence("de", 3), None, None) for i in range(n)]
+    twice = sentence("fr", 40)
+    return [*rows, (n, twice, None, None), (n + 1, twice, None, None), (n + 2, None, None, None), (n + 3, "", None, None)]
+
+
+@pytest.mark.parametrize("bucket, size", [(suffix_tree.BUCKET, suffix_tree.SLICE), (300, 2000)])
+def test_scores_equal_a_plain_suffix_tree(spark, monkeypatch, bucket, size):
+    monkeypatch.setattr(suffix_tree, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_tree, "SLICE", size)
+    rows = repetitive()
+    tree = PlainTree([t for i, t, *_ in rows if not held(i)])
+    assert {len(c) for c in tree.states} == {1, 2, 3}
     got = suffix_tree.scored(edge.frame(spark, rows)).collect()
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)
-    plain = edge.frame(spark, rows).select("doc_id", "text", F.lit(False).alias("held_out"))
-    counts = Counter(w for _, t, *_ in rows for w in edge.words(t))
-    frequent = [w for w, c in counts.most_common() if c >= 5]
-    slices = common.stored(suffix_tree.coded_slices(plain, spark.sparkContext.broadcast(frequent)))
-    total = sum(counts.values()) + len(rows)
-    symbols = np.array([sum(c for c in counts.values() if c < 5), len(rows), *(counts[w] for w in frequent)])
-    tree = suffix_tree.grow(slices, symbols, total, 3)
-    assert len(tree.levels) == 3 and tree.levels[1].state.any()
-    for height, level in enumerate(tree.levels):
-        for own in np.flatnonzero(level.state)[:20]:
-            # The context's own symbols, then every symbol after it.
-            every = np.arange(tree.symbols)
-            before = [np.full(tree.symbols, -1) for _ in tree.levels]
-            at, k = own, height
-            while k >= 0:
-                before[k][:] = at
-                at, k = tree.levels[k].suffix[at], k - 1
-            assert suffix_tree.probabilities(tree, before, every).sum() == pytest.approx(1)
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: tree.score(t) for i, t, *_ in rows}, rel=1e-9)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > 0.5 * sum(r.base_score for r in out)
+
+
+def test_distributions_sum_to_one():
+    tree = PlainTree([t for _, t, *_ in repetitive(60)])
+    symbols = [*{w for t in tree.texts for w in t}, "never seen"]
+    for context in sorted(tree.states)[::40]:
+        assert sum(tree.p(context, w) for w in symbols) == pytest.approx(1)
+
+
+def test_text_that_occurs_twice_is_told_apart(spark):
+    ids = [i for i in range(400) if not held(i)][:300]
+    once = [(i, " ".join(sentence("en", 8) for _ in range(4)), None, None) for i in ids]
+    rows = [*once[:-1], (ids[-1], once[0][1], None, None)]
+    got = {r.doc_id: r.score / r.base_score for r in suffix_tree.scored(edge.frame(spark, rows)).collect()}
+    assert max(got[ids[0]], got[ids[-1]]) < 0.5 * min(got[i] for i in ids[1:-1])
+
+
+def test_packed_numbers():
+    draw = np.random.default_rng(2)
+    for width in (1, 4, 5, 8):
+        for n in (0, 1, 1000):
+            values = draw.integers(0, 2 ** (8 * width), n, dtype=np.uint64, endpoint=False) if width < 8 else draw.integers(0, 2**63, n).astype(np.uint64)
+            assert (suffix_tree.unpacked(suffix_tree.packed(values, width), width) == values).all()
 
 
 def test_scores_edges(spark):
