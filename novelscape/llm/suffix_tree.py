@@ -14,8 +14,8 @@ distinct grams once, with its own training count, and the bucket of the gram ans
 the same way slices send the gains of their contexts and are told which ones the tree keeps. A very frequent gram is
 one number of each slice, and a bucket holds about ``BUCKET`` numbers whatever the size of the corpus. Only the numbers
 of tokens and of distinct symbols reach the driver and all tasks. Least counts and tests do not depend on the size of
-the corpus. Words are told apart by 64 bits of hash, longer grams by 40 bits within their bucket, where two of them
-collide once in about a million.
+the corpus. Words are told apart by 64 bits of hash, longer grams by 38 bits within their bucket, where about three in
+a million collide with another one; both then count as one gram.
 
 Null and empty texts have the end only. Rows with equal ``doc_id`` are scored each by itself and all count; a null
 ``doc_id`` is the empty text in crc32. Without training texts all scores are 0. Further columns are not read. An empty
@@ -47,7 +47,7 @@ BETA = 0.7
 #: Bytes of text in a slice, grams of one length in a bucket.
 SLICE, BUCKET = 8 << 20, 1 << 20
 #: Bits of a long gram within its bucket; bits that number the buckets, at most.
-OWN_BITS, MOST_BITS = 40, 24
+OWN_BITS, MOST_BITS = 38, 26
 #: Stands for the end among the words; no word holds a blank.
 END = b" "
 
@@ -78,7 +78,11 @@ def coded_slices(docs: DataFrame) -> DataFrame:
             text = batch.column("text")
             for low, high in common.slices(text, SLICE):
                 codes, distinct, offsets = common.words(text.slice(low, high - low), lower=True)
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, [END, *distinct.cast(pa.binary()).to_pylist()]), np.uint64, len(distinct) + 1)
+                # Frequent words get small numbers.
+                order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+                codes = np.argsort(order)[codes]
+                names = distinct.take(pa.array(order)).cast(pa.binary()).to_pylist()
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, [END, *names]), np.uint64, len(distinct) + 1)
                 part = batch.slice(low, high - low)
                 yield pa.record_batch(
                     [pa.array([uuid.uuid4().int >> 65]), pa.array([len(codes) + high - low], pa.int64()),
@@ -127,8 +131,9 @@ def asked(part: int, length: int, keys: np.ndarray, values: np.ndarray, bits: in
     bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), dtype=np.uint64)) if length == 1 else keys >> np.uint64(OWN_BITS)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else [0]
     for low, high in zip(cuts[:-1], cuts[1:]):
-        width = 8 if length == 1 else OWN_BITS // 8
-        yield part, (length << bits) + int(bucket[low]), packed(keys[low:high], width), packed(values[low:high])
+        # Sorted numbers take less room as steps.
+        own = keys[low:high] if length == 1 else keys[low:high] & np.uint64((1 << OWN_BITS) - 1)
+        yield part, (length << bits) + int(bucket[low]), packed(np.diff(own, prepend=np.uint64(0))), packed(values[low:high])
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,11 +159,10 @@ def count_asked(slices: DataFrame, depth: int, bits: int) -> DataFrame:
     return slices.select("part", "held_out", "ends", "symbols", "hashes").mapInArrow(run, ASKED)
 
 
-def summed(table: pa.Table, bits: int, number) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+def summed(table: pa.Table, number) -> tuple[list[int], list[np.ndarray], np.ndarray]:
     """Of the rows of a bucket, by part: the parts, the place of each key among the distinct ones, and these keys' sums."""
     rows = sorted(table.to_pylist(), key=lambda row: row["part"])
-    width = 8 if rows[0]["bucket"] >> bits == 1 else OWN_BITS // 8
-    keys = [unpacked(row["keys"], width) for row in rows]
+    keys = [np.cumsum(unpacked(row["keys"])) for row in rows]
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(at, weights=np.concatenate([number(row["numbers"]) for row in rows]), minlength=len(found))
     return [row["part"] for row in rows], np.split(at, np.cumsum([len(k) for k in keys])[:-1]), sums
@@ -169,7 +173,7 @@ def counted(asks: DataFrame, bits: int) -> DataFrame:
     has its numbers of training symbols, distinct and all."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts, places, total = summed(table, bits, lambda blob: unpacked(blob).astype(np.float64))
+        parts, places, total = summed(table, lambda blob: unpacked(blob).astype(np.float64))
         bucket = table.column("bucket")[0].as_py()
         first = np.arange(len(parts)) == 0
         single = first & (bucket >> bits == 1)
@@ -182,11 +186,11 @@ def counted(asks: DataFrame, bits: int) -> DataFrame:
     return asks.groupBy("bucket").applyInArrow(run, "part long, bucket long, answer binary, kinds long, tokens long")
 
 
-def kept(asks: DataFrame, bits: int) -> DataFrame:
+def kept(asks: DataFrame) -> DataFrame:
     """``part, bucket, answer``: which of the contexts asked for gain more than ``GAIN`` over all slices."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts, places, gain = summed(table, bits, gains_of)
+        parts, places, gain = summed(table, gains_of)
         bucket = table.column("bucket")[0].as_py()
         told = [packed((gain > GAIN)[at], 1) for at in places]
         return pa.table({"part": pa.array(parts, pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "answer": pa.array(told, pa.binary())})
@@ -300,7 +304,7 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     own = slices.drop("n_tokens").groupBy("part")
     answers = counts.select(F.lit(1).alias("round"), "part", "bucket", "answer")
     gains = gains_asked(own.cogroup(answers.groupBy("part")), depth, bits, row.tokens, row.kinds)
-    states = common.stored(kept(gains, bits))
+    states = common.stored(kept(gains))
     given_back(spark)
     both = answers.union(states.select(F.lit(2), "part", "bucket", "answer"))
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
