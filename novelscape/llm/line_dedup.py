@@ -58,9 +58,9 @@ def keep_bitmaps(docs: DataFrame, ident: str = "doc_id", text: str = "text", lea
     sample = lines.sample(fraction=share, seed=1).groupBy("h1", "h2").count()
     # At most n / HOT_SHARE hashes.
     hot = sample.where(F.col("count") > max(8.0, HOT_SHARE * share * total / n)).select("h1", "h2")
-    hot = common.stored(hot.coalesce(1))
+    hot = common.stored(hot)
     first = lines.join(F.broadcast(hot), ["h1", "h2"]).groupBy("h1", "h2").agg(first_document("doc").alias("first"))
-    first = common.stored(first.coalesce(1))
+    first = common.stored(first)
     alone = lines.join(F.broadcast(first), ["h1", "h2"]).select("doc", "same", "pos", F.struct(F.col("first.doc").alias("doc")).alias("first"))
     dealt = lines.join(F.broadcast(first), ["h1", "h2"], "left_anti").repartitionByRange(n, "h1", "h2")
     along = Window.partitionBy("h1", "h2").orderBy(F.col("doc").asc_nulls_first(), "pos")
