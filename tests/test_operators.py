@@ -28,6 +28,18 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g int, o int, id int, v double").repartition(5)
 
 
+def test_pivots_send_few_rows_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELL_POINTS", 50)
+    vectors_ = points(spark, np.random.default_rng(3).normal(size=(20000, 4))).repartition(40)
+    known = neighbors.distinct_points(vectors_).localCheckpoint()
+    read = []
+    whole = known.orderBy(F.xxhash64("z"), "point").limit(400).select("z").collect()
+    original = type(known).orderBy
+    monkeypatch.setattr(type(known), "orderBy", lambda df, *by: read.append(df.count()) or original(df, *by))
+    assert neighbors._pivots(known, 20000).tolist() == [r["z"] for r in whole]
+    assert read and max(read) < 1200
+
+
 def test_segments_split_a_large_group(skewed):
     parts = ordering.segments(skewed, ["g", "o"]).groupBy("g").agg(F.countDistinct(SEGMENT).alias("n"))
     assert parts.where("g = 0").first()["n"] > 1
