@@ -63,6 +63,24 @@ def test_running_equals_window(skewed):
     assert [r["ordinal"] for r in everything] == list(range(5000))
 
 
+def test_small_groups_are_ordered_by_one_window(spark, monkeypatch):
+    rows = [(i % 500, i * 7919 % 5003, i) for i in range(5000)]
+    even = spark.createDataFrame(rows, "g int, o int, id int").repartition(5)
+    window = Window.partitionBy("g").orderBy("o")
+    before = F.coalesce(F.sum("id").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = even.select("*", F.row_number().over(window).cast("long").alias("p"), F.lead("id").over(window).alias("nxt"))
+    summed = even.withColumn("before", before)
+    settled = []
+    monkeypatch.setattr(ordering, "settle", lambda df: settled.append(1) or df.checkpoint())
+    for limit, cuts in ((100, 0), (5, 1)):
+        monkeypatch.setattr(ordering, "SMALL_GROUP", limit)
+        settled.clear()
+        got = ordering.sequence(even, ["g"], ["o"], "p", {"nxt": "id"}, often_small=True)
+        assert got.exceptAll(placed).isEmpty() and placed.exceptAll(got).isEmpty() and len(settled) == cuts
+        got = ordering.running(even, ["o"], "id", ["g"], often_small=True)
+        assert got.exceptAll(summed).isEmpty() and summed.exceptAll(got).isEmpty() and len(settled) == 2 * cuts
+
+
 def test_quantiles(skewed):
     got = {r["g"]: r for r in ordering.quantiles(skewed, "v", {"a": 0.13, "m": 0.5}, ["g"]).collect()}
     frame = skewed.toPandas()
