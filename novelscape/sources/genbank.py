@@ -277,7 +277,7 @@ def predicted_tokens(records: DataFrame, genome: str | None = None, label: Colum
     chosen = exploded.join(entities.select(*key, "_domains"), key).where(
         (F.col("_domains") > 0) == F.col("is_domain")
     )
-    numbered = sequence(chosen, key, ["_start", "pos", "_at"], "gene_order")
+    numbered = sequence(chosen, key, ["_start", "pos", "_at"], "gene_order", often_small=True)
     full = entities.join(numbered.select(*key, "gene_order", "_token"), key, "left")
     return full.select(
         "genome",
