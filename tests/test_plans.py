@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from novelscape.operators import classify
 from novelscape.operators.features import Vocabulary
 from novelscape.operators.vectors import as_vectors
 from novelscape.plans import compare, enrichment, members, novelty, recovery, sweep, temporal
@@ -146,6 +148,18 @@ def test_members(spark):
     assert members.repool(cache.where("embedding is not null"), expected=1).first()["embedding"] == [1.0]
 
 
+def test_forests_keep_the_nodes_of_their_rows(spark, monkeypatch):
+    made, real = [], classify.RandomForestClassifier
+    monkeypatch.setattr(classify, "RandomForestClassifier", lambda **k: made.append(real(**k)) or made[-1])
+    rng = np.random.default_rng(2)
+    rows = [(i, Vectors.dense(rng.normal(size=3) + i % 2), "ab"[i % 2], i % 3) for i in range(60)]
+    table = spark.createDataFrame(rows, ["entity_id", "features", "label", "fold"])
+    found = {r["entity_id"]: r["predicted"] for r in classify.out_of_fold(table, "rf", 3, trees=4, depth=4).collect()}
+    assert len(made) == 3 and all(m.getCacheNodeIds() for m in made)
+    monkeypatch.setattr(classify, "RandomForestClassifier", lambda **k: real(**{**k, "cacheNodeIds": False}))
+    assert found == {r["entity_id"]: r["predicted"] for r in classify.out_of_fold(table, "rf", 3, trees=4, depth=4).collect()}
+
+
 def test_class_recovery(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 8, rng.normal(size=(2, 2))])
