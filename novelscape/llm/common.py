@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from novelscape.session import shuffles_dropped
+
 #: Fixed value: what separates words and is stripped from lines.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Stands for a line break among the words of ``words(..., lines=True)``.
@@ -34,10 +36,11 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again; cuts the lineage."""
+    """``df`` written as a table in the shared folder and read again; cuts the lineage, and its shuffles are deleted."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -294,3 +294,12 @@ def test_walk_is_in_order():
         n = int(walked.sum())
         assert set(np.flatnonzero(walked)) == set(order[:n].tolist())
         assert counts[walked].sum() >= min(need, counts.sum()) and (n == 63 or counts[order[: n - 1]].sum() < need)
+
+
+def test_gains_are_sent_in_three_bytes():
+    gain = np.concatenate([np.random.default_rng(4).normal(0, 3, 5_000), [0.0, 1.0, -1.0, 1e-6, 700.0]])
+    sent = suffix_tree.rounded(gain)
+    assert sent.max() < 1 << 24
+    got = suffix_tree.gains_of(suffix_tree.packed(sent))
+    assert np.abs(got - gain).max() <= np.abs(gain).max() * 2.0**-17 and (np.abs(got - gain) <= np.abs(gain) * 2.0**-16).all()
+    assert got[-5:-2].tolist() == [0.0, 1.0, -1.0]
