@@ -9,7 +9,7 @@ depth 6 in 1 of 10^6 and at depth 8 in 4 of 10^5; regions that are still crowded
 Links are found in two steps. First each class is compared with its best neighbor in the sorted orders, that with the
 longest common prefix. What these confirmed links leave apart is compared within each region: pairs of different
 components whose signatures allow the similarity (five deviations below it) have their full sets compared, many against
-many in one task. A link counts only if the sets say so in whole numbers; sets are made again from the texts of the
+many in one task; members of a region's main component meet those of others only. A link counts only if the sets say so in whole numbers; sets are made again from the texts of the
 classes in question, found by a bitmap of fixed size. Tasks return links that hang classes together, never all pairs.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have one shingle,
@@ -39,7 +39,7 @@ from novelscape.llm.token_ids import texts_of
 SHINGLE, PERCENT = 3, 85
 HASHES, TREES, DEPTH, DEEPEST = 128, 32, 4, 8
 #: Rows of one task, classes of a region before it goes deeper, classes compared by signature and by set at once.
-TASK_ROWS, CROWD, SIGNED, WHOLE = 100_000, 4096, 1024, 256
+TASK_ROWS, CROWD, SIGNED, WHOLE = 100_000, 4096, 4096, 256
 #: Bytes of shingle sets of one task.
 TASK_BYTES = 32 << 20
 #: Bits of the bitmap of wanted classes, as a power of two.
@@ -84,10 +84,12 @@ def sets_of(text: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def signature(own: np.ndarray) -> np.ndarray:
     """The least value of each hash over a set."""
-    least = np.full(HASHES, 2**32 - 1, dtype=np.uint64)
-    for at in range(0, len(own), 2048):
-        least = np.minimum(least, ((own[at : at + 2048, None] * FACTORS + TERMS) >> np.uint64(32)).min(axis=0))
-    return least.astype(np.uint32)
+    least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(own), 256):
+        values = own[at : at + 256, None] * FACTORS
+        values += TERMS
+        np.minimum(least, values.min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def digest(own: np.ndarray) -> bytes:
@@ -231,13 +233,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "u").join(second, "v").mapInArrow(run, "u binary, v binary")
 
 
-def dealt(members: DataFrame, most: int) -> DataFrame:
-    """``members`` (``region``, ``set``) with ``cell``: each two of a region meet in one, of ``2 * most`` or so at most."""
-    counts = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(counts, "region").withColumn("m", F.ceil(F.col("n") / most).cast("int")).drop("n")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("m")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.xxhash64("region", F.least("own", o), F.greatest("own", o)))
-    return rows.withColumn("cell", F.explode(cells)).drop("m", "own")
+def shares(members: DataFrame) -> DataFrame:
+    """``region, main, n_main, n_rest`` of regions of several components: that of most members, their number, the others'."""
+    roots = members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+    found = roots.groupBy("region").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest")
+    )
+    return found.where("n_rest > 0")
+
+
+def dealt(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """``members`` (``region, set, root``) with ``cell``: each two of a region's different components meet in one, of ``2 * most``
+    or so at most. The main component's members need to meet the others only, so there are as many cells as those ask for."""
+    rows = members.join(sizes, "region").withColumn("is_main", F.col("root") == F.col("main"))
+    rows = rows.withColumn("a", F.ceil(F.col("n_main") / most).cast("int")).withColumn("b", F.ceil(F.col("n_rest") / most).cast("int"))
+    is_main, own = F.col("is_main"), F.col("own")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.when(is_main, F.col("a")).otherwise(F.col("b"))).cast("int"))
+    across = F.transform(
+        F.sequence(F.lit(0), F.when(is_main, F.col("b")).otherwise(F.col("a")) - 1),
+        lambda o: F.xxhash64("region", F.when(is_main, own).otherwise(o), F.when(is_main, o).otherwise(own)),
+    )
+    among = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.xxhash64("region", F.least(own, o), F.greatest(own, o), F.lit(1)))
+    cells = F.when(is_main | (F.col("b") == 1), across).otherwise(F.concat(across, among))
+    return rows.withColumn("cell", F.explode(cells)).select(*members.columns, "cell")
 
 
 def allowed(percent: int) -> int:
@@ -253,25 +271,33 @@ def cells_of(table: pa.Table) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else ()
 
 
-def apart(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def others(label: np.ndarray) -> np.ndarray:
+    """Rows of any but the most frequent label."""
+    return np.flatnonzero(label != np.bincount(label).argmax())
+
+
+def apart(members: DataFrame, sizes: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """``region, set, root`` of members that a signature of another component in their region may be similar to."""
-    rows = dealt(members, SIGNED).join(classes.select("set", "signature"), "set")
-    parts = common.tasks(rows.sparkSession, members.count(), TASK_ROWS // 4)
+    rows = dealt(members, sizes, SIGNED).join(classes.select("set", "signature"), "set")
+    count = sizes.agg(F.coalesce(F.sum(F.col("n_main") + F.col("n_rest")), F.lit(0))).first()[0]
+    parts = common.tasks(rows.sparkSession, count, TASK_ROWS // 4)
 
     def run(table: pa.Table) -> pa.Table:
         codes = matrix(table.column("signature").to_pylist(), "<u4", HASHES)
         _, root = np.unique(np.array(table.column("root").to_pylist(), dtype="S16"), return_inverse=True)
         found = [np.zeros(0, dtype=np.int64)]
         for cell in cells_of(table):
-            if (root[cell] == root[cell[0]]).all():
-                continue
-            own, label, near = codes[cell], root[cell], np.zeros(len(cell), dtype=bool)
-            for at in range(0, len(cell), 64):
-                some = slice(at, at + 64)
+            own, near = codes[cell], np.zeros(len(cell), dtype=bool)
+            label = np.unique(root[cell], return_inverse=True)[1]
+            rest = others(label)
+            for at in range(0, len(rest), 64):
+                some = rest[at : at + 64]
                 agree = np.zeros((len(own[some]), len(own)), dtype=np.uint8)
                 for h in range(HASHES):
                     agree += own[some, h, None] == own[None, :, h]
-                near |= ((agree >= least) & (label[some, None] != label[None, :])).any(axis=0)
+                both = (agree >= least) & (label[some, None] != label[None, :])
+                near |= both.any(axis=0)
+                near[some] |= both.any(axis=1)
             found.append(cell[near])
         at = pa.array(np.concatenate(found))
         return table.select(["region", "set", "root"]).take(at)
@@ -281,7 +307,7 @@ def apart(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``u, v``: links of full sets that join what is apart in a region."""
-    rows = dealt(members, WHOLE).join(sets, "set")
+    rows = dealt(members, shares(members), WHOLE).join(sets, "set")
     weight = rows.agg(F.coalesce(F.sum(F.length("shingles") + 100), F.lit(0))).first()[0]
     parts = common.tasks(rows.sparkSession, weight, TASK_BYTES)
 
@@ -291,13 +317,16 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         cell = rows["cell"].to_numpy()
         for number in np.unique(cell):
             own = np.flatnonzero(cell == number)
+            place = np.unique(root[own], return_inverse=True)[1]
+            rest = others(place)
+            if not len(rest):
+                continue
             sizes = np.array([len(sets[i]) for i in own])
             _, ids = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True)
             ends = np.cumsum(sizes)
             starts, held = ends - sizes, np.zeros(ids.max() + 1, dtype=np.int32)
-            place = np.unique(root[own], return_inverse=True)[1]
             label = np.arange(place.max() + 1)
-            for i in range(len(own)):
+            for i in rest.tolist():
                 mine = ids[starts[i] : ends[i]]
                 held[mine] = 1
                 inter = np.add.reduceat(held[ids], starts)
@@ -325,8 +354,7 @@ def linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, crow
     members = found.where("v is null").select("region", F.col("u").alias("set"))
     members = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     members = common.stored(members)
-    mixed_ = members.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("region")
-    open_ = common.stored(apart(members.join(mixed_, "region", "left_semi"), classes, allowed(percent)))
+    open_ = common.stored(apart(members, common.stored(shares(members)), classes, allowed(percent)))
     if open_.isEmpty():
         return roots
     more = compared(open_, common.stored(full_sets(docs, open_, shingle)), percent)

@@ -30,6 +30,8 @@ from novelscape.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 WORDS, DISTANCE = 8, 108
+#: Classes compared by fingerprint at once.
+TOGETHER = 1024
 #: Names the empty set.
 EMPTY = bytes(16)
 
@@ -67,10 +69,10 @@ def open_regions(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     blocks = {-1: [(b, *own[0]) for b, own in enumerate(simhash.blocks_of(WORDS, distance))]}
     keyed = simhash.dealt(classes.select("fp").distinct(), blocks).join(classes, "fp")
     keyed = common.stored(keyed.select(F.xxhash64("block", "value").alias("region"), "set", "root"))
-    several = keyed.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("region")
-    members = common.stored(keyed.join(several, "region", "left_semi"))
-    rows = lsh_forest.dealt(members, lsh_forest.SIGNED).join(classes.select("set", "fp"), "set")
-    parts = common.tasks(spark, members.count(), lsh_forest.TASK_ROWS // 4)
+    sizes = common.stored(lsh_forest.shares(keyed))
+    rows = lsh_forest.dealt(keyed, sizes, TOGETHER).join(classes.select("set", "fp"), "set")
+    count = sizes.agg(F.coalesce(F.sum(F.col("n_main") + F.col("n_rest")), F.lit(0))).first()[0]
+    parts = common.tasks(spark, count, lsh_forest.TASK_ROWS // 4)
 
     def run(table: pa.Table) -> pa.Table:
         codes = simhash.codes_of(table.column("fp").to_pylist())

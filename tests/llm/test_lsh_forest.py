@@ -122,3 +122,25 @@ def test_labels_use_every_hash_once_at_the_first_depth():
     first = lsh_forest.LABELS[:, : lsh_forest.DEPTH]
     assert sorted(first.ravel()) == list(range(lsh_forest.HASHES))
     assert all(len(set(own)) == lsh_forest.DEEPEST for own in lsh_forest.LABELS.tolist())
+
+
+def test_regions_deal_few_rows_for_one_large_component(spark):
+    """Members of the main component meet all others, but not each other; no two of the others are missed."""
+    main, rest = 400, 25
+    rows = [(1, f"m{i}".encode(), b"main") for i in range(main)] + [(1, f"r{i}".encode(), f"r{i % 20}".encode()) for i in range(rest)]
+    rows += [(2, f"q{i}".encode(), b"main") for i in range(30)]
+    members = spark.createDataFrame(rows, "region long, set binary, root binary")
+    got = lsh_forest.dealt(members, lsh_forest.shares(members), 40).collect()
+    assert len(got) <= 2 * main
+    cells = {}
+    for r in got:
+        cells.setdefault(r.cell, []).append(bytes(r.set))
+    met = {frozenset((a, b)) for own in cells.values() for a in own for b in own}
+    root = {s: r for _, s, r in rows if not s.startswith(b"q")}
+    assert all(frozenset((a, b)) in met for a in root for b in root if root[a] != root[b])
+    again = lsh_forest.dealt(members, lsh_forest.shares(members), 8).collect()
+    cells = {}
+    for r in again:
+        cells.setdefault(r.cell, []).append(bytes(r.set))
+    met = {frozenset((a, b)) for own in cells.values() for a in own for b in own}
+    assert all(frozenset((a, b)) in met for a in root for b in root if root[a] != root[b])
