@@ -40,7 +40,8 @@ def token_doc_frequency(spark, d):
 
 
 def token_pivot(spark, d):
-    wide = T.token_pivot(T.token_counts(basket(spark, d)), orders(spark, d), TYPES)
+    tokens = T.present(basket(spark, d)).select("entity_id", "token", F.lit(1).alias("n"))
+    wide = T.token_pivot(tokens, orders(spark, d), TYPES)
     return wide.select("entity_id", *[F.col(t).alias(t.lower()) for t in TYPES])
 
 

@@ -267,3 +267,21 @@ def test_class_report(spark):
     assert got["macro avg"]["f1"] == pytest.approx((0.5 + 2 / 3) / 3)
     assert got["weighted avg"]["f1"] == pytest.approx((0.5 * 2 + 2 / 3) / 4)
     assert got["accuracy"]["f1"] == 0.5
+
+
+def test_token_pivot_takes_several_rows_of_a_token(spark):
+    """Tokens need not be counted before, and entities without tokens or unknown ones are told apart."""
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "z", 1), (2, "b", 1), (9, "a", 1)], "entity_id long, token string, n long")
+    entities = spark.createDataFrame([(1,), (2,), (3,)], "entity_id long")
+    got = tokens.token_pivot(rows, entities, ["a", "b"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 0), (2, 0, 1), (3, 0, 0)]
+
+
+def test_distinct_tokens(spark):
+    """Rows of one entity are one; entities in one row each are not shuffled by entity and token."""
+    lists = spark.createDataFrame([(1, ["a", "b", "a", ""]), (2, ["a"]), (3, None), (None, ["a"])], "entity_id long, tokens array<string>")
+    got = tokens.distinct_tokens(lists)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "a")]
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    more = lists.unionAll(spark.createDataFrame([(1, ["a", "c"])], lists.schema))
+    assert sorted(tuple(r) for r in tokens.distinct_tokens(more).collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, "a")]
