@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from novelscape.catalog.bind import WORDS, documents, r6, table, words
+from novelscape.catalog.bind import WORDS, documents, r6, table, word_lists
 from novelscape.functions import text as S
 from novelscape.functions.classes import coarsen_classes, product_class
 from novelscape.operators.features import predicted_sizes
-from novelscape.operators.tokens import ENTITY
+from novelscape.operators.tokens import ENTITY, distinct_tokens
 from novelscape.plans.enrichment import rarest_tokens
 from novelscape.plans.members import prepare_members
 from novelscape.plans.novelty import predicted_entities
@@ -112,7 +112,7 @@ def predicted_size_features(spark, d):
 
 def rare_tokens(spark, d):
     ids = documents(spark, d).where("lang = 'fr'").select(ENTITY)
-    found = rarest_tokens(words(spark, d), ids)
+    found = rarest_tokens(distinct_tokens(word_lists(spark, d)), ids, distinct=True)
     return found.select(ENTITY, F.array_join(F.transform("rarest_tokens", lambda x: x["token"]), ";").alias("rarest"))
 
 

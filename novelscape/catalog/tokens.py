@@ -14,6 +14,7 @@ from novelscape.catalog.bind import (
     orders,
     r6,
     table,
+    word_lists,
     words,
     WORDS,
 )
@@ -143,7 +144,7 @@ def first_row_dedup(spark, d):
 
 
 def top_n_per_group(spark, d):
-    counts = T.token_counts(words(spark, d)).select("entity_id", "token")
+    counts = T.distinct_tokens(word_lists(spark, d))
     shares = T.document_frequency(counts)
     return T.top_per_group(counts.join(shares, "token"), "entity_id", ["n_entities", "token"], 6)
 

@@ -11,7 +11,7 @@ from novelscape.functions.tails import rank_sum_p_value
 from novelscape.functions.text import first_word
 from novelscape.operators.groups import contingency, enrichment, high_share, odds, two_group_tests
 from novelscape.operators.ordering import quantiles
-from novelscape.operators.tokens import ENTITY, document_share, token_counts, top_per_group
+from novelscape.operators.tokens import ENTITY, document_frequency, present, token_counts, top_per_group
 from novelscape.plans.report import beside, records
 from novelscape.session import settle
 
@@ -89,11 +89,16 @@ def with_genus(scores: DataFrame, organism: str = "organism") -> DataFrame:
     return scores.withColumn("genus", genus).withColumn("group", group_label(F.col("genus")))
 
 
-def rarest_tokens(tokens: DataFrame, ids: DataFrame, n: int = RAREST) -> DataFrame:
-    """Per entity of ``ids``, its ``n`` tokens that fewest entities have, as an array of structs."""
-    counts = settle(token_counts(tokens))
-    shares = document_share(counts)
-    chosen = counts.select(ENTITY, "token").join(ids.select(ENTITY), ENTITY, "left_semi").join(shares, "token")
+def rarest_tokens(tokens: DataFrame, ids: DataFrame, n: int = RAREST, distinct: bool = False) -> DataFrame:
+    """Per entity of ``ids``, its ``n`` tokens that fewest entities have, as an array of structs.
+
+    ``distinct`` tells that ``tokens`` has each token of an entity once, as ``distinct_tokens`` gives them.
+    """
+    once = (lambda rows: present(rows).select(ENTITY, "token")) if distinct else token_counts
+    # Only the tokens of the chosen entities are kept by entity; of all others no more than their number is.
+    total = present(tokens).select(F.countDistinct(ENTITY)).scalar()
+    shares = document_frequency(once(tokens)).withColumn("share", F.col("n_entities") / total)
+    chosen = once(tokens.join(ids.select(ENTITY), ENTITY, "left_semi")).select(ENTITY, "token").join(shares, "token")
     kept = top_per_group(chosen, ENTITY, ["n_entities", "token"], n)
     return kept.groupBy(ENTITY).agg(
         F.array_sort(F.collect_list(F.struct("n_entities", "token", "share"))).alias("rarest_tokens")
@@ -101,16 +106,16 @@ def rarest_tokens(tokens: DataFrame, ids: DataFrame, n: int = RAREST) -> DataFra
 
 
 def case_lookup(
-    ids: DataFrame, scores: DataFrame, entities: DataFrame, tokens: DataFrame, other_scores: DataFrame | None = None
+    ids: DataFrame, scores: DataFrame, entities: DataFrame, tokens: DataFrame, other_scores: DataFrame | None = None, distinct: bool = False
 ) -> DataFrame:
-    """Scores, attributes, nearest entity's attributes and rarest tokens of the entities in ``ids``."""
+    """Scores, attributes, nearest entity's attributes and rarest tokens of the entities in ``ids``; ``distinct`` as for these."""
     shown = [c for c in ("organism", "biosynth_class", "compounds", "n_genes", "domain_types") if c in entities.columns]
     rows = ids.select(ENTITY).join(
         scores.select(ENTITY, "novelty", "rank", "nearest_id", "neighbor_class"), ENTITY
     ).join(entities.select(ENTITY, *shown), ENTITY)
     near = [c for c in ("compounds", "organism") if c in entities.columns]
     side = entities.select(F.col(ENTITY).alias("nearest_id"), *[F.col(c).alias(f"nearest_{c}") for c in near])
-    rows = rows.join(side, "nearest_id", "left").join(rarest_tokens(tokens, ids), ENTITY, "left")
+    rows = rows.join(side, "nearest_id", "left").join(rarest_tokens(tokens, ids, distinct=distinct), ENTITY, "left")
     if other_scores is not None:
         other = other_scores.select(ENTITY, F.col("novelty").alias("novelty_other"))
         rows = rows.join(other, ENTITY, "left")
