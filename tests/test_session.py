@@ -14,7 +14,7 @@ def shuffle_files(spark) -> set[str]:
     return {str(p) for folder in folders for p in Path(folder).rglob("shuffle_*.data")}
 
 
-@pytest.mark.parametrize("stored", [session.stored, common.stored])
+@pytest.mark.parametrize("stored", [session.stored, session.settle, common.stored])
 def test_stored_drops_its_shuffles(spark, stored):
     known, name = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
