@@ -5,8 +5,9 @@ state store; a batch reads and scores the entities it touched only, from all of
 stream has run.  Readers take the latest scores of each entity.  Scores of a batch replace those that an earlier try of
 the same batch wrote.
 
-With a ``time`` column tokens may be late by ``delay``; the watermark drops later ones.  An entity that has been silent
-for ``keep`` beyond that is forgotten: its scores stay, and a token that comes after that begins the entity anew.
+Without a ``time`` column nothing is forgotten, and the state is that of a plain aggregation.  With one, tokens may be late
+by ``delay``; the watermark drops later ones.  An entity that has been silent for ``keep`` beyond that is forgotten: its
+scores stay, and a token that comes after that begins the entity anew.  Its timer costs a call of Python for each entity.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from novelscape.session import stored
 KEY = ("genome", "bgc_id", "predicted_class")
 
 
-def remember(keep: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+def remember(keep: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """All tokens of an entity so far, told again whenever more of them arrive; ``keep`` is in milliseconds."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,8 +42,7 @@ def remember(keep: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], Group
             tokens += frame["token"].tolist()
             until = max(until, int(frame["at"].max()))
         state.update((tokens, until))
-        if keep is not None:
-            state.setTimeoutTimestamp(max(until + keep, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(until + keep, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({**dict(zip(KEY, ([k] * len(tokens) for k in key))), "token": tokens})
 
     return run
@@ -52,16 +52,16 @@ def token_histories(tokens: DataFrame, time: str | None = None, delay: str = "1
     """Every batch's touched entities with all of their tokens so far; the columns but ``time`` are those of ``tokens``."""
     spark, told = tokens.sparkSession, [c for c in tokens.columns if c not in (*KEY, time)]
     known = tokens.where(" and ".join(f"{name} is not null" for name in KEY))
-    at, silent, limit = [F.lit(0).cast("long").alias("at")], None, GroupStateTimeout.NoTimeout
-    if time is not None:
-        known = known.where(F.col(time).isNotNull()).withWatermark(time, delay)
-        silent = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {keep})").first()[0]
-        at, limit = [F.unix_millis(time).alias("at"), F.col(time).alias("time")], GroupStateTimeout.EventTimeTimeout
     keys = [F.col(k).cast("string").alias(k) for k in KEY]
-    rows = known.select(*keys, F.to_json(F.struct(*told)).alias("token"), *at)
+    if time is None:
+        whole = known.select(*keys, F.struct(*told).alias("token")).groupBy(*KEY).agg(F.collect_list("token").alias("tokens"))
+        return whole.select(*KEY, F.inline("tokens"))
+    timed = known.where(F.col(time).isNotNull()).withWatermark(time, delay)
+    silent = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {keep})").first()[0]
+    rows = timed.select(*keys, F.to_json(F.struct(*told)).alias("token"), F.unix_millis(time).alias("at"), F.col(time).alias("time"))
     told_ = StructType([tokens.schema[c] for c in told])
-    texts = "genome string, bgc_id string, predicted_class string, token string"
-    found = rows.groupBy(*KEY).applyInPandasWithState(remember(silent), texts, "tokens array<string>, until long", "update", limit)
+    texts, state, limit = "genome string, bgc_id string, predicted_class string, token string", "tokens array<string>, until long", GroupStateTimeout.EventTimeTimeout
+    found = rows.groupBy(*KEY).applyInPandasWithState(remember(silent), texts, state, "update", limit)
     return found.select(*KEY, F.inline(F.array(F.from_json("token", told_))))
 
 

@@ -223,6 +223,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, twice.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
 
 
+def test_stream_histories_without_time(spark, tmp_path):
+    """A stream without a time column goes on with its state, keeps values as they are, and calls no Python for each entity."""
+    from novelscape.streaming.scoring import token_histories
+
+    schema = "genome string, bgc_id int, predicted_class string, gene_order timestamp, domain_id string, n_genes int"
+    source, seen = tmp_path / "in", []
+
+    def arrive(values):
+        frame = spark.sql(f"SELECT * FROM VALUES {values} AS t").toDF(*[c.split()[0] for c in schema.split(", ")])
+        frame.coalesce(1).write.mode("append").parquet(str(source))
+        keep = lambda batch, _: seen.append(sorted((r["bgc_id"], r["gene_order"].microsecond, r["domain_id"], r["n_genes"]) for r in batch.collect()))
+        found = token_histories(spark.readStream.schema(schema).parquet(str(source)))
+        query = found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return seen[-1], query._jsq.explainInternal(False)
+
+    at = "timestamp'2020-01-01 00:00:00.00000"
+    first, plan = arrive(f"('g', 1, 'c', {at}1', 'x', 3), ('g', 1, 'c', {at}2', 'x', 3), ('g', 2, 'c', {at}1', 'y', cast(null as int)), ('g', 3, null, {at}1', 'z', 1)")
+    assert first == [("1", 1, "x", 3), ("1", 2, "x", 3), ("2", 1, "y", None)]
+    assert "Python" not in plan and "Pandas" not in plan
+    assert arrive(f"('g', 1, 'c', {at}3', 'w', 3), ('g', 4, 'c', {at}1', 'v', 1)")[0] == [("1", 1, "x", 3), ("1", 2, "x", 3), ("1", 3, "w", 3), ("4", 1, "v", 1)]
+
+
 def test_stream_restarts_and_forgets(spark, tmp_path):
     """A stopped stream goes on with its state; late tokens are dropped, silent entities forgotten."""
     from novelscape.streaming.scoring import token_histories
