@@ -119,6 +119,22 @@ def test_neighbors_equal_brute_force(spark, monkeypatch, cut):
         assert np.allclose(got[column], expected, atol=1e-12)
 
 
+def test_blocks_look_at_few_references_twice():
+    """A block's k best equal brute force, ties by id; beside them few references are compared in double precision."""
+    rng = np.random.default_rng(8)
+    r = np.vstack([rng.normal(size=(5000, 6)), np.round(rng.normal(size=(1501, 6)))])
+    q, ids = r[rng.permutation(len(r))[:300]], rng.permutation(len(r))
+    rows, cols, dist = neighbors._k_best(np.arange(300), q, ids + 1000, r, 5, False)
+    far = np.sqrt(((q[:, None] - r[None]) ** 2).sum(2))
+    order = np.lexsort((np.broadcast_to(ids, far.shape), far))[:, :5]
+    assert cols.reshape(300, 5).tolist() == order.tolist() and rows.tolist() == np.repeat(np.arange(300), 5).tolist()
+    assert np.allclose(dist.reshape(300, 5), np.take_along_axis(far, order, 1))
+    score = rng.normal(size=(64, 32768)).astype(np.float32)
+    rows, cols = neighbors._lowest(score, 5, 64, np.zeros(64))
+    found = set(zip(rows.tolist(), cols.tolist()))
+    assert all((i, j) in found for i in range(64) for j in np.argsort(score[i])[:5].tolist()) and len(found) < 64 * 8
+
+
 @pytest.mark.parametrize("scale", [1e-20, 1e25])
 def test_neighbors_at_any_scale(spark, scale):
     z = np.random.default_rng(8).normal(size=(80, 4)) * scale + 1e3 * scale
