@@ -143,7 +143,10 @@ def labelled(classes: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """``rows`` with crowded regions gone deeper, hash by hash; ``part`` is set in those that are crowded at the last depth."""
+    """``rows`` with crowded regions gone deeper, hash by hash; ``part`` is set in those that are crowded at the last depth.
+
+    ``rows`` may be made anew by each of a few readers; those of crowded regions are stored.
+    """
     out, part = [], F.lit(None).cast("long").alias("part")
     for _ in range(DEPTH, DEEPEST):
         counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
@@ -153,6 +156,7 @@ def regions(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
         out.append(rows.join(heavy, "region", "left_anti").select("*", part))
         rows = rows.join(heavy, "region", "left_semi")
         rows = rows.select(F.xxhash64("region", F.substring("label", 1, 4)).alias("region"), F.expr("substring(label, 5)").alias("label"), "set")
+        rows = common.stored(rows)
     counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
     parts = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / crowd)))
     return reduce(DataFrame.unionByName, [*out, rows.join(counts, "region").withColumn("part", parts).drop("n")])
@@ -343,9 +347,10 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, crowd: int = CROWD) -> DataFrame:
     """``node, root``: the component of each class that is not the smallest of one."""
-    rows = common.stored(labelled(classes))
-    parts = common.tasks(docs.sparkSession, TREES * classes.count(), TASK_ROWS)
-    found = common.stored(neighbors(regions(rows, crowd), parts))
+    spark = docs.sparkSession
+    parts = common.tasks(spark, TREES * classes.count(), TASK_ROWS)
+    path = common.scratch(spark)
+    found = common.stored(neighbors(regions(labelled(classes), crowd), parts), path)
     pairs = found.where("v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "prefix")
     best = common.stored(pairs.groupBy("u").agg(F.max_by("v", F.struct("prefix", "v")).alias("v")))
     wanted = best.select(F.col("u").alias("set")).union(best.select("v"))
@@ -354,6 +359,7 @@ def linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, crow
     members = found.where("v is null").select("region", F.col("u").alias("set"))
     members = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     members = common.stored(members)
+    common.drop(spark, path)
     open_ = common.stored(apart(members, common.stored(shares(members)), classes, allowed(percent)))
     if open_.isEmpty():
         return roots
@@ -363,9 +369,14 @@ def linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, crow
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; a component is named by its smallest ``doc_id``."""
-    own = common.stored(signed(docs, shingle))
+    spark = docs.sparkSession
+    path = common.scratch(spark)
+    own = common.stored(signed(docs, shingle), path)
     classes = own.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
     classes = common.stored(classes)
+    # Of the rows only their classes are kept, as signatures are with those.
+    own = common.stored(own.drop("signature"))
+    common.drop(spark, path)
     roots = linked(docs, classes, shingle, percent)
     rooted = classes.select("set", "least").join(roots, classes["set"] == roots.node, "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,9 +1,10 @@
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 
-from novelscape.llm import lsh_forest
+from novelscape.llm import common, lsh_forest
 from tests.llm import edge
 
 
@@ -144,3 +145,21 @@ def test_regions_deal_few_rows_for_one_large_component(spark):
         cells.setdefault(r.cell, []).append(bytes(r.set))
     met = {frozenset((a, b)) for own in cells.values() for a in own for b in own}
     assert all(frozenset((a, b)) in met for a in root for b in root if root[a] != root[b])
+
+
+def test_tables_are_dropped_after_use(spark, monkeypatch):
+    """Labels are not stored, and of the tables of signatures and of neighbors none is left that nothing reads any more."""
+    known, original = [], common.stored
+
+    def stored(df, path=None):
+        path = path or common.scratch(df.sparkSession)
+        known.append((path, set(df.columns)))
+        return original(df, path)
+
+    monkeypatch.setattr(common, "stored", stored)
+    docs = spark.createDataFrame([(i, f"{i // 3} " + " ".join(f"w{i // 3}x{j}" for j in range(60)) + f" {i % 3}") for i in range(30)], "doc_id long, text string")
+    out = lsh_forest.near_duplicates(docs).collect()
+    assert sorted(r["component_id"] for r in out) == [i // 3 * 3 for i in range(30)]
+    left = [columns for path, columns in known if os.path.exists(path.removeprefix("file:"))]
+    assert not any("label" in columns or "prefix" in columns for columns in left)
+    assert sum("signature" in columns for columns in left) == 1
