@@ -6,11 +6,13 @@ that agree in the first four are a region. A region with too many classes goes o
 adapts to how crowded a region is. Two sets with a similarity of 0.85 share no region at depth 4 in 1 of 10^10 cases, at
 depth 6 in 1 of 10^6 and at depth 8 in 4 of 10^5; regions that are still crowded there are compared part by part.
 
-Links are found in two steps. First each class is compared with its best neighbor in the sorted orders, that with the
+Links are found in three steps. First each class is compared with its best neighbor in the sorted orders, that with the
 longest common prefix. What these confirmed links leave apart is compared within each region: pairs of different
-components whose signatures allow the similarity (five deviations below it) have their full sets compared, many against
-many in one task; members of a region's main component meet those of others only. A link counts only if the sets say so in whole numbers; sets are made again from the texts of the
-classes in question, found by a bitmap of fixed size. Tasks return links that hang classes together, never all pairs.
+components whose signatures allow the similarity (five deviations below it) are candidates, each in the first region that
+the two share. Then each class is compared with the candidate whose signature agrees most, and what is still apart has its
+full sets compared, many against many in one task; members of a region's main component meet those of others only. A link
+counts only if the sets say so in whole numbers; sets are made again from the texts of the classes in question, found by a
+bitmap of fixed size. Tasks return links that hang classes together, never all pairs.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have one shingle,
 the whole text. A null ``doc_id`` belongs to the component of its set, but does not name it; a component of such rows has a
@@ -125,6 +127,25 @@ def fixed(values: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(values), [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def keys(codes: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """The regions at a depth of a tree, whose number is in the lowest bits."""
+    key = np.full(len(codes), tree, dtype=np.uint64)
+    for at in LABELS[tree, :depth]:
+        key = mixed(key * np.uint64(_ODD) + codes[:, at])
+    return (key & ~np.uint64(TREES - 1) | np.uint64(tree)).view(np.int64)
+
+
+def homes(codes: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Keys by tree: two classes with the same one share a region of that tree. A ``crowded`` region is gone deeper, so
+    that the last depth is what is known to be shared."""
+    out = np.empty((len(codes), TREES), dtype=np.int64)
+    for tree in range(TREES):
+        out[:, tree] = keys(codes, tree, DEPTH)
+        deep = np.isin(out[:, tree], crowded)
+        out[deep, tree] = keys(codes[deep], tree, DEEPEST)
+    return out
+
+
 def labelled(classes: DataFrame) -> DataFrame:
     """``region, label, set`` of each class in each tree; the label is what follows the region's hashes."""
 
@@ -134,32 +155,34 @@ def labelled(classes: DataFrame) -> DataFrame:
                 continue
             codes = matrix(batch.column("signature").to_pylist(), "<u4", HASHES)
             for tree, own in enumerate(LABELS):
-                key = np.full(len(codes), tree, dtype=np.uint64)
-                for at in own[:DEPTH]:
-                    key = mixed(key * np.uint64(_ODD) + codes[:, at])
-                yield pa.record_batch([pa.array(key.view(np.int64)), fixed(codes[:, own[DEPTH:]].astype(">u4")), batch.column("set")], names=["region", "label", "set"])
+                yield pa.record_batch([pa.array(keys(codes, tree, DEPTH)), fixed(codes[:, own[DEPTH:]].astype(">u4")), batch.column("set")], names=["region", "label", "set"])
 
     return classes.select("set", "signature").mapInArrow(run, "region long, label binary, set binary")
 
 
-def regions(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+def regions(rows: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, np.ndarray]:
     """``rows`` with crowded regions gone deeper, hash by hash; ``part`` is set in those that are crowded at the last depth.
+    And the regions that are crowded at the first depth, one for each ``crowd`` of its rows at most.
 
     ``rows`` may be made anew by each of a few readers; those of crowded regions are stored.
     """
-    out, part = [], F.lit(None).cast("long").alias("part")
+    out, part, crowded = [], F.lit(None).cast("long").alias("part"), None
     for _ in range(DEPTH, DEEPEST):
         counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
         heavy = common.stored(counts.where(F.col("n") > crowd))
+        if crowded is None:
+            crowded = np.asarray(heavy.select("region").toArrow().column("region"), dtype=np.int64)
         if heavy.isEmpty():
-            return reduce(DataFrame.unionByName, [*out, rows.select("*", part)])
+            return reduce(DataFrame.unionByName, [*out, rows.select("*", part)]), crowded
         out.append(rows.join(heavy, "region", "left_anti").select("*", part))
         rows = rows.join(heavy, "region", "left_semi")
-        rows = rows.select(F.xxhash64("region", F.substring("label", 1, 4)).alias("region"), F.expr("substring(label, 5)").alias("label"), "set")
+        tree = F.col("region").bitwiseAND(F.lit(TREES - 1))
+        deeper = F.xxhash64("region", F.substring("label", 1, 4)).bitwiseAND(F.lit(-TREES)).bitwiseOR(tree)
+        rows = rows.select(deeper.alias("region"), F.expr("substring(label, 5)").alias("label"), "set")
         rows = common.stored(rows)
     counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
     parts = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / crowd)))
-    return reduce(DataFrame.unionByName, [*out, rows.join(counts, "region").withColumn("part", parts).drop("n")])
+    return reduce(DataFrame.unionByName, [*out, rows.join(counts, "region").withColumn("part", parts).drop("n")]), crowded
 
 
 def neighbors(rows: DataFrame, parts: int) -> DataFrame:
@@ -211,6 +234,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return made.join(wanted.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
+def of_marked(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set, signature`` of the wanted classes, and of a few others that share their bits."""
+    bitmap = common.bitmap(wanted.select("set"), lambda batch: mark(batch.column("set").to_pylist()), MARKS)
+    shared = classes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(common.in_bitmap(shared.value, mark(batch.column("set").to_pylist()))))
+
+    return classes.select("set", "signature").mapInArrow(run, "set binary, signature binary")
+
+
 def alike(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the intersection is ``percent`` of the union at least."""
     return 100 * inter >= percent * (a + b - inter)
@@ -249,6 +284,11 @@ def shares(members: DataFrame) -> DataFrame:
 def dealt(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """``members`` (``region, set, root``) with ``cell``: each two of a region's different components meet in one, of ``2 * most``
     or so at most. The main component's members need to meet the others only, so there are as many cells as those ask for."""
+    return celled(members, sizes, most).withColumn("cell", F.explode("cells")).select(*members.columns, "cell")
+
+
+def celled(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """``members`` with ``cells``, those that each is in."""
     rows = members.join(sizes, "region").withColumn("is_main", F.col("root") == F.col("main"))
     rows = rows.withColumn("a", F.ceil(F.col("n_main") / most).cast("int")).withColumn("b", F.ceil(F.col("n_rest") / most).cast("int"))
     is_main, own = F.col("is_main"), F.col("own")
@@ -259,7 +299,7 @@ def dealt(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     )
     among = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.xxhash64("region", F.least(own, o), F.greatest(own, o), F.lit(1)))
     cells = F.when(is_main | (F.col("b") == 1), across).otherwise(F.concat(across, among))
-    return rows.withColumn("cell", F.explode(cells)).select(*members.columns, "cell")
+    return rows.withColumn("cells", cells).select(*members.columns, "cells")
 
 
 def allowed(percent: int) -> int:
@@ -280,39 +320,61 @@ def others(label: np.ndarray) -> np.ndarray:
     return np.flatnonzero(label != np.bincount(label).argmax())
 
 
-def apart(members: DataFrame, sizes: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """``region, set, root`` of members that a signature of another component in their region may be similar to."""
-    rows = dealt(members, sizes, SIGNED).join(classes.select("set", "signature"), "set")
+def apart(members: DataFrame, classes: DataFrame, crowded: np.ndarray, least: int) -> DataFrame:
+    """``region, set, root, mate, agree`` of members that a signature of another component in their region may be similar to,
+    with the one that agrees most; a pair counts in the first tree that has it in one region. Members of several cells repeat."""
+    spark = members.sparkSession
+    sizes = common.stored(shares(members))
+    open_ = members.join(sizes.select("region"), "region", "left_semi")
+    rows = dealt(members, sizes, SIGNED).join(of_marked(classes, open_), "set")
     count = sizes.agg(F.coalesce(F.sum(F.col("n_main") + F.col("n_rest")), F.lit(0))).first()[0]
-    parts = common.tasks(rows.sparkSession, count, TASK_ROWS // 4)
+    parts = common.tasks(spark, count, TASK_ROWS // 4)
+    shared = spark.sparkContext.broadcast(crowded)
 
     def run(table: pa.Table) -> pa.Table:
         codes = matrix(table.column("signature").to_pylist(), "<u4", HASHES)
         _, root = np.unique(np.array(table.column("root").to_pylist(), dtype="S16"), return_inverse=True)
-        found = [np.zeros(0, dtype=np.int64)]
+        trees = np.asarray(table.column("region"), dtype=np.int64) & (TREES - 1)
+        home = homes(codes, shared.value)
+        found, mates, most = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for cell in cells_of(table):
-            own, near = codes[cell], np.zeros(len(cell), dtype=bool)
+            own, before = codes[cell], home[cell, : trees[cell[0]]]
             label = np.unique(root[cell], return_inverse=True)[1]
             rest = others(label)
+            best, mate = np.zeros(len(cell), dtype=np.uint8), np.zeros(len(cell), dtype=np.int64)
             for at in range(0, len(rest), 64):
                 some = rest[at : at + 64]
-                agree = np.zeros((len(own[some]), len(own)), dtype=np.uint8)
+                agree = np.zeros((len(some), len(own)), dtype=np.uint8)
                 for h in range(HASHES):
                     agree += own[some, h, None] == own[None, :, h]
-                both = (agree >= least) & (label[some, None] != label[None, :])
-                near |= both.any(axis=0)
-                near[some] |= both.any(axis=1)
+                agree[(agree < least) | (label[some, None] == label[None, :])] = 0
+                x, y = np.nonzero(agree)
+                for low in range(0, len(x), 1 << 16):
+                    i, j = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
+                    known = (before[some[i]] == before[j]).any(axis=1)
+                    agree[i[known], j[known]] = 0
+                for near, who, which in ((agree.max(axis=0), some[agree.argmax(axis=0)], np.arange(len(cell))), (agree.max(axis=1), agree.argmax(axis=1), some)):
+                    more = near > best[which]
+                    best[which[more]], mate[which[more]] = near[more], who[more]
+            near = np.flatnonzero(best)
             found.append(cell[near])
-        at = pa.array(np.concatenate(found))
-        return table.select(["region", "set", "root"]).take(at)
+            mates.append(cell[mate[near]])
+            most.append(best[near].astype(np.int64))
+        out = table.select(["region", "set", "root"]).take(pa.array(np.concatenate(found)))
+        out = out.append_column("mate", table.column("set").take(pa.array(np.concatenate(mates))))
+        return out.append_column("agree", pa.array(np.concatenate(most), pa.int32()))
 
-    return rows.groupBy(F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("task")).applyInArrow(run, "region long, set binary, root binary").distinct()
+    task = F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("task")
+    return rows.groupBy(task).applyInArrow(run, "region long, set binary, root binary, mate binary, agree int")
 
 
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``u, v``: links of full sets that join what is apart in a region."""
-    rows = dealt(members, shares(members), WHOLE).join(sets, "set")
-    weight = rows.agg(F.coalesce(F.sum(F.length("shingles") + 100), F.lit(0))).first()[0]
+    shared = common.stored(shares(members))
+    rows = dealt(members, shared, WHOLE).join(sets, "set")
+    # Weighed before the sets are dealt out to cells.
+    copies = celled(members, shared, WHOLE).groupBy("set").agg(F.sum(F.size("cells")).alias("n"))
+    weight = copies.join(sets, "set").agg(F.coalesce(F.sum(F.col("n") * (F.length("shingles") + 100)), F.lit(0))).first()[0]
     parts = common.tasks(rows.sparkSession, weight, TASK_BYTES)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -350,21 +412,37 @@ def linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, crow
     spark = docs.sparkSession
     parts = common.tasks(spark, TREES * classes.count(), TASK_ROWS)
     path = common.scratch(spark)
-    found = common.stored(neighbors(regions(labelled(classes), crowd), parts), path)
+    dense, crowded = regions(labelled(classes), crowd)
+    found = common.stored(neighbors(dense, parts), path)
     pairs = found.where("v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "prefix")
     best = common.stored(pairs.groupBy("u").agg(F.max_by("v", F.struct("prefix", "v")).alias("v")))
     wanted = best.select(F.col("u").alias("set")).union(best.select("v"))
-    links = common.stored(confirmed(best, full_sets(docs, wanted, shingle), percent))
-    roots = components(links)
-    members = found.where("v is null").select("region", F.col("u").alias("set"))
-    members = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    members = common.stored(members)
+    roots = components(common.stored(confirmed(best, full_sets(docs, wanted, shingle), percent)))
+    members = rooted(found.where("v is null").select("region", F.col("u").alias("set")), roots)
     common.drop(spark, path)
-    open_ = common.stored(apart(members, common.stored(shares(members)), classes, allowed(percent)))
+    open_ = common.stored(apart(members, classes, crowded, allowed(percent)))
+    if open_.isEmpty():
+        return roots
+    sets = common.stored(full_sets(docs, open_, shingle))
+    best = open_.groupBy("set").agg(F.max_by("mate", F.struct("agree", "mate")).alias("mate"))
+    best = common.stored(best.select(F.greatest("set", "mate").alias("u"), F.least("set", "mate").alias("v")).distinct())
+    roots = joined(roots, confirmed(best, sets, percent))
+    members = rooted(open_.select("region", "set").distinct(), roots)
+    open_ = common.stored(apart(members, classes, crowded, allowed(percent)))
     if open_.isEmpty():
         return roots
-    more = compared(open_, common.stored(full_sets(docs, open_, shingle)), percent)
-    return components(links.union(common.stored(more)))
+    return joined(roots, compared(open_.select("region", "set", "root").distinct(), sets, percent))
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``region, set, root`` of members (``region, set``); a class that hangs on no other is its own root."""
+    found = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    return common.stored(found.select("region", "set", "root"))
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``roots`` and more links."""
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(common.stored(links)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -163,3 +163,35 @@ def test_tables_are_dropped_after_use(spark, monkeypatch):
     left = [columns for path, columns in known if os.path.exists(path.removeprefix("file:"))]
     assert not any("label" in columns or "prefix" in columns for columns in left)
     assert sum("signature" in columns for columns in left) == 1
+
+
+def test_candidates_are_compared_in_one_region(spark, monkeypatch):
+    """Sets somewhat less similar than asked for share most trees, but are sent to few regions for their full comparison."""
+    draw = random.Random(8)
+    base = prose(draw, 200)
+    rows = [(i, " ".join(changed(draw, base, 4)), "en", "s") for i in range(30)]
+    sent, original = [], lsh_forest.compared
+
+    def compared(members, sets, percent):
+        sent.append((members.count(), members.select("set").distinct().count()))
+        return original(members, sets, percent)
+
+    monkeypatch.setattr(lsh_forest, "compared", compared)
+    assert got(spark, rows) == plain(rows)
+    ((members, classes),) = sent
+    assert classes > 20 and members <= 10 * classes
+
+
+def test_homes():
+    """Two classes with one home of a tree share its region; below a crowded one they do so at the last depth."""
+    codes = np.random.default_rng(1).integers(0, 3, (400, lsh_forest.HASHES), dtype=np.uint32)
+    none = np.zeros(0, dtype=np.int64)
+    crowded = lsh_forest.keys(codes[:9], 5, lsh_forest.DEPTH)
+    for full in (none, crowded):
+        home = lsh_forest.homes(codes, full)
+        for tree in (0, 5, 31):
+            label = codes[:, lsh_forest.LABELS[tree]]
+            same = (label[:, None, : lsh_forest.DEPTH] == label[None, :, : lsh_forest.DEPTH]).all(axis=2)
+            deep = np.isin(lsh_forest.keys(codes, tree, lsh_forest.DEPTH), full)
+            same &= ~deep[:, None] | (label[:, None] == label[None, :]).all(axis=2)
+            assert ((home[:, None, tree] == home[None, :, tree]) == same).all()
