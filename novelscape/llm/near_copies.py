@@ -67,7 +67,7 @@ def open_regions(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``region, set, root`` of classes (``set, fp, root``) near one of another component in their block value."""
     spark = classes.sparkSession
     blocks = {-1: [(b, *own[0]) for b, own in enumerate(simhash.blocks_of(WORDS, distance))]}
-    keyed = simhash.dealt(classes.select("fp").distinct(), blocks).join(classes, "fp")
+    keyed = simhash.dealt(classes, blocks, keep=("set", "root"))
     keyed = common.stored(keyed.select(F.xxhash64("block", "value").alias("region"), "set", "root"))
     sizes = common.stored(lsh_forest.shares(keyed))
     rows = lsh_forest.dealt(keyed, sizes, TOGETHER).join(classes.select("set", "fp"), "set")

@@ -103,10 +103,11 @@ def share_out(bits: list[int], n: int) -> list[int]:
     return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
-def dealt(fps: DataFrame, blocks: dict[int, list[tuple[int, int, int]]], by: str | None = None) -> DataFrame:
-    """``fp, block, value`` of each fingerprint in each block.
+def dealt(fps: DataFrame, blocks: dict[int, list[tuple[int, int, int]]], by: str | None = None, keep: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """The binary columns ``keep``, ``block, value`` of each fingerprint in each block.
 
     ``blocks`` has lists of (number, word, mask); with ``by``, the list of the number in that column is taken, else that of -1.
+    Spark takes the result to be as small as ``fps``, so it is not to be joined with what could have been kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +118,11 @@ def dealt(fps: DataFrame, blocks: dict[int, list[tuple[int, int, int]]], by: str
                 rows = np.flatnonzero(mine == number)
                 for block, word, mask in own if len(rows) else ():
                     value = (codes[rows, word] & np.uint64(mask)).view(np.int64)
-                    yield pa.record_batch([batch.column("fp").take(pa.array(rows)), pa.array(np.full(len(rows), block), pa.int32()), pa.array(value)], names=["fp", "block", "value"])
+                    own_rows = [batch.column(c).take(pa.array(rows)) for c in keep]
+                    yield pa.record_batch([*own_rows, pa.array(np.full(len(rows), block), pa.int32()), pa.array(value)], names=[*keep, "block", "value"])
 
-    return fps.select("fp", *[by] * bool(by)).mapInArrow(run, "fp binary, block int, value long")
+    columns = dict.fromkeys(["fp", *keep, *[by] * bool(by)])
+    return fps.select(*columns).mapInArrow(run, f"{''.join(f'{c} binary, ' for c in keep)}block int, value long")
 
 
 def codes_of(fps: list[bytes]) -> np.ndarray:

@@ -176,6 +176,20 @@ def test_near_copies_of_crowds(spark):
     assert sorted(r.doc_id for r in stay) == sorted({5 * x for x in got})
 
 
+def test_dealt_classes_are_not_joined(spark, monkeypatch):
+    """A class is dealt to 64 blocks; Spark takes that for one row and sends the side of a join to the driver and all tasks."""
+    draw, plans = np.random.default_rng(5), []
+    codes = [draw.bytes(64) for _ in range(40)]
+    codes += [bytes([c[0] ^ 1, *c[1:]]) for c in codes[:20]]
+    rows = [(f"{i:016d}".encode(), c, f"{i // 2 if 20 <= i < 40 else i:016d}".encode()) for i, c in enumerate(codes)]
+    stored = near_copies.common.stored
+    monkeypatch.setattr(near_copies.common, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, *a))
+    found = near_copies.open_regions(spark.createDataFrame(rows, "set binary, fp binary, root binary")).collect()
+    assert {int(bytes(r.set)) for r in found} == {*range(20), *range(40, 60)}
+    assert {bytes(r.set): bytes(r.root) for r in found} == {s: root for s, _, root in rows if int(s) < 20 or int(s) >= 40}
+    assert "MapInArrow" in plans[0] and "Join" not in plans[0]
+
+
 def test_repeated_words_are_no_copies(spark):
     """Texts that are for the most part one shingle, again and again, differ in their sets."""
     rows = [(i, "x " * 400 + " ".join(f"t{i}-{k}" for k in range(60)), None, None) for i in range(6)]
