@@ -135,6 +135,26 @@ def test_blocks_look_at_few_references_twice():
     assert all((i, j) in found for i in range(64) for j in np.argsort(score[i])[:5].tolist()) and len(found) < 64 * 8
 
 
+def test_blocks_are_read_not_shuffled(spark, monkeypatch):
+    """Blocks are checkpointed once, and copies of a vector are shuffled by name only."""
+    monkeypatch.setattr(neighbors, "MIN_BLOCK", 64)
+    z = np.random.default_rng(4).normal(size=(400, 3))
+    rows = [(i + 1000 * copy, [float(x) for x in row]) for copy in range(3) for i, row in enumerate(z)]
+    rows += [(7, [0.0, 0.0, 0.0]), (7, [-0.0, 0.0, 0.0]), (9, [0.0, 0.0, 0.0]), (7, [5.0, 5.0, 5.0])]
+    found = neighbors.collapse(spark.createDataFrame(rows, "entity_id long, z array<double>"))
+    known = {r["point"]: (r["last"], r["copies"]) for r in found.points.collect() if r["copies"] == 3 and r["point"] != 7}
+    assert known == {i: (i + 2000, 3) for i in range(400) if i != 7}
+    assert sorted((list(map(abs, r["z"])), r["last"], r["copies"]) for r in found.points.where("point = 7").collect()) == sorted(
+        [([0.0] * 3, 9, 3), ([5.0] * 3, 7, 1), (list(map(abs, rows[7][1])), 2007, 3)]
+    )
+    assert found.members.columns == ["entity_id", "_key", "_more"] and found.members.count() == len(rows)
+    once = found.points.where("point <> 7").localCheckpoint()
+    near = neighbors.nearest_points(once, once, 5, True, 399, 399)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.index("Exchange") < plan.index("CartesianProduct") and plan.count("Exchange ") == 1
+    assert near.count() == 399 * 5
+
+
 @pytest.mark.parametrize("scale", [1e-20, 1e25])
 def test_neighbors_at_any_scale(spark, scale):
     z = np.random.default_rng(8).normal(size=(80, 4)) * scale + 1e3 * scale
