@@ -99,7 +99,7 @@ def first_word(text: Column) -> Column:
 
 def clean_sequence(text: Column) -> Column:
     """Upper-case letters A-Z only."""
-    return F.regexp_replace(F.upper(text), "[^A-Z]", "")
+    return F.regexp_replace(F.upper(text), "[^A-Z]+", "")
 
 
 def cut_sequence(text: Column, length: int = MAX_MEMBER_LENGTH) -> Column:

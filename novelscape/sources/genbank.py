@@ -13,8 +13,8 @@ from novelscape.config import MIN_MEMBER_LENGTH
 from novelscape.functions.classes import product_class
 from novelscape.functions.text import PREDICTED_LENGTH, accession, clean_id, first_word, label_tokens, product_tokens, strip
 from novelscape.operators.ordering import sequence
-from novelscape.operators.tokens import running_flag, top_per_group
-from novelscape.session import settle
+from novelscape.operators.tokens import top_per_group
+from novelscape.session import settle, stored
 
 #: Both kinds of line ends follow it.
 RECORD_END = "\n//"
@@ -47,13 +47,18 @@ def read_records(spark: SparkSession, paths: str | list[str], suffixes: tuple[st
     return sequence(rows, ["path"], ["_block", "_line"], "record_no").drop("_block", "_line")
 
 
-def _section(content: Column, start: str, stop: str) -> Column:
-    """The lines behind the one that begins with ``start``, up to one that begins with a ``stop``; ``''`` without it."""
-    at = F.instr(content, F.lit(f"\n{start}"))
-    rest = F.substring(content, at + 1, F.length(content))
-    lines = F.substring(rest, F.instr(rest, F.lit("\n")), F.length(rest))
-    found = F.get(F.split(lines, rf"\n(?:{stop})", 2), 0)
-    return F.when((at > 0) & (F.instr(rest, F.lit("\n")) > 0), F.substring(found, 2, F.length(found))).otherwise("")
+def _section(content: Column, start: str, *stops: str) -> Column:
+    """The lines behind the one that begins with ``start``, up to one that begins with one of ``stops``; ``''`` without it.
+
+    Plain searches only: records are long, and regular expressions took most of the time.
+    """
+    before = F.length(F.substring_index(content, f"\n{start}", 1))
+    rest = F.substring(content, before + 2, F.length(content))
+    first = F.length(F.substring_index(rest, "\n", 1))
+    found = F.substring(rest, first + 1, F.length(rest))
+    for stop in stops:
+        found = F.substring_index(found, f"\n{stop}", 1)
+    return F.substring(found, 2, F.length(found))
 
 
 def _field(content: Column, name: str) -> Column:
@@ -62,7 +67,7 @@ def _field(content: Column, name: str) -> Column:
 
 def record_heads(records: DataFrame) -> DataFrame:
     """Add ``record_name``, ``record_id`` and ``nt_length``."""
-    bases = F.length(F.regexp_replace(_section(F.col("content"), "ORIGIN", "//"), "[^A-Za-z]", ""))
+    bases = F.length(F.regexp_replace(_section(F.col("content"), "ORIGIN", "//"), "[^A-Za-z]+", ""))
     stated = F.regexp_extract("content", r"(?m)^LOCUS +\S+ +(\d+) bp", 1).try_cast("int")
     name = _field(F.col("content"), "LOCUS")
     version, acc = _field(F.col("content"), "VERSION"), _field(F.col("content"), "ACCESSION")
@@ -89,10 +94,38 @@ def features(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``first`` is 0-based, so ``last - first`` is the span over all parts of the location.
     """
     keep = keep if keep is not None else [c for c in records.columns if c != "content"]
-    table = F.concat(F.lit("\n"), _section(F.col("content"), "FEATURES", "ORIGIN|CONTIG|BASE COUNT|WGS|//"))
     # The outer form spares a second evaluation of the split by an inferred filter.
-    blocks = records.select(*keep, F.posexplode_outer(F.split(table, r"\n(?= {5}\S)")).alias("pos", "_block"))
-    split = blocks.where("pos > 0").withColumn("_parts", F.split("_block", r"\n {21}/"))
+    blocks = records.select(*keep, F.posexplode_outer(_blocks(F.col("content"))).alias("pos", "_block"))
+    return _parsed(blocks.where("pos > 0"), keep)
+
+
+def _blocks(content: Column) -> Column:
+    """The feature table cut before each feature; the first part is what precedes all of them."""
+    table = F.concat(F.lit("\n"), _section(content, "FEATURES", "ORIGIN", "CONTIG", "BASE COUNT", "WGS", "//"))
+    return F.split(table, r"\n(?= {5}\S)")
+
+
+def numbered_features(records: DataFrame, keep: list[str]) -> DataFrame:
+    """As ``features``, with ``gene_order``: how many CDS features the record has up to and including each one.
+
+    They are counted within the record's row, so nothing is shuffled.  A row with ``pos`` 0 (null without content) stands for the record.
+    """
+    cut = records.select(*keep, _blocks(F.col("content")).alias("_blocks"))
+    genes = F.filter(
+        F.transform("_blocks", lambda b, i: F.when((i > 0) & b.rlike(r"\A *CDS(?!\S)"), i)), lambda i: i.isNotNull()
+    )
+    cut = cut.withColumn("_runs", F.concat(F.array(F.lit(0)), genes))
+
+    def run(start: Column, number: Column) -> Column:
+        stop = F.coalesce(F.get("_runs", number + 1), F.size("_blocks"))
+        own = F.slice("_blocks", start + 1, stop - start)
+        return F.transform(own, lambda b, i: F.struct(number.cast("long").alias("gene_order"), (start + i).alias("pos"), b.alias("_block")))
+
+    return _parsed(cut.select(*keep, F.inline_outer(F.flatten(F.transform("_runs", run)))), [*keep, "gene_order"])
+
+
+def _parsed(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    split = blocks.withColumn("_parts", F.split("_block", r"\n {21}/"))
     head = F.get("_parts", 0)
     location = F.regexp_replace(F.regexp_extract(head, r"(?s)^ *\S+\s+(.*)$", 1), r"\s", "")
     bounds = F.transform(
@@ -130,14 +163,16 @@ def curated_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     named = F.regexp_extract("record_name", r"(BGC\d+)", 1)
     ident = F.when(found != "", found).when(named != "", named).otherwise(accession(F.col("record_id")))
     keyed = heads.withColumn("entity_id", ident)
-    rows = features(keyed, ["path", "entity_id", "nt_length"])
-    typed = rows.where(F.col("type").isin(*TOKEN_TYPES))
-    numbered = running_flag(typed, F.col("type") == "CDS", "path", ["pos"])
-    is_cds = F.col("type") == "CDS"
+    rows = numbered_features(keyed, ["path", "entity_id", "nt_length"])
+    head = F.coalesce("pos", F.lit(0)) == 0
+    numbered = rows.where(head | F.col("type").isin(*TOKEN_TYPES))
+    is_cds = ~head & (F.col("type") == "CDS")
     translation = F.coalesce(first_value("translation"), F.lit(""))
     described = numbered.select(
         "path",
         "entity_id",
+        "nt_length",
+        head.alias("is_head"),
         "pos",
         is_cds.alias("is_cds"),
         "gene_order",
@@ -150,15 +185,17 @@ def curated_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         .otherwise(F.greatest(F.lit(0), F.floor((F.col("last") - F.col("first")) / 3)))
         .cast("int")
         .alias("aa_size"),
-        F.flatten(F.array(*[values(k) for k in LABEL_KEYS])).alias("_labels"),
+        F.when(~head & ~is_cds, F.flatten(F.array(*[values(k) for k in LABEL_KEYS]))).alias("_labels"),
     )
+    # Parsed once, read several times; tokens are looked for by those who ask for them.
+    known = stored(described)
+    described = known.where("not is_head").drop("is_head", "nt_length")
     tagged = described.withColumn(
         "_tokens",
         F.when(F.col("is_cds"), F.concat(F.array(F.lit("")), product_tokens(F.col("product")))).otherwise(
             label_tokens(F.col("_labels"))
         ),
     )
-    tagged = settle(tagged)
     tokens = tagged.select(
         "entity_id",
         "path",
@@ -180,19 +217,20 @@ def curated_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         "token",
         F.when(F.col("is_cds") & (F.col("_at") == 0), F.col("_length")).otherwise(0).alias("aa_length"),
     )
-    members = tagged.where(F.col("is_cds") & (F.length("translation") >= MIN_MEMBER_LENGTH)).select(
+    members = described.where(F.col("is_cds") & (F.length("translation") >= MIN_MEMBER_LENGTH)).select(
         "entity_id", "path", "gene_order", "locus_tag", "product", "translation", F.length("translation").alias("aa_length")
     )
-    sizes = tagged.where("is_cds").groupBy("path").agg(
+    sizes = described.where("is_cds").groupBy("path").agg(
         F.count(F.lit(1)).alias("_genes"), F.avg("aa_size").alias("_mean"), F.sum("aa_size").alias("_total")
     )
     hits = tokens.where("token <> ''")
-    types = top_per_group(hits.select("path", "token").distinct(), "path", ["token"], 80)
+    kinds = hits.groupBy("path", "token").agg(F.count(F.lit(1)).alias("_n"))
+    types = top_per_group(kinds.select("path", "token"), "path", ["token"], 80)
     listed = types.groupBy("path").agg(F.array_sort(F.collect_list("token")).alias("_types"))
-    counted = hits.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    counted = kinds.groupBy("path").agg(F.sum("_n").alias("_n"))
     zero = F.lit(0)
     summary = (
-        keyed.select("path", "entity_id", "nt_length")
+        known.where("is_head").select("path", "entity_id", "nt_length")
         .join(sizes, "path", "left")
         .join(counted, "path", "left")
         .join(listed, "path", "left")

@@ -208,3 +208,24 @@ def test_odd_scalars(spark, tmp_path):
 def test_record_numbers(spark, gbk):
     numbered = genbank.read_records(spark, str(gbk)).groupBy("path").agg(F.max("record_no").alias("n")).orderBy("n").collect()
     assert [r["n"] for r in numbered] == [1, 2]
+
+
+def test_features_are_numbered_within_their_record(spark):
+    """Genes are counted in the record's own row; features before the first one have 0, and odd lines are none."""
+    odd = "LOCUS x\nFEATURES   Location\n  CDS 1..2\n     CDSlike         1..3\n     CDS             4..9\n     aSDomain        5..6\n     misc_feature    7..8\n     CDS             10..12\n     PFAM_domain     11..12\nCONTIG a\n     CDS             1..2\nORIGIN\n"
+    rows = [("a", odd), ("b", "LOCUS y\nORIGIN\n acgt\n//"), ("c", None), ("d", "LOCUS z\nFEATURES only")]
+    found = genbank.numbered_features(spark.createDataFrame(rows, "path string, content string"), ["path"])
+    got = {(r["path"], r["pos"]): (r["gene_order"], r["type"]) for r in found.collect()}
+    kinds = ["CDSlike", "CDS", "aSDomain", "misc_feature", "CDS", "PFAM_domain"]
+    assert [got[("a", 1 + i)] for i in range(6)] == list(zip([0, 1, 1, 1, 2, 2], kinds))
+    assert sorted((p, n) for p, n in got if n == 0) == [("a", 0), ("b", 0), ("d", 0)] and ("c", None) in got and len(got) == 10
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = genbank.features(spark.createDataFrame(rows, "path string, content string"), ["path"])
+    assert sorted((r["pos"], r["type"]) for r in plain.collect()) == list(zip(range(1, 7), kinds))
+
+
+def test_sections(spark):
+    texts = ["A\nORIGIN x\n1 ac\n2 gt\n//\nORIGIN\n9 no\n//", "ORIGIN\nac", "A\nORIGIN", "A\nORIGIN\n//", "A\nORIGIN\n\nab", "é\nORIGIN é\né ü\nWGS x\n//"]
+    section = genbank._section(F.col("value"), "ORIGIN", "//", "WGS")
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string").orderBy("i").select(section).collect()]
+    assert got == ["1 ac\n2 gt", "", "", "", "\nab", "é ü"]
