@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from novelscape.functions.hashing import bucket
 from novelscape.operators import classify, features, groups, neighbors, ordering, ranks, tokens, vectors
 from novelscape.operators.ordering import SEGMENT
+from novelscape.session import shared_folder
 
 random.seed(5)
 
@@ -155,6 +157,21 @@ def test_blocks_are_read_not_shuffled(spark, monkeypatch):
     assert near.count() == 399 * 5
 
 
+def test_features_leave_their_vectors_only(spark):
+    """What vectors are made of are tables, each shuffle of which ends with its table, and all of them are deleted."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    rows = [(e, i, 0, "abc"[(e * i) % 3]) for e in range(6) for i in range(5)]
+    entities = spark.createDataFrame([(e, 5) for e in range(5)], "entity_id long, n_genes int")
+    vectors, vocabulary = features.build_features(entities, spark.createDataFrame(rows, "entity_id long, gene_order int, token_pos int, token string"))
+    found = {r["entity_id"]: r["features"].toArray() for r in vectors.collect()}
+    assert len(set(folder.glob("table-*")) - before) == 1
+    assert sorted(found) == [0, 1, 2, 3, 4] and len(vocabulary) == 3 + 256 + 6
+    for e, z in found.items():
+        held = ["abc"[(e * i) % 3] for i in range(5)]
+        assert z[:3].tolist() == [held.count(t) for t in "abc"] and z[3:259].sum() == 9 and z[259] == 5
+
+
 @pytest.mark.parametrize("scale", [1e-20, 1e25])
 def test_neighbors_at_any_scale(spark, scale):
     z = np.random.default_rng(8).normal(size=(80, 4)) * scale + 1e3 * scale
